@@ -15,6 +15,8 @@ from clipledger.config import DEFAULTS, MIB
 from clipledger.operators import folds, joins, metrics, outcomes, policy, selection, sequences, text
 from clipledger.plans import catalogue
 from clipledger.sources import ingest, stores, views
+from clipledger.streaming import rollups, stateful
+from clipledger.streaming.runner import drain_append, read_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -253,5 +255,41 @@ def batch() -> dict[str, Query]:
     return q
 
 
+def _stream_channel(spark, root):
+    return views.shape_requests(read_events(spark, root)).where("channel_id IS NOT NULL")
+
+
+def _stream_progress(spark, root):
+    # stream-static join with the log of job ends
+    ends = views.events(spark, root).groupBy(F.col("user_id").alias("job")).agg(F.max("event_id").alias("_last"))
+    rows = views.shape_progress(read_events(spark, root)).join(ends, "job")
+    return rows.withColumn("ends", F.col("seq") == F.col("_last")).drop("_last")
+
+
+def streams() -> dict[str, Query]:
+    """Each runs over the folder's event files to the end and returns what the stream wrote."""
+    v, post = views, ["channel_id", "tweet_id"]
+    q: dict[str, Query] = {}
+    q["stream_dedup"] = lambda s, r: drain_append(stateful.stream_dedup(_stream_channel(s, r), post, DAY)).select("request_id")
+    q["stream_dedup_within_watermark"] = lambda s, r: drain_append(
+        stateful.stream_dedup(_stream_channel(s, r), post, DAY, mode="within_watermark")
+    ).select("request_id")
+    q["stream_rate_limit"] = lambda s, r: drain_append(
+        stateful.stream_rate_limit(
+            v.shape_requests(read_events(s, r)).where("author_id IS NOT NULL"), ["author_id"], 2, DAY
+        )
+    )
+    q["stream_progress_debounce"] = lambda s, r: drain_append(
+        stateful.stream_progress_debounce(_stream_progress(s, r), DEBOUNCE_S)
+    )
+    q["stream_stage_window"] = lambda s, r: drain_append(
+        rollups.stream_stage_window(v.shape_stage_runs(read_events(s, r)), "1 hour", "2 hours")
+    )
+    q["stream_totals"] = lambda s, r: rollups.stream_run_totals(v.shape_jobs(read_events(s, r)))
+    q["stream_error_counts"] = lambda s, r: rollups.stream_error_counts(v.shape_failures(read_events(s, r)))
+    q["stream_store_upsert"] = lambda s, r: rollups.stream_store_upsert(v.shape_processed_writes(read_events(s, r)))
+    return q
+
+
 def queries() -> dict[str, Query]:
-    return batch()
+    return {**batch(), **streams()}

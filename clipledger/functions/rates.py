@@ -127,3 +127,18 @@ def with_ladder(df: DataFrame, d: Column, w: Column, h: Column, presets: Sequenc
 
 def scale_axis(w: Column, h: Column) -> Column:
     return F.when(F.coalesce(h > w, F.lit(False)), "width").otherwise("height")
+
+
+def fixed3(x: Column) -> Column:
+    """A non-negative number with three decimals, rounded from its exact binary value, ties to even.
+
+    The fraction is split in two parts whose products with 1000 are exact.
+    """
+    whole = F.floor(x)
+    high = F.floor((x - whole) * 67_108_864.0) / 67_108_864.0
+    low = (x - whole) - high
+    thousandths = F.floor(high * 1000.0)
+    rest = (high * 1000.0 - thousandths - 0.5) + low * 1000.0
+    up = (rest > 0.0) | ((rest == 0.0) & (thousandths % 2 == 1))
+    total = whole * 1000 + thousandths + up.cast("bigint")
+    return F.concat(F.floor(total / 1000).cast("string"), F.lit("."), F.lpad((total % 1000).cast("string"), 3, "0"))

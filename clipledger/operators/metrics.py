@@ -53,9 +53,13 @@ def stage_window(stage_runs: DataFrame, window_s: int) -> DataFrame:
 
 def error_category_counts(failures: DataFrame) -> DataFrame:
     """Failures per known category, zero-filled; unknown keys are dropped."""
-    got = failures.groupBy("category").agg(F.count(F.lit(1)).alias("_n"))
-    return _closed(failures.sparkSession, "category", ERROR_CATEGORIES).join(got, "category", "left").select(
-        "category", F.coalesce("_n", F.lit(0)).alias("n")
+    return zero_filled_categories(failures.groupBy("category").agg(F.count(F.lit(1)).alias("n")))
+
+
+def zero_filled_categories(counts: DataFrame) -> DataFrame:
+    """(category, n) for exactly the known categories."""
+    return _closed(counts.sparkSession, "category", ERROR_CATEGORIES).join(counts, "category", "left").select(
+        "category", F.coalesce("n", F.lit(0)).alias("n")
     )
 
 

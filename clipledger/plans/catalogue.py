@@ -11,6 +11,7 @@ from clipledger.functions.rates import (
     audio_kbps,
     budget_kbps,
     budget_reason,
+    fixed3,
     kept_from_kbps,
     scale_axis,
     source_cap,
@@ -124,12 +125,11 @@ def segment_schedule(plans: DataFrame, stem: Column | None = None) -> DataFrame:
     """One row per segment of each split plan."""
     stem = F.col("id").cast("string") if stem is None else stem
     rows = plans.select("id", "segment_s", stem.alias("_stem"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("segments") - 1)).alias("seg"))
-    start = F.col("seg") * F.col("segment_s")
-    return rows.select(
+    return rows.withColumn("_start", F.col("seg") * F.col("segment_s")).select(
         "id",
         "seg",
-        F.format_string("%.3f", start).alias("start_s"),
-        F.format_string("%.3f", "segment_s").alias("dur_s"),
+        fixed3(F.col("_start")).alias("start_s"),
+        fixed3(F.col("segment_s")).alias("dur_s"),
         F.format_string("%s_seg%03d.mp4", "_stem", "seg").alias("name"),
     )
 

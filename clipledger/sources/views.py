@@ -63,6 +63,10 @@ def requests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, root: str) -> DataFrame:
+    return shape_jobs(events(spark, root))
+
+
+def shape_jobs(ev: DataFrame) -> DataFrame:
     kinds = (
         "array('duplicate','resolve_failed','download_failed','download_failed','transcode_failed',"
         "'timeout','disk_space','io','upload_failed')"
@@ -71,7 +75,7 @@ def jobs(spark: SparkSession, root: str) -> DataFrame:
         "array('no nvenc capable device','CUDA error','qsv init failed','MFX session','muxer error',"
         "'out of memory','hwaccel init','invalid data')"
     )
-    return events(spark, root).selectExpr(
+    return ev.selectExpr(
         "event_id AS job_id",
         "user_id",
         "ts AS start_ts",
@@ -451,7 +455,11 @@ def log_lines(spark: SparkSession, root: str) -> DataFrame:
 
 def processed_writes(spark: SparkSession, root: str) -> DataFrame:
     """Dedup-store writes: key, epoch seconds and the batch that carried them."""
-    return events(spark, root).where("event_type <> 'error'").selectExpr(
+    return shape_processed_writes(events(spark, root))
+
+
+def shape_processed_writes(ev: DataFrame) -> DataFrame:
+    return ev.where("event_type <> 'error'").selectExpr(
         "k % 20 AS scope_id",
         "1000 + (event_id * 31) % 40 AS tweet_id",
         "unix_seconds(ts) AS ts",
