@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SEC = "_sec"
+SEC = "at_sec"  # state rows travel as named tuples, which take no leading underscore
 
 
 def _ship() -> None:
@@ -25,10 +25,6 @@ def _ship() -> None:
     cloudpickle.register_pickle_by_value(here)
 
 
-def _timed(stream: DataFrame, lateness: str) -> DataFrame:
-    return stream.withWatermark("ts", lateness).withColumn(SEC, F.unix_seconds("ts"))
-
-
 class _Dedup(StatefulProcessor):
     """Keeps a row when the last kept one is more than ``ttl`` seconds older."""
 
@@ -82,7 +78,7 @@ def stream_dedup(
         return kept.select(*keys, id_col, "ts")
     _ship()
     keys = list(keys)
-    rows = _timed(stream, lateness).select(*keys, id_col, "ts", SEC)
+    rows = stream.select(*keys, id_col, "ts", F.unix_seconds("ts").alias(SEC))
 
     def first_of_second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -143,7 +139,7 @@ def stream_rate_limit(
         return stream.select(id_col, F.lit(True).alias("allowed"))
     _ship()
     keys = list(keys)
-    rows = _timed(stream, lateness).select(*keys, id_col, "ts", SEC)
+    rows = stream.select(*keys, id_col, "ts", F.unix_seconds("ts").alias(SEC))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # past the n-th row of a second no grant can be left
@@ -185,7 +181,7 @@ class _Debounce(StatefulProcessor):
         held = tuple(self.held.get()) if self.held.exists() else None
         out, ended = [], False
         columns = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in _PROGRESS]
-        for sec, wait, ends, row in zip(pdf[SEC].tolist(), pdf["_wait"].tolist(), pdf["ends"].tolist(), zip(*columns)):
+        for sec, wait, ends, row in zip(pdf[SEC].tolist(), pdf["waits"].tolist(), pdf["ends"].tolist(), zip(*columns)):
             row = tuple(int(v) if isinstance(v, float) else v for v in row)
             if not wait or last is None or sec - last >= self.wait:
                 out.append((*key, *row, False))
@@ -222,14 +218,14 @@ def stream_progress_debounce(stream: DataFrame, debounce_s: int) -> DataFrame:
     """
     _ship()
     wait = F.coalesce((F.col("stage") == "transcoding") & (F.col("done") < F.col("total")), F.lit(False))
-    rows = stream.select("job", *_PROGRESS, "ts", "ends", F.unix_seconds("ts").alias(SEC), wait.alias("_wait"))
+    rows = stream.select("job", *_PROGRESS, "ts", "ends", F.unix_seconds("ts").alias(SEC), wait.alias("waits"))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # of a second only the first row, the last forced one and the last waiting one can matter
         for pdf in batches:
             pdf = pdf.sort_values(["ts", "seq"])
             second = pdf.groupby(["job", SEC])
-            ends_of_kind = pdf.groupby(["job", SEC, "_wait"]).cumcount(ascending=False) == 0
+            ends_of_kind = pdf.groupby(["job", SEC, "waits"]).cumcount(ascending=False) == 0
             yield pdf.assign(_live=(second.cumcount() == 0) | ends_of_kind | pdf["ends"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -240,4 +236,4 @@ def stream_progress_debounce(stream: DataFrame, debounce_s: int) -> DataFrame:
         outputMode="Append",
         timeMode="None",
     )
-    return shown.union(marked.where("NOT _live AND NOT _wait").select("job", *_PROGRESS, F.lit(False).alias("flushed")))
+    return shown.union(marked.where("NOT _live AND NOT waits").select("job", *_PROGRESS, F.lit(False).alias("flushed")))
