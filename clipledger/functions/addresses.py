@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clipledger.constants import BLOCKED_V4, BLOCKED_V6
+from clipledger.functions.shared import whole_number
 
 _QUAD = r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 
 
 def _octet(ip: Column, i: int) -> Column:
-    return F.regexp_extract(ip, _QUAD, i).try_cast("bigint")
+    return whole_number(F.regexp_extract(ip, _QUAD, i))
 
 
 def v4_number(ip: Column) -> Column:

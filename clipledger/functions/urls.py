@@ -13,6 +13,7 @@ from clipledger.constants import (
     MEDIA_HOST_SUFFIX,
     MEDIA_HOSTS,
 )
+from clipledger.functions.shared import whole_number
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)"
@@ -73,7 +74,7 @@ def with_policy(df: DataFrame, url: str = "url") -> DataFrame:
         .withColumn(
             "port",
             F.coalesce(
-                F.regexp_extract("_server", _HOST, 2).try_cast("int"),
+                whole_number(F.regexp_extract("_server", _HOST, 2), "int"),
                 F.when(scheme == "https", 443).when(scheme == "http", 80),
             ),
         )

@@ -78,7 +78,8 @@ def media_facts_merge(resolved: DataFrame, downloads: DataFrame, probes: DataFra
 
 
 def _taken(inflight: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
-    return inflight.select(*keys).unionByName(live.select(*keys))
+    # one row per key: a crowded key then only skews the request side, which AQE can split
+    return inflight.select(*keys).unionByName(live.select(*keys)).distinct()
 
 
 def duplicate_requests(requests: DataFrame, inflight: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:

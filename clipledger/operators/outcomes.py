@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipledger.config import DEFAULTS, MIB
 from clipledger.constants import ERROR_MESSAGES
 from clipledger.functions.failures import durable_failure, hardware_failure
+from clipledger.functions.shared import whole_number
 
 
 def resolve_failure_durability(failures: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def retry_schedule(
     waits are kept as one conditional sum each and no ordering is needed.
     """
     a, outcome = F.col("attempt"), F.col("outcome")
-    code = outcome.try_cast("int")
+    code = whole_number(outcome, "int")
     good = code.between(200, 299)
     retryable = outcome.isin("timeout", "request_error", "cancelled") | (code == 429) | code.between(500, 599)
     wait = (

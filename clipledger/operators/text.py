@@ -13,8 +13,9 @@ from clipledger.functions.urls import media_extension
 def extract_links(texts: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
     """One row per usable post link, in order of appearance; repeats stay."""
     found = texts.where(F.col(text_col).contains("/status/")).select(
-        id_col, *keep, F.posexplode(link_matches(text_col)).alias("pos", "original_url")
-    )
+        # outer, then filtered: an inner explode would match every text twice more to skip empty ones
+        id_col, *keep, F.posexplode_outer(link_matches(text_col)).alias("pos", "original_url")
+    ).where("pos IS NOT NULL")
     link = F.col("original_url")
     return found.select(
         id_col, *keep, "pos",

@@ -20,6 +20,7 @@ from clipledger.functions.rates import (
     usable_duration,
     with_ladder,
 )
+from clipledger.functions.shared import computed_once
 
 
 def bitrate_budget(media: DataFrame, cfg: Limits = DEFAULTS) -> DataFrame:
@@ -64,61 +65,48 @@ def quality_ladder_demand(media: DataFrame, preset: str | None = None, cfg: Limi
 
 
 def _with_split(media: DataFrame, d: Column, where: Column, cfg: Limits) -> DataFrame:
-    """Adds ``_split``: struct(n, seconds, kbps) of the first acceptable segment count, null when none can be made.
+    """Adds split_n, split_seconds and split_kbps of the first acceptable segment count; null when none can be made.
 
-    Candidates are a short array per row (at most ten counts, or exactly one), so the
-    search is a filter over it: no explode and no shuffle.  Every step binds its
-    values in an array of its own, so none is computed twice.
+    At most ``parts_per_request`` counts are tried, so the search is unrolled into one
+    conditional over arithmetic columns and stays in generated code.  A count ends the
+    search when it cannot be made, reaches the source's own rate or keeps its edge;
+    as rates never exceed the source's, that is one comparison.
     """
-    bigint = F.lit(1).cast("bigint")
-    lo = F.greatest(F.ceil(F.col("_d") / F.least(F.col("_d"), F.lit(float(cfg.max_segment_s)))), bigint)
-    hi = F.greatest(F.col("_lo"), F.lit(cfg.parts_per_request).cast("bigint"))
+    n, lo, hi = F.col("split_n"), F.col("_lo"), F.col("_hi")
+    seconds, cap = F.col("split_seconds"), F.col("_cap")
+
+    def rate(length: Column) -> Column:
+        return split_kbps(length, split_bits(length, cfg), cap, cfg)
+
     staged = (
         media.withColumn("_d", F.when(where & usable_duration(d), d))
         .withColumn("_cap", source_cap(F.col("bitrate_kbps"), cfg))
-        .withColumn("_keep", kept_from_kbps(F.col("h"), cfg.preset))
-        .withColumn("_lo", lo)
-        .withColumn("_counts", F.when(F.col("_lo").isNotNull(), F.sequence(F.col("_lo"), hi)))
-    )
-    lengths = F.transform("_counts", lambda n: F.struct(n.alias("n"), (F.col("_d") / n).alias("seconds")))
-    sized = F.transform(
-        lengths, lambda c: F.struct(c["n"].alias("n"), c["seconds"].alias("seconds"), split_bits(c["seconds"], cfg).alias("bits"))
-    )
-    tried = F.transform(
-        sized,
-        lambda c: F.struct(
-            c["n"].alias("n"), c["seconds"].alias("seconds"),
-            split_kbps(c["seconds"], c["bits"], F.col("_cap"), cfg).alias("kbps"),
-        ),
-    )
-    # stop at the first count that is accepted or cannot be made, else take the last
-    stops = F.filter(
-        "_tried",
-        lambda c: c["kbps"].isNull()
-        | F.coalesce(c["kbps"] == F.col("_cap"), F.lit(False))
-        | F.coalesce(c["kbps"] >= F.col("_keep"), F.lit(False)),
-    )
+        .withColumn("_enough", F.least("_cap", kept_from_kbps(F.col("h"), cfg.preset)))
+        .withColumn("_lo", F.ceil(F.col("_d") / F.least(F.col("_d"), F.lit(float(cfg.max_segment_s)))))
+        .withColumn("_hi", F.greatest(F.col("_lo"), F.lit(cfg.parts_per_request).cast("bigint")))
+    )
+    stop = F.when(F.lit(False), lo)
+    for i in range(cfg.parts_per_request):
+        tried = F.coalesce(rate(F.col("_d") / (lo + i)), F.lit(2**53))
+        stop = stop.when((lo + i >= hi) | (tried >= F.col("_enough")), lo + i)
     return (
-        staged.withColumn("_tried", tried)
-        .withColumn("_split", F.coalesce(F.get(stops, F.lit(0)), F.try_element_at("_tried", F.lit(-1))))
-        .withColumn("_split", F.when(F.col("_split.kbps").isNotNull(), F.col("_split")))
-        .drop("_d", "_cap", "_keep", "_lo", "_counts", "_tried")
+        staged.withColumn("split_n", stop)
+        .withColumn("split_seconds", F.col("_d") / n)
+        .withColumn("split_kbps", rate(seconds))
+        .drop("_d", "_cap", "_enough", "_lo", "_hi")
     )
 
 
 def split_plan(media: DataFrame, cfg: Limits = DEFAULTS) -> DataFrame:
     """Segments, their length and rates; items that cannot be split have no row."""
-    return (
-        _with_split(media.select("id", "duration_s", "h", "bitrate_kbps"), F.col("duration_s"), F.lit(True), cfg)
-        .where(F.col("_split").isNotNull())
-        .select(
-            "id",
-            F.col("_split.n").alias("segments"),
-            F.col("_split.seconds").alias("segment_s"),
-            F.col("_split.kbps").alias("video_kbps"),
-            F.lit(128).cast("bigint").alias("audio_kbps"),
-        )
+    found = _with_split(media.select("id", "duration_s", "h", "bitrate_kbps"), F.col("duration_s"), F.lit(True), cfg)
+    plan = F.struct(
+        F.col("split_n").alias("segments"),
+        F.col("split_seconds").alias("segment_s"),
+        F.col("split_kbps").alias("video_kbps"),
+        F.lit(128).cast("bigint").alias("audio_kbps"),
     )
+    return computed_once(found, "plan", plan, "id").where("plan.video_kbps IS NOT NULL").select("id", "plan.*")
 
 
 def segment_schedule(plans: DataFrame, stem: Column | None = None) -> DataFrame:
@@ -146,18 +134,19 @@ def strategy_plan(media: DataFrame, cfg: Limits = DEFAULTS) -> DataFrame:
     remux = ~F.col("container").isin("mp4", "mov") & (copyable | unknown)
     single = F.coalesce(F.col("kbps") >= cfg.min_kbps, F.lit(False))
     sharper = ~F.col("edge_size").eqNullSafe(F.col(f"edge_{cfg.preset}"))
+    made = F.col("split_kbps").isNotNull()
     ladder = F.array_compact(
         F.array(
             F.when(remux, "remux"),
             F.when(single, "transcode-balanced"),
             F.when(single & sharper, "transcode-aggressive"),
-            F.when(F.col("_split").isNotNull(), "split-transcode"),
+            F.when(made, "split-transcode"),
         )
     )
-    parallel = F.lit(cfg.transcode_concurrency > 1) & (F.col("_split.n") >= cfg.parallel_segments)
+    parallel = made & F.lit(cfg.transcode_concurrency > 1) & (F.col("split_n") >= cfg.parallel_segments)
     encoder = F.lit(cfg.backend)
     if cfg.backend == "qsv":  # low-rate splits fall back to software
-        encoder = F.when(F.col("_split.kbps") < cfg.min_kbps, "none").otherwise(encoder)
+        encoder = F.when(F.col("split_kbps") < cfg.min_kbps, "none").otherwise(encoder)
     return planned.select(
         "id",
         "media_type",
@@ -198,6 +187,6 @@ def image_attempt_grid(media: DataFrame, cfg: Limits = DEFAULTS) -> DataFrame:
     )
     return (
         media.where((F.col("media_type") == "image") & (F.col("size") > cfg.max_upload_bytes))
-        .select("id", ext.alias("ext"), F.posexplode(steps).alias("attempt", "_g"))
+        .select("id", ext.alias("ext"), F.posexplode_outer(steps).alias("attempt", "_g"))
         .select("id", "attempt", "_g.scale", "_g.quality", "ext")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.constants import AUDIO_CODECS, CONTAINER_BY_PROBE_NAME, VIDEO_CODECS
+from clipledger.functions.shared import computed_once, real_number
 
 _POST = """media_extended array<struct<url: string, type: string, duration_millis: bigint,
            width: bigint, height: bigint>>, _broken string"""
@@ -19,7 +20,7 @@ _PROBE = """format struct<format_name: string, duration: string, bit_rate: strin
 
 def _parsed(raw: DataFrame, schema: str) -> DataFrame:
     doc = F.from_json("json", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    return raw.select("id", "json", doc.alias("doc"))
+    return computed_once(raw, "doc", doc, "id", "json")
 
 
 def _bad() -> Column:
@@ -37,7 +38,8 @@ def ingest_post_media(raw: DataFrame) -> DataFrame:
     return (
         _parsed(raw, _POST)
         .where(~_bad())
-        .select("id", F.posexplode("doc.media_extended").alias("pos", "m"))
+        .select("id", F.posexplode_outer("doc.media_extended").alias("pos", "m"))
+        .where("pos IS NOT NULL")
         .select(
             "id", "pos", m["url"].alias("url"), m["type"].alias("type"),
             (m["duration_millis"] / 1000.0).alias("duration_s"),
@@ -89,7 +91,7 @@ def ingest_probe_facts(raw: DataFrame) -> DataFrame:
     names = F.filter(
         F.transform(F.split("doc.format.format_name", ","), lambda n: F.trim(n)), lambda n: F.array_contains(known, n)
     )
-    bps = F.col("doc.format.bit_rate").try_cast("double")
+    bps = real_number(F.col("doc.format.bit_rate"))
     kbps = F.ceil(bps / 1000.0)
     fine = (bps > 0.0) & (bps < float("inf")) & (kbps <= 4_294_967_295)
     return (
@@ -99,7 +101,7 @@ def ingest_probe_facts(raw: DataFrame) -> DataFrame:
         .withColumn("_a", first("audio"))
         .select(
             "id",
-            F.col("doc.format.duration").try_cast("double").alias("duration_s"),
+            real_number(F.col("doc.format.duration")).alias("duration_s"),
             F.when(both, video["width"]).alias("w"),
             F.when(both, video["height"]).alias("h"),
             _named(F.get(names, F.lit(0)), CONTAINER_BY_PROBE_NAME, "unknown").alias("container"),
