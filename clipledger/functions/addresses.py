@@ -4,47 +4,56 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.constants import BLOCKED_V4, BLOCKED_V6
-from clipledger.functions.shared import whole_number
 
-_QUAD = r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+_QUAD = r"(?:^|:)([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})$"
 
 
-def _octet(ip: Column, i: int) -> Column:
-    return whole_number(F.regexp_extract(ip, _QUAD, i))
+def with_comparable(df: DataFrame, ip: str) -> DataFrame:
+    """Adds _number for v4 and _hex for v6 (32 digits, ``::`` expanded, a trailing dotted quad folded in).
 
+    Every intermediate is a column of its own, so nothing is parsed twice.
+    """
+    is_v6 = F.contains(F.col(ip), F.lit(":"))
 
-def v4_number(ip: Column) -> Column:
-    return ((_octet(ip, 1) * 256 + _octet(ip, 2)) * 256 + _octet(ip, 3)) * 256 + _octet(ip, 4)
+    def octet(i: int) -> Column:
+        return F.get("_octets", F.lit(i))
 
+    def groups(side: str) -> Column:
+        return F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
 
-def v6_hex(ip: Column) -> Column:
-    """Full-width lower-case hex, ``::`` expanded and a trailing dotted quad folded in."""
-    quad = F.concat(
-        F.regexp_extract(ip, r"^(.*:)", 1),
-        F.hex(_octet(ip, 1) * 256 + _octet(ip, 2)), F.lit(":"), F.hex(_octet(ip, 3) * 256 + _octet(ip, 4)),
+    pair = F.concat(
+        F.regexp_extract(ip, "^(.*:)", 1),
+        F.hex(octet(0) * 256 + octet(1)), F.lit(":"), F.hex(octet(2) * 256 + octet(3)),
+    )
+    missing = F.greatest(F.lit(8) - F.size("_left") - F.size("_right"), F.lit(0))
+    return (
+        df.withColumn("_tail", F.split(F.nullif(F.regexp_extract(ip, _QUAD, 1), F.lit("")), r"\."))
+        .withColumn("_octets", F.col("_tail").cast("array<bigint>"))
+        .withColumn("_number", F.when(~is_v6, ((octet(0) * 256 + octet(1)) * 256 + octet(2)) * 256 + octet(3)))
+        .withColumn("_text", F.when(is_v6, F.lower(F.when(F.col("_octets").isNotNull(), pair).otherwise(F.col(ip)))))
+        .withColumn("_halves", F.split("_text", "::"))
+        .withColumn("_before", F.get("_halves", F.lit(0)))
+        .withColumn("_after", F.get("_halves", F.lit(1)))
+        .withColumn("_left", groups("_before"))
+        .withColumn("_right", groups("_after"))
+        .withColumn("_all", F.concat("_left", F.array_repeat(F.lit("0"), missing), "_right"))
+        .withColumn("_hex", F.when(is_v6, F.array_join(F.transform("_all", lambda g: F.lpad(g, 4, "0")), "")))
+        .drop("_tail", "_octets", "_text", "_halves", "_before", "_after", "_left", "_right", "_all")
     )
-    text = F.lower(F.when(F.contains(ip, F.lit(".")), quad).otherwise(ip))
-    halves = F.split(text, "::")
-
-    def groups(half: Column) -> Column:
-        return F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
-
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
-    return F.array_join(F.transform(F.concat(left, gap, right), lambda g: F.lpad(g, 4, "0")), "")
 
 
-def is_blocked(ip: Column, v4: list[str] = BLOCKED_V4, v6: list[str] = BLOCKED_V6) -> Column:
-    """Whether the address lies in one of the ranges; comparisons only, so it stays in codegen."""
-    number, text = v4_number(ip), v6_hex(ip)
+def with_blocked(df: DataFrame, ip: str, name: str, v4: list[str] = BLOCKED_V4, v6: list[str] = BLOCKED_V6) -> DataFrame:
+    """Adds whether the address lies in one of the ranges; null for no address."""
+    number, text = F.col("_number"), F.col("_hex")
     hit4 = hit6 = F.lit(False)
     for net in map(ipaddress.ip_network, v4):
         hit4 = hit4 | number.between(int(net[0]), int(net[-1]))
     for net in map(ipaddress.ip_network, v6):
         lo, hi = (f"{int(net[i]):032x}" for i in (0, -1))
         hit6 = hit6 | text.between(lo, hi)
-    return F.when(F.contains(ip, F.lit(":")), hit6).otherwise(hit4)
+    staged = with_comparable(df, ip)
+    return staged.withColumn(name, F.when(text.isNotNull(), hit6).otherwise(hit4)).drop("_number", "_hex")

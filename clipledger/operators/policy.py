@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipledger.config import DEFAULTS
 from clipledger.constants import BLOCKED_V4, BLOCKED_V6
-from clipledger.functions.addresses import is_blocked
+from clipledger.functions.addresses import with_blocked
 from clipledger.functions.urls import with_policy
 
 
@@ -29,10 +29,10 @@ def resolved_ip_audit(
     v6: list[str] = BLOCKED_V6,
 ) -> DataFrame:
     """Per key: any blocked address rejects it, and so does having none."""
-    blocked = F.coalesce(is_blocked(F.col(ip), v4, v6), F.lit(False))
     return (
-        url_ips.groupBy(key)
-        .agg(F.count(ip).alias("n_addrs"), F.count_if(F.col(ip).isNotNull() & blocked).alias("n_blocked"))
+        with_blocked(url_ips, ip, "_blocked", v4, v6)
+        .groupBy(key)
+        .agg(F.count(ip).alias("n_addrs"), F.count_if("_blocked").alias("n_blocked"))
         .withColumn(
             "reason",
             F.when(F.col("n_blocked") > 0, "resolved to blocked ip")
