@@ -130,49 +130,32 @@ def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> list[tuple]:
     return list(zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)))
 
 
-def _text(key: tuple) -> str:
-    return json.dumps(key, default=str)
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
-def _edge_task(fold: Fold, keys: Sequence[str], carry: dict[int, tuple[str, Any]]) -> Callable:
-    """Per chunk: first key, last key and the state after the last row."""
+def _end_state_task(fold: Fold, carry: dict[int, Any]) -> Callable:
+    """State after the rows of each chunk's last key, which are all it is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = first = last = state = None
+        chunk = state = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            key_rows = _columns(batch, keys)
             if chunk is None:
-                chunk = batch.column(batch.schema.get_field_index(CHUNK))[0].as_py()
-                first = key_rows[0]
-            final = key_rows[-1]
-            # only rows of the batch's last key can still matter
-            at = len(key_rows)
-            while at > 0 and key_rows[at - 1] == final:
-                at -= 1
-            if at > 0 or final != last:
-                state = fold.start()
-                held = carry.get(chunk)
-                if final == first and at == 0 and held and held[0] == _text(first):
-                    state = held[1]
-            last = final
-            for values in _columns(batch.slice(at), fold.inputs):
+                chunk = _column(batch, CHUNK)[0].as_py()
+                state = carry.get(chunk, fold.start())
+            for values in _columns(batch, fold.inputs):
                 state, _ = fold.step(state, *values)
         if chunk is not None:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    CHUNK: pa.array([chunk], pa.int32()),
-                    "first": [_text(first)],
-                    "last": [_text(last)],
-                    "state": [json.dumps(state)],
-                }
-            )
+            yield pa.RecordBatch.from_pydict({CHUNK: pa.array([chunk], pa.int32()), "state": [json.dumps(state)]})
 
     return run
 
 
-def _fold_task(fold: Fold, keys: Sequence[str], carry: dict[int, tuple[str, Any]], arrow_types: list) -> Callable:
+def _fold_task(fold: Fold, keys: Sequence[str], carry: dict[int, Any], arrow_types: list) -> Callable:
+    """The fold's outputs for every row; a chunk's first key starts from what was carried in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = state = None
         started = False
@@ -180,21 +163,18 @@ def _fold_task(fold: Fold, keys: Sequence[str], carry: dict[int, tuple[str, Any]
             if batch.num_rows == 0:
                 continue
             outs = []
-            chunk = batch.column(batch.schema.get_field_index(CHUNK))[0].as_py()
             for row_key, values in zip(_columns(batch, keys), _columns(batch, fold.inputs)):
-                if not started or row_key != key:
-                    state = fold.start()
-                    held = None if started else carry.get(chunk)
-                    if held and held[0] == _text(row_key):
-                        state = held[1]
+                if not started:
+                    state = carry.get(_column(batch, CHUNK)[0].as_py(), fold.start())
                     key, started = row_key, True
+                elif row_key != key:
+                    key, state = row_key, fold.start()
                 state, out = fold.step(state, *values)
                 outs.append(out)
             kept = [n for n in batch.schema.names if n != CHUNK]
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in kept]
             made = [pa.array(col, t) for col, t in zip(zip(*outs), arrow_types)]
             names = kept + [n for n, _ in fold.outputs]
-            yield pa.RecordBatch.from_arrays(arrays + made, names=names)
+            yield pa.RecordBatch.from_arrays([_column(batch, n) for n in kept] + made, names=names)
 
     return run
 
@@ -220,28 +200,38 @@ def ordered_fold(
     cloudpickle.register_pickle_by_value(here)
     rows = range_chunks(df, keys, order, n_chunks)
     keys = list(keys)
-    edge_schema = f"{CHUNK} int, first string, last string, state string"
-
-    def edges(carry: dict, only: list[int] | None) -> dict[int, tuple]:
-        source = rows if only is None else rows.where(F.col(CHUNK).isin(only))
-        narrow = source.select(CHUNK, *dict.fromkeys([*keys, *fold.inputs]))
-        found = narrow.mapInArrow(_edge_task(fold, keys, carry), edge_schema).collect()
-        return {r[CHUNK]: (r["first"], r["last"], json.loads(r["state"])) for r in found}
-
-    known = edges({}, None)  # one short row per partition
-    carry: dict[int, tuple[str, Any]] = {}
-    while True:
-        order_of = sorted(known)
-        fresh = {
-            now: (known[now][0], known[prev][2])
-            for prev, now in zip(order_of, order_of[1:])
-            if known[prev][1] == known[now][0]
-        }
-        stale = [c for c in fresh if fresh[c] != carry.get(c) and known[c][0] == known[c][1]]
+    key = F.struct(*keys)
+    spans = rows.groupBy(CHUNK).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    # one short row per partition
+    known = {
+        r[CHUNK]: (r["first"], r["last"])
+        for r in spans.select(CHUNK, F.to_json("_first").alias("first"), F.to_json("_last").alias("last")).collect()
+    }
+    order_of = sorted(known)
+    # chunks whose first key began earlier, with the chunk before them
+    entered = {now: prev for prev, now in zip(order_of, order_of[1:]) if known[prev][1] == known[now][0]}
+    needed = sorted(set(entered.values()))
+
+    def end_states(only: list[int], carry: dict[int, Any]) -> dict[int, Any]:
+        tails = (
+            rows.where(F.col(CHUNK).isin(only))
+            .join(F.broadcast(spans.select(CHUNK, "_last")), CHUNK)
+            .where(key.eqNullSafe(F.col("_last")))
+            .select(CHUNK, *dict.fromkeys(fold.inputs))
+        )
+        found = tails.mapInArrow(_end_state_task(fold, carry), f"{CHUNK} int, state string").collect()
+        return {r[CHUNK]: json.loads(r["state"]) for r in found}
+
+    carry: dict[int, Any] = {}
+    states = end_states(needed, carry) if needed else {}
+    while entered:
+        fresh = {now: states[prev] for now, prev in entered.items()}
+        # the end of a chunk with several keys does not depend on what it was entered with
+        stale = [c for c in needed if known[c][0] == known[c][1] and fresh.get(c) != carry.get(c)]
         carry = fresh
         if not stale:
             break
-        known.update(edges(carry, stale))
+        states.update(end_states(stale, {c: carry[c] for c in stale}))
 
     fields = [f for f in rows.schema.fields if f.name != CHUNK]
     fields += [T.StructField(n, t) for n, t in fold.outputs]
