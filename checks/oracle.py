@@ -149,10 +149,11 @@ def build() -> dict[str, str]:
           'error:ssrf_blocked','error:optimize_failed','error:legacy_error_key'][k % 8 + 1] AS key, sum(event_id % 5) AS v
           FROM ev GROUP BY 1) USING (key)""")
     q["job_report"] = sql(f"""
-        SELECT id, id % 9000 AS resolve_ms, size AS size_bytes, container, CASE WHEN n > 1 THEN 'split' ELSE 'single' END AS kind,
+        SELECT id, id % 9000 AS resolve_ms, size AS size_bytes, container, ext AS extension, z AS part_sizes, CASE WHEN n > 1 THEN 'split' ELSE 'single' END AS kind,
                coalesce(n, 0) AS n_parts, CAST(coalesce(t, 0) AS BIGINT) AS total_size_bytes, coalesce(t, 0) <= {CAP} AS fits_single_upload,
                round(coalesce(t, 0)::DOUBLE / size::DOUBLE, 6) AS size_ratio
-        FROM media LEFT JOIN (SELECT job AS id, count(*) AS n, sum(size) AS t FROM parts GROUP BY 1) USING (id)""")
+        FROM media LEFT JOIN (SELECT job AS id, count(*) AS n, sum(size) AS t, string_agg(size, ',' ORDER BY pos) AS z FROM parts GROUP BY 1) USING (id)""")
+    q["job_report_parts"] = sql("SELECT job, pos, size AS size_bytes FROM parts")
 
     # ---- text and URLs --------------------------------------------------------
     q["extract_links"] = sql("""

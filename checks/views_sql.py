@@ -65,6 +65,7 @@ VIEWS = {
                ['h264','h265','vp8','vp9','av1','other'][o_custkey % 6 + 1] AS video_codec,
                ['aac','opus','vorbis','mp3','none','other'][o_orderkey % 6 + 1] AS audio_codec,
                CASE WHEN o_orderpriority = '5-LOW' THEN 'image' ELSE 'video' END AS media_type,
+               ['png','webp','gif','jpeg','jpg','mp4'][o_custkey % 6 + 1] AS ext,
                ['png','webp','gif','jpg','jpg','jpg'][o_custkey % 6 + 1] AS out_ext FROM orders)""",
     "post_media": f"""SELECT l_orderkey AS id, {POS} AS pos, l_suppkey % 8 AS suffix, l_partkey,
                CASE WHEN l_returnflag = 'A' THEN 'image' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'video'

@@ -62,7 +62,8 @@ def _report(spark, root):
     nested = stores.job_report(runs, m, views.parts(spark, root))
     return nested.select(
         "id", "report.stages.resolve_ms", "report.downloaded.size_bytes", "report.downloaded.facts.container",
-        "report.output.kind", "report.output.n_parts", "report.output.total_size_bytes", "report.output.fits_single_upload",
+        "report.resolved.extension", "report.output.kind", "report.output.n_parts",
+        F.array_join(F.transform("report.output.parts", lambda p: p["size_bytes"].cast("string")), ",").alias("part_sizes"), "report.output.total_size_bytes", "report.output.fits_single_upload",
         F.round("report.output.size_ratio_to_download", 6).alias("size_ratio"),
     )
 
@@ -168,6 +169,7 @@ def batch() -> dict[str, Query]:
     q["metrics_store_load"] = lambda s, r: stores.metrics_store_load(v.counters(s, r))
     q["job_report"] = _report
     # text and URLs
+    q["job_report_parts"] = lambda s, r: stores.job_report_parts(v.parts(s, r))
     q["extract_links"] = lambda s, r: _links(s, r).drop("ts")
     q["canonical_link_stats"] = lambda s, r: text.canonical_link_stats(_links(s, r)).select(
         "canonical_url", "n", "n_hosts", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us")

@@ -54,31 +54,48 @@ def metrics_store_load(kv: DataFrame) -> DataFrame:
     return keys.join(got, "key", "left").select("key", F.coalesce("_v", F.lit(0)).alias("value"))
 
 
-def job_report(jobs: DataFrame, media: DataFrame, parts: DataFrame, max_bytes: int = DEFAULTS.max_upload_bytes) -> DataFrame:
+def job_report(
+    jobs: DataFrame,
+    media: DataFrame,
+    parts: DataFrame,
+    max_bytes: int = DEFAULTS.max_upload_bytes,
+    list_parts_up_to: int = 1000,
+) -> DataFrame:
     """One nested record per job.
 
-    jobs: id, resolve_ms, download_ms, optimize_ms; media: downloaded facts per id;
-    parts: job, pos, size.  Part totals are map-side combined sums; the parts
-    themselves are rows of their own (``job_report_parts``), as a job's list has no bound.
+    jobs: id, resolve_ms, download_ms, optimize_ms; media: resolved and downloaded facts
+    per id; parts: job, pos, size.  Part totals are map-side combined sums.  A record
+    lists its parts when the job has at most ``list_parts_up_to`` of them, which keeps
+    every collected list small; longer lists are whole in ``job_report_parts``.
     """
     sums = parts.groupBy("job").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_total"))
+    short = sums.where(F.col("_n") <= list_parts_up_to).select("job")
+    listed = (
+        parts.join(short, "job", "left_semi")
+        .groupBy("job")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("size").alias("size_bytes")))).alias("_parts"))
+    )
     total = F.coalesce("_total", F.lit(0))
+    resolution = F.when(F.col("w").isNotNull() & F.col("h").isNotNull(), F.array("w", "h"))
     return (
         jobs.join(media, "id")
         .join(sums.withColumnRenamed("job", "id"), "id", "left")
+        .join(listed.withColumnRenamed("job", "id"), "id", "left")
         .select(
             "id",
             F.struct(
                 F.struct("resolve_ms", "download_ms", "optimize_ms").alias("stages"),
+                F.struct("media_type", F.col("ext").alias("extension")).alias("resolved"),
                 F.struct(
                     F.col("size").alias("size_bytes"),
                     F.col("duration_s").alias("duration_secs"),
-                    F.when(F.col("w").isNotNull() & F.col("h").isNotNull(), F.array("w", "h")).alias("resolution"),
+                    resolution.alias("resolution"),
                     F.struct("container", "video_codec", "audio_codec", "bitrate_kbps").alias("facts"),
                 ).alias("downloaded"),
                 F.struct(
                     F.when(F.col("_n") > 1, "split").otherwise("single").alias("kind"),
                     F.coalesce("_n", F.lit(0)).alias("n_parts"),
+                    F.col("_parts").alias("parts"),
                     total.alias("total_size_bytes"),
                     F.lit(max_bytes).cast("bigint").alias("upload_limit_bytes"),
                     (total <= max_bytes).alias("fits_single_upload"),

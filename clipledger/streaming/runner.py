@@ -14,10 +14,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_events(spark: SparkSession, root: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The event files of a folder as a stream."""
+    """The event files of a folder as a stream; a micro-batch takes so many files, else so many bytes."""
     reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", str(64 * 1024**3))
     return shape_events(reader.parquet(root))
 
 

@@ -146,12 +146,14 @@ def test_store(spark, tmp_path):
 
 def test_report_is_json_lines(spark, tmp_path):
     jobs = spark.createDataFrame([(1, 1, 2, 3)], "id bigint, resolve_ms bigint, download_ms bigint, optimize_ms bigint")
-    media = spark.createDataFrame([(1, 0, None, 1, 2, "mp4", "h264", "aac", None)],
-                                  "id bigint, size bigint, duration_s double, w int, h int, container string, video_codec string, audio_codec string, bitrate_kbps bigint")
+    media = spark.createDataFrame([("video", "mp4", 1, 0, None, 1, 2, "mp4", "h264", "aac", None)],
+                                  "media_type string, ext string, id bigint, size bigint, duration_s double, w int, h int, container string, video_codec string, audio_codec string, bitrate_kbps bigint")
     parts = spark.createDataFrame([(1, 0, 5), (1, 1, 6)], "job bigint, pos bigint, size bigint")
     stores.write_reports(stores.job_report(jobs, media, parts), str(tmp_path / "r"))
     doc = spark.read.json(str(tmp_path / "r")).first()
     assert (doc.output.kind, doc.output.total_size_bytes, doc.downloaded.resolution) == ("split", 11, [1, 2])
+    assert [p.size_bytes for p in doc.output.parts] == [5, 6]
+    assert stores.job_report(jobs, media, parts, list_parts_up_to=1).first().report.output.parts is None
     assert "size_ratio_to_download" not in doc.output.asDict() and "duration_secs" not in doc.downloaded.asDict()
     assert stores.job_report_parts(parts).count() == 2
 
