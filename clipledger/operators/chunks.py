@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipledger.session import durable
+from clipledger.session import durable, setting
 
 CHUNK = "_chunk"
 BIG_KEY_ROWS = 4_000_000
@@ -36,12 +36,14 @@ BIG_KEY_ROWS = 4_000_000
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chunks: int | None = None) -> DataFrame:
     """Range-partition by (keys, order), sort inside, number the partitions and materialise.
 
-    Without ``n_chunks`` the count follows the shuffle setting and AQE merges small
-    neighbours.  Materialising pins the partition numbers, which later jobs rely on.
+    Without ``n_chunks`` the count follows the shuffle setting and AQE merges neighbours
+    up to its advisory size: a key should span few large chunks rather than many small
+    ones.  Materialising pins the partition numbers, which later jobs rely on.
     """
     cols = [*keys, *order]
     spread = df.repartitionByRange(n_chunks, *cols) if n_chunks else df.repartitionByRange(*cols)
-    return durable(spread.sortWithinPartitions(*cols).withColumn(CHUNK, F.spark_partition_id()))
+    with setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+        return durable(spread.sortWithinPartitions(*cols).withColumn(CHUNK, F.spark_partition_id()))
 
 
 def chunked(
@@ -123,6 +125,10 @@ class Fold:
     def step(self, state: Any, *values: Any) -> tuple[Any, tuple]:
         raise NotImplementedError
 
+    def settle(self, state: Any) -> Any:
+        """One form for states that behave alike, so that chunks are not run again for nothing."""
+        return state
+
 
 def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> list[tuple]:
     if not names:
@@ -148,7 +154,7 @@ def _end_state_task(fold: Fold, carry: dict[int, Any]) -> Callable:
             for values in _columns(batch, fold.inputs):
                 state, _ = fold.step(state, *values)
         if chunk is not None:
-            yield pa.RecordBatch.from_pydict({CHUNK: pa.array([chunk], pa.int32()), "state": [json.dumps(state)]})
+            yield pa.RecordBatch.from_pydict({CHUNK: pa.array([chunk], pa.int32()), "state": [json.dumps(fold.settle(state))]})
 
     return run
 
@@ -212,26 +218,29 @@ def ordered_fold(
     entered = {now: prev for prev, now in zip(order_of, order_of[1:]) if known[prev][1] == known[now][0]}
     needed = sorted(set(entered.values()))
 
-    def end_states(only: list[int], carry: dict[int, Any]) -> dict[int, Any]:
-        tails = (
-            rows.where(F.col(CHUNK).isin(only))
-            .join(F.broadcast(spans.select(CHUNK, "_last")), CHUNK)
-            .where(key.eqNullSafe(F.col("_last")))
-            .select(CHUNK, *dict.fromkeys(fold.inputs))
-        )
-        found = tails.mapInArrow(_end_state_task(fold, carry), f"{CHUNK} int, state string").collect()
+    inputs = list(dict.fromkeys(fold.inputs))
+
+    def end_states(tails: DataFrame, carry: dict[int, Any]) -> dict[int, Any]:
+        found = tails.select(CHUNK, *inputs).mapInArrow(_end_state_task(fold, carry), f"{CHUNK} int, state string").collect()
         return {r[CHUNK]: json.loads(r["state"]) for r in found}
 
     carry: dict[int, Any] = {}
-    states = end_states(needed, carry) if needed else {}
+    states: dict[int, Any] = {}
+    if needed:
+        last_keys = rows.where(F.col(CHUNK).isin(needed)).join(F.broadcast(spans.select(CHUNK, "_last")), CHUNK)
+        states = end_states(last_keys.where(key.eqNullSafe(F.col("_last"))), carry)
+    # only the end of a chunk inside one key depends on what the chunk was entered with
+    inner = [c for c in needed if c in entered and known[c][0] == known[c][1]]
+    inner_rows: DataFrame | None = None
     while entered:
         fresh = {now: states[prev] for now, prev in entered.items()}
-        # the end of a chunk with several keys does not depend on what it was entered with
-        stale = [c for c in needed if known[c][0] == known[c][1] and fresh.get(c) != carry.get(c)]
+        stale = [c for c in inner if fresh[c] != carry.get(c)]
         carry = fresh
         if not stale:
             break
-        states.update(end_states(stale, {c: carry[c] for c in stale}))
+        if inner_rows is None:  # rounds read these chunks alone
+            inner_rows = durable(rows.where(F.col(CHUNK).isin(inner)).select(CHUNK, *inputs))
+        states.update(end_states(inner_rows.where(F.col(CHUNK).isin(stale)), {c: carry[c] for c in stale}))
 
     fields = [f for f in rows.schema.fields if f.name != CHUNK]
     fields += [T.StructField(n, t) for n, t in fold.outputs]

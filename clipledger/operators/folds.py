@@ -10,6 +10,7 @@ splits a key over tasks.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark import cloudpickle
@@ -79,7 +80,10 @@ class _InflightFold(Fold):
             if good:
                 done = at + self.ttl
         ends = [e for e in ends if e[0] > sec]
-        if (running is not None and sec < running) or (done is not None and sec <= done):
+        # marks that have lapsed are forgotten, so that states which act alike are equal
+        running = running if running is not None and sec < running else None
+        done = done if done is not None and sec <= done else None
+        if running is not None or done is not None:
             return [running, done, ends], (False,)
         if end is not None:
             running = sec + self.inflight_ttl
@@ -98,9 +102,11 @@ class _ResolverCacheFold(Fold):
 
     def step(self, state, sec, stores):
         positive, negative = state if state else (None, None)
-        if negative is not None and sec < negative:
+        positive = positive if positive is not None and sec < positive else None
+        negative = negative if negative is not None and sec < negative else None
+        if negative is not None:
             return [positive, negative], ("negative_hit",)
-        if positive is not None and sec < positive:
+        if positive is not None:
             return [positive, negative], ("positive_hit",)
         if stores == "positive":
             positive = sec + self.positive_ttl
@@ -133,16 +139,21 @@ class _ReservationFold(Fold):
         self.min_free = min_free
 
     def start(self):
-        return []
-
-    def step(self, held, start, end, size, available):
-        held = [h for h in held if h[0] > start]
-        reserved = sum(h[1] for h in held)
-        if size == 0:
-            return held, (True, reserved)
-        if available is not None and available < self.min_free + reserved + size:
-            return held, (False, reserved)
-        return held + [[end, size]], (True, reserved + size)
+        # bytes reserved, heap of (end, bytes)
+        return [0, []]
+
+    def step(self, state, start, end, size, available):
+        reserved, held = state
+        while held and held[0][0] <= start:
+            reserved -= heapq.heappop(held)[1]
+        admitted = size == 0 or available is None or available >= self.min_free + reserved + size
+        if admitted and size:
+            heapq.heappush(held, [end, size])
+            reserved += size
+        return [reserved, held], (admitted, reserved)
+
+    def settle(self, state):
+        return [state[0], sorted(state[1])]
 
 
 def _ship() -> None:
