@@ -64,6 +64,11 @@ def ranked(df: DataFrame, group: str, order: list[str], rank: str, name: str) ->
     )
 
 
+def _seal(edges: DataFrame) -> tuple:
+    """Tells whether a set of edges has changed."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+
 def components(links: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """node, root: the smallest node reachable over links (a, b); nodes without a link are their own root.
 
@@ -73,6 +78,7 @@ def components(links: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     edges = written(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name
     )
+    seal = _seal(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -84,8 +90,9 @@ def components(links: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         after = written(small.where("a <> b").distinct(), name)
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            break
+        seal, before = _seal(after), seal
         edges = after
+        if seal == before:
+            break
     roots = edges.groupBy("a").agg(F.min("b").alias("root"))
     return nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("root", "node").alias("root"))

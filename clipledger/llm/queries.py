@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import packing, suffix_dedup, token_store
+from clipledger.llm import bottom_k, packing, suffix_dedup, token_store
 from clipledger.llm.common import table, written
 from clipledger.llm.tokens import vocabulary_path
 
@@ -17,6 +18,10 @@ def op1_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffix_dedup.cut_documents(table(spark, root, "documents"))
 
 
+def op6_bottom_k_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return bottom_k.near_duplicates(table(spark, root, "documents"), 3, Fraction(85, 100))
+
+
 def op7_bit_plane_tokens(spark: SparkSession, root: str) -> DataFrame:
     shards = written(token_store.write_shards(table(spark, root, "documents"), vocabulary_path()), "token-manifest")
     return token_store.read_shards(shards)

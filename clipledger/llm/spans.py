@@ -74,3 +74,66 @@ def pieces(data: np.ndarray, reach: int) -> Iterator[tuple[int, int, np.ndarray]
     for a in range(0, len(data), PIECE):
         n = min(PIECE, len(data) - a)
         yield a, n, data[a : a + n + reach]
+
+
+_POWER = np.uint64(0x9E3779B97F4A7C13)
+_UNPOWER = np.uint64(pow(int(_POWER), -1, 1 << 64))
+_WORD_PIECE = 1 << 18
+_POWERS = np.cumprod(np.r_[np.uint64(1), np.full(_WORD_PIECE, _POWER, np.uint64)], dtype=np.uint64)
+_UNPOWERS = np.cumprod(np.r_[np.uint64(1), np.full(_WORD_PIECE, _UNPOWER, np.uint64)], dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_FOLDED = _TABLE.copy()
+_FOLDED[65:91] = _TABLE[97:123]
+
+
+def word_names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the words of every text, A-Z as a-z, and where each text's words start, with the end of the last."""
+    fresh = np.zeros(len(data) + 1, bool)
+    fresh[at] = True
+    names, starts, a = [], [], 0
+    while a < len(data):
+        b = min(a + _WORD_PIECE, len(data))
+        if b < len(data):  # end at a space or where a text starts
+            cut = np.flatnonzero(_SPACE[data[a:b]] | fresh[a + 1 : b + 1])
+            b = a + int(cut[-1]) + 1 if len(cut) else b
+            if not len(cut):  # one word that is longer than a piece
+                more = np.flatnonzero(_SPACE[data[b:]] | fresh[b + 1 :])
+                b = b + int(more[0]) + 1
+        part, solid = data[a:b], ~_SPACE[data[a:b]]
+        new = solid.copy()
+        new[1:] &= ~solid[:-1] | fresh[a + 1 : b]
+        first = np.flatnonzero(new)
+        if len(first):
+            stop = np.flatnonzero(solid & np.r_[~solid[1:] | fresh[a + 1 : b], True]) + 1
+            size = stop - first
+            if len(part) <= _WORD_PIECE:
+                total = np.cumsum(np.r_[np.uint64(0), _FOLDED[part] * _POWERS[: len(part)]], dtype=np.uint64)
+                name = (total[stop] - total[first]) * _UNPOWERS[first]
+            else:
+                powers = np.cumprod(np.full(len(part), _POWER, np.uint64), dtype=np.uint64) * _UNPOWER
+                total = np.cumsum(np.r_[np.uint64(0), _FOLDED[part] * powers], dtype=np.uint64)
+                name = (total[stop] - total[first]) * np.array([pow(int(_UNPOWER), int(x), 1 << 64) for x in first], np.uint64)
+            names.append(mixed(name ^ mixed(size.astype(np.uint64))))
+            starts.append(first + a)
+        a = b
+    if not names:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    return np.concatenate(names), np.searchsorted(np.concatenate(starts), at)
+
+
+def shingle_sets(names: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For every text its sorted distinct names of `width` words in a row; with fewer words, of all its words."""
+    run = names.copy()
+    for k in range(1, width):
+        run = pair(run[: len(names) - k], names[k:], 30 + k)
+    run = mixed(run)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= width:
+            yield np.unique(run[a : b - width + 1])
+        elif b > a:
+            whole = names[a : a + 1]
+            for k in range(1, b - a):
+                whole = pair(whole, names[a + k : a + k + 1], 40 + k)
+            yield mixed(whole)
+        else:
+            yield names[:0]
