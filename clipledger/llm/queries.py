@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import bottom_k, packing, suffix_dedup, token_store
+from clipledger.llm import bottom_k, packing, quality_rules, suffix_dedup, token_store
 from clipledger.llm.common import table, written
 from clipledger.llm.tokens import vocabulary_path
 
@@ -18,6 +18,10 @@ def op1_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffix_dedup.cut_documents(table(spark, root, "documents"))
 
 
+def op4_decision_list_quality(spark: SparkSession, root: str) -> DataFrame:
+    return quality_rules.judged(table(spark, root, "documents"), table(spark, root, "labels"))[0]
+
+
 def op6_bottom_k_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return bottom_k.near_duplicates(table(spark, root, "documents"), 3, Fraction(85, 100))
 
