@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import bottom_k, packing, quality_rules, suffix_dedup, token_store
+from clipledger.llm import bottom_k, packing, quality_rules, secret_scan, suffix_dedup, token_store
 from clipledger.llm.common import table, written
 from clipledger.llm.tokens import vocabulary_path
 
@@ -35,6 +35,10 @@ def op8_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(table(spark, root, "documents"), vocabulary_path())
 
 
+def op9_markov_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    return secret_scan.scanned(table(spark, root, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

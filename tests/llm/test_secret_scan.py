@@ -1,0 +1,92 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+
+from clipledger.llm import secret_scan as S
+
+from . import odd
+
+PATTERNS = {
+    "assign": re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"),
+    "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+"),
+}
+
+
+def base(text):
+    out = []
+    for k, (kind, p) in enumerate(PATTERNS.items()):
+        for m in p.finditer(text or ""):
+            size = len(m[2]) if kind == "assign" else len(m[0])
+            if size >= {"assign": 8, "access": 16, "hex": 32}[kind]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def listed(spans):
+    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def score(token, ratios):
+    at = [S.ALPHABET.find(c) + 1 for c in token]
+    return sum(ratios[x * S.SIZE + y] for x, y in zip(at, at[1:])) / (len(token) - 1)
+
+
+def brute(text, models):
+    known = base(text)
+    extra = [
+        (m.start(), 3, m.end()) for m in re.finditer(S.TOKEN, text or "")
+        if score(m[0], models.ratios) > models.threshold and not any(a < m.end() and m.start() < b for a, _, b in known)
+    ]
+    return known, sorted(known + extra)
+
+
+def check(df, rows):
+    models = S.trained_on(df)
+    want = Counter()
+    for doc_id, text in rows:
+        known, every = brute(text, models)
+        n = Counter(k for _, k, _ in known)
+        want[doc_id, n[0], n[1], n[2], hashlib.sha256(listed(known).encode()).hexdigest(), listed(every)] += 1
+    got = Counter(tuple(r) for r in S.scanned(df).collect())
+    assert got == want
+    return models, want
+
+
+def test_tables(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet".replace("sf0.001", "sf0.01"))  # the smallest table has no secret
+    models, want = check(df, [tuple(r) for r in df.select("doc_id", "text").collect()])
+    assert any(x[1] + x[2] + x[3] for x in want)
+
+
+def test_odd_rows(spark):
+    more = [(90, "token=secret=abcdefghij token: secret: abcdefghij password=short é日本 SECRET = \"zzzzzzzz1\" 😀 api_key:abcdefgh"), (91, "AKIAAKIAAKIAAKIA AKIA12 " + "ab" * 20)]
+    df = odd.frame(spark).unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    check(df, [(r[0], r[1]) for r in odd.rows() if r[0] is not None] + more)
+    assert S.scanned(odd.empty(spark)).count() == 0
+    out = {r.doc_id: r for r in S.masked_documents(df.withColumn("found", df.doc_id)).where("doc_id IS NOT NULL").collect()}
+    assert list(out[90].asDict()) == [*df.columns, "found"]
+    for doc_id, text in [(r[0], r[1]) for r in odd.rows() if r[0] is not None] + more:
+        spans = brute(text, S.trained_on(df))[1]
+        text_left, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                text_left += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert out[doc_id].text == (text if text is None else text_left + text[at:])
+
+
+def test_models_tell_random_from_ordinary(spark):
+    rng = random.Random(2)
+    part = ["user", "name", "count", "index", "value", "total", "list", "cache", "table", "column", "order", "item", "render", "state"]
+    plain = ["_".join(rng.choice(part) for _ in range(4)) for _ in range(600)]
+    chance = ["".join(rng.choice(S.ALPHABET[:62]) for _ in range(30)) for _ in range(600)]
+    rows = [(t, False) for t in plain[:400]] + [(t, True) for t in chance[:400]] + [(None, True), ("x", None)]
+    models = S.train(spark.createDataFrame(rows, "token string, secret boolean"))
+    wrong = sum(score(t, models.ratios) > models.threshold for t in plain[400:]) + sum(score(t, models.ratios) <= models.threshold for t in chance[400:])
+    assert wrong <= 8
+    text = " ".join([plain[500], chance[500], "it is " + chance[501] + "."])
+    rows = S.found_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), models).first().found
+    assert [text[x.start : x.end] for x in rows] == [chance[500], chance[501]]
+    assert not any(S.train(spark.createDataFrame([], "token string, secret boolean")).ratios)
