@@ -35,4 +35,20 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-SQL = {"op1_suffix_array_dedup": OP1, "op6_bottom_k_near_dedup": OP6}
+ALPHABET32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: SHA-1 in base 32, five bits at a time of the bits of its hex digits.
+OP5 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s FROM p),
+bits AS (SELECT s, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+  4 * (strpos('0123456789abcdef', substr(s, i, 1)) - 1) + 1, 4)), '') AS t FROM (SELECT DISTINCT s FROM h)),
+d AS (SELECT s, array_to_string(list_transform(range(0, 32), lambda i: substr('{ALPHABET32}', 1
+  + 16 * CAST(substr(t, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(t, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(t, 5 * i + 3, 1) AS INT)
+  + 2 * CAST(substr(t, 5 * i + 4, 1) AS INT) + CAST(substr(t, 5 * i + 5, 1) AS INT), 1)), '') AS digest FROM bits),
+f AS (SELECT s, min(page_id) AS low FROM h GROUP BY s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to
+FROM h JOIN d USING (s) JOIN f USING (s)
+"""
+
+SQL = {"op5_dictionary_warc": OP5, "op1_suffix_array_dedup": OP1, "op6_bottom_k_near_dedup": OP6}

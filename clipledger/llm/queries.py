@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import bottom_k, packing, quality_rules, secret_scan, suffix_dedup, token_store
+from clipledger.llm import bottom_k, packing, quality_rules, secret_scan, suffix_dedup, token_store, warc
 from clipledger.llm.common import table, written
 from clipledger.llm.tokens import vocabulary_path
 
@@ -22,6 +22,10 @@ def op4_decision_list_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality_rules.judged(table(spark, root, "documents"), table(spark, root, "labels"))[0]
 
 
+def op5_dictionary_warc(spark: SparkSession, root: str) -> DataFrame:
+    return warc.read_archives(written(warc.write_archives(table(spark, root, "pages"), at_least=0), "warc-manifest"))
+
+
 def op6_bottom_k_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return bottom_k.near_duplicates(table(spark, root, "documents"), 3, Fraction(85, 100))
 
