@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import bottom_k, kmeans_tree, packing, quality_rules, secret_scan, suffix_dedup, token_store, warc
+from clipledger.llm import bottom_k, kmeans_tree, mixing, packing, quality_rules, secret_scan, suffix_dedup, token_store, warc
 from clipledger.llm.common import table, written
 from clipledger.llm.tokens import vocabulary_path
 
@@ -18,6 +18,11 @@ def op1_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffix_dedup.cut_documents(table(spark, root, "documents"))
 
 
+def op2_pfair_source_mix(spark: SparkSession, root: str) -> DataFrame:
+    """Weights are the square roots of the sources' sizes."""
+    return mixing.interleaved(table(spark, root, "documents"))
+
+
 def op3_kmeans_tree_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return kmeans_tree.nearest(table(spark, root, "embeddings"), "vec_id % 20 = 0", k=20)
 
