@@ -9,10 +9,12 @@ Lists. Two sets with at least 64/t values share, at similarity t, a run of 4 nei
 sets use single values: of n values the n - ceil(t n) + 1 smallest, of which two such sets always share
 one. Common passages seldom fill a run, so lists stay short unless documents are alike.
 
-Pairs. A list is compared with its first member, then links make components, and only members of
-different components are compared again: with the 2nd, then the 3rd and 4th, then four more, and so
-on to the end. A group of n alike documents costs about n pairs, and no pair of unlinked members of a
-list is left out.
+Pairs. A list is first compared with the one member that shares most lists, as an original does with
+its variants; links make components, and only members of different components are compared again.
+For those, shingles that occur in one document alone are counted: they bound what it can share, which
+shows most documents to be alone and most pairs to be too far apart without a look at them. The rest of
+a list is compared with 8 members, then 64, and so on to the end, components apart. A group of n
+alike documents costs about n pairs, and no pair that could be a link is left out.
 """
 
 from __future__ import annotations
@@ -141,6 +143,26 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction
     return joined.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
+def _shareable(wanted: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """doc_id, n, shareable: set size, and how many of its shingles another of the wanted documents has too."""
+    wanted = written(wanted, "near-open")
+
+    def post(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = list(shingle_sets(*word_names(*text_bytes(batch.column(1))), width))
+            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            full = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_pydict({"value": full.view(np.int64), "doc_id": doc.astype(np.int64)})
+
+    own = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(post, "value long, doc_id long")
+    counted = own.groupBy("value").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id"))
+    alone = counted.where("m = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    sizes = classes.select("doc_id", "n").join(wanted, "doc_id", "left_semi")
+    return sizes.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shareable"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, at_least: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document with an id.
 
@@ -156,37 +178,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, at_least: Fraction = Fracti
         "near-classes",
     )
     lists = written(_lists(classes, at_least), "near-lists")
-    shared = written(lists.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1"), "near-shared")
-    lists = written(lists.join(shared.select("value", "head"), "value"), "near-members")
+    shared = written(lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
+    lists = written(lists.join(shared, "value"), "near-members")
+    hubs = written(lists.groupBy("doc_id").agg(F.sum("size").alias("support")), "near-hubs")
+    heads = lists.join(hubs, "doc_id").groupBy("value").agg(F.max_by("doc_id", F.struct("support", -F.col("doc_id"))).alias("head"))
+    star = lists.join(written(heads, "near-heads"), "value").where("doc_id <> head")
+    pair_of = (F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         close = written(_estimated(pairs, classes, at_least), "near-close")
         sure = close.where("sure").select("a", "b")
         return sure.unionByName(_confirmed(close.where("NOT sure").select("a", "b"), docs, width, at_least))
 
-    tested = written(lists.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-pairs")
+    tested = written(star.select(*pair_of).distinct(), "near-pairs")
     links = written(linked(tested), "near-links")
     nodes = classes.select(F.col("doc_id").alias("node"))
     roots = written(components(links, nodes, "near-stars"), "near-roots")
-    low, high = 2, 2
-    members = lists.select("value", "doc_id").withColumn("k", F.lit(0))
+    low, high, members = 1, 8, None
     while True:
-        named = members.select("value", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
-        apart = written(named.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x <> y AND n > {low}").select("value"), "near-apart")
+        named = lists.select("value", "doc_id") if members is None else members.select("value", "doc_id", "n", "shareable")
+        named = named.join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
+        apart = named.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
+        apart = written(apart.where(f"x <> y AND size > {low}").select("value"), "near-apart")
         if apart.isEmpty():
             break
+        named = named.join(apart, "value", "left_semi")
+        if members is None:
+            open_docs = written(_shareable(named.select("doc_id").distinct(), docs, classes, width), "near-shareable")
+            could = f"shareable * {at_least.denominator} >= n * {at_least.numerator}"
+            named = named.join(open_docs.where(could), "doc_id")
         place = Window.partitionBy("value").orderBy("doc_id")
-        members = written(named.join(apart, "value", "left_semi").withColumn("k", F.row_number().over(place)), "near-again")
-        heads = members.where(f"k BETWEEN {low} AND {high}").select("value", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("k").alias("ka"))
-        pairs = (
-            heads.join(members, "value").where("k > ka AND root <> ra").select("a", F.col("doc_id").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        fresh = written(pairs, "near-pairs")
+        members = written(named.withColumn("k", F.row_number().over(place)), "near-again")
+        first = members.where(f"k BETWEEN {low} AND {high}").select("value", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "root", "k", "n", "shareable")))
+        # |A and B| >= t / (1 + t) (|A| + |B|), and no more than either can share
+        reach = f"least(shareable, shareable1) * {at_least.numerator + at_least.denominator} >= (n + n1) * {at_least.numerator}"
+        pairs = first.join(members, "value").where(f"k > k1 AND root <> root1 AND {reach}").select(F.col("doc_id1").alias("a"), F.col("doc_id").alias("b"))
+        fresh = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = written(tested.unionByName(fresh), "near-tested")
-        links = written(links.unionByName(linked(fresh)), "near-links")
-        roots = written(components(links, nodes, "near-stars"), "near-roots")
-        low, high = high + 1, 2 * high
+        if not fresh.isEmpty():
+            links = written(links.unionByName(linked(fresh)), "near-links")
+            roots = written(components(links, nodes, "near-stars"), "near-roots")
+        low, high = high + 1, 8 * high
     own = every.join(classes.select("x", "y", F.col("doc_id").alias("node")), ["x", "y"], "left").select("doc_id", "n", "node")
     named = written(own, "near-own").join(roots, "node", "left")
     root = F.coalesce("root", "doc_id")
