@@ -58,11 +58,14 @@ def leftmost_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of an Arrow string column and where each text starts, with the end of the last; null is empty."""
+    """The bytes of an Arrow string or binary column and where each text starts, with the end of the last; null is empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    else:
+        column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -9,8 +9,10 @@ prefixes and Spark's sort brings them together. Three things keep the rounds sma
    First round, offset K: sites whose rank is unique go, with all strings that they stand for.
 2. Runs. The strings of a site lie side by side and cover one run of bytes. Second round, past the
    threshold: a run that occurs earlier in full is removed in full.
-3. Last round, offset T: only runs that come first of their kind, at a site that also occurs within
-   other runs, are ranked position by position; all but the first of a rank are removed.
+3. Longer ranks. What is left are runs that come first of their kind, at a site that also occurs
+   within other runs. Their strings are ranked by ever longer parts that all of them hold, and those
+   whose rank is unique go. The last round, at T bytes, ranks strings one by one; all but the first of
+   a rank are removed.
 
 Groups are only counted and reduced to their first member, both before the shuffle, and joins back
 have one row for each rank on the other side, so a string that a third of all documents hold is
@@ -31,6 +33,8 @@ from clipledger.llm.spans import doubled, leftmost_minima, mixed, pair, pieces,
 THRESHOLD = 100
 SITE = 32
 _HALF = 64
+#: Ranked lengths between site and threshold.
+LONGER = (66, 83)
 #: A site's place in its document and its strings: place << 16 | bytes from first string << 8 | strings - 1.
 _PLACE, _BACK = 65536, 256
 
@@ -73,27 +77,87 @@ def _site_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(find, "site long, run long, doc_id long, place long")
 
 
-def _window_rows(docs: DataFrame) -> DataFrame:
-    """Two names for each string of T bytes that starts in the listed runs of (doc_id, text, places)."""
+_SEGMENT = "doc_id long, start long, n long, back long, bytes binary"
 
-    def name(batches):
+
+def _segments(docs: DataFrame) -> DataFrame:
+    """Of (doc_id, text, places): each run's first string, number of strings, distance to its site, and bytes."""
+
+    def take(batches):
         import pyarrow as pa
 
         for batch in batches:
             data, at = text_bytes(batch.column(1))
-            lists = batch.column(2)
+            lists, parts = batch.column(2), []
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                place = np.sort(lists[i].values.to_numpy(zero_copy_only=False))
-                first, n = (place >> 16) - (place >> 8 & 255), (place & 255) + 1
-                p = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                short, half = doubled(data[at[i] : at[i + 1]], SITE, _HALF)
-                full = pair(half[p], half[p + THRESHOLD - _HALF], 22)
-                again = mixed(pair(pair(short[p], short[p + SITE], 23), half[p + THRESHOLD - _HALF], 24))
-                yield pa.RecordBatch.from_pydict(
-                    {"x": full.view(np.int64), "y": again.view(np.int64), "doc_id": np.full(len(p), doc_id), "start": p}
-                )
+                place, text = lists[i].values.to_numpy(zero_copy_only=False), data[at[i] : at[i + 1]]
+                back, n = place >> 8 & 255, (place & 255) + 1
+                start = (place >> 16) - back
+                own = [text[a:b].tobytes() for a, b in zip(start.tolist(), (start + n - 1 + THRESHOLD).tolist(), strict=True)]
+                parts.append(pa.RecordBatch.from_pydict({
+                    "doc_id": np.full(len(n), doc_id), "start": start, "n": n, "back": back, "bytes": pa.array(own, pa.binary()),
+                }))
+            yield from parts
+
+    return docs.mapInArrow(take, _SEGMENT)
+
+
+def _columns(batch) -> tuple:
+    data, at = text_bytes(batch.column(4))
+    return (data, at[:-1], *(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)))
+
+
+def _ranked_segments(segments: DataFrame, size: int) -> DataFrame:
+    """Splits segments so that all strings of a part hold one string of `size` bytes, and names that one.
+
+    The `size`-byte string starts a multiple of T - size + 1 bytes before the site, so parts with equal
+    strings hold equal ones.
+    """
+    step = THRESHOLD - size + 1
+
+    def split(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data, at, doc, start, n, back = _columns(batch)
+            (half,) = doubled(data, _HALF)
+            # the j-th string starts j * step before the site; it lies in strings that start up to step - 1 earlier
+            high, low = back // step, (back - n + 1) // step
+            parts = high - low + 1
+            row = np.repeat(np.arange(len(n)), parts)
+            j = low[row] + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            key = back[row] - j * step  # from the segment's start
+            first, last = np.maximum(0, key - step + 1), np.minimum(n[row] - 1, key)
+            p = at[row] + key
+            name = mixed(pair(half[p], half[p + size - _HALF], 26) ^ mixed(j.astype(np.uint64) + np.uint64(size)))
+            own = [data[a:b].tobytes() for a, b in zip((at[row] + first).tolist(), (at[row] + last + THRESHOLD).tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": doc[row], "start": start[row] + first, "n": last - first + 1, "back": back[row] - first,
+                "bytes": pa.array(own, pa.binary()), "name": name.view(np.int64),
+            })
+
+    return segments.mapInArrow(split, _SEGMENT + ", name long")
+
+
+def _string_rows(segments: DataFrame) -> DataFrame:
+    """Two names for each string of T bytes that starts in a segment."""
+
+    def name(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data, at, doc, start, n, _ = _columns(batch)
+            short, half = doubled(data, SITE, _HALF)
+            row = np.repeat(np.arange(len(n)), n)
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            p = at[row] + k
+            full = pair(half[p], half[p + THRESHOLD - _HALF], 22)
+            again = mixed(pair(pair(short[p], short[p + SITE], 23), half[p + THRESHOLD - _HALF], 24))
+            yield pa.RecordBatch.from_pydict(
+                {"x": full.view(np.int64), "y": again.view(np.int64), "doc_id": doc[row], "start": start[row] + k}
+            )
 
-    return docs.mapInArrow(name, "x long, y long, doc_id long, start long")
+    return segments.mapInArrow(name, "x long, y long, doc_id long, start long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -122,14 +186,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         runs.join(mixed_sites, "site", "left_semi").select("first.doc_id", "first.place")
         .groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     )
-    windows = written(_window_rows(docs.join(written(open_runs, "repeat-open"), "doc_id").select("doc_id", "text", "places")), "repeat-windows")
+    open_docs = docs.join(written(open_runs, "repeat-open"), "doc_id").select("doc_id", "text", "places")
+    segments = written(_segments(open_docs), "repeat-segments")
+    for size in LONGER:
+        parts = written(_ranked_segments(segments, size), "repeat-parts")
+        again = written(parts.groupBy("name").count().where("count > 1").select("name"), "repeat-names")
+        segments = written(parts.join(again, "name", "left_semi").drop("name"), "repeat-segments")
+    strings = written(_string_rows(segments), "repeat-strings")
     firsts = written(
-        windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+        strings.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("x", "y", "first"),
         "repeat-firsts",
     )
     again = (
-        windows.join(firsts, ["x", "y"]).where("doc_id > first.doc_id OR doc_id = first.doc_id AND start > first.start")
+        strings.join(firsts, ["x", "y"]).where("doc_id > first.doc_id OR doc_id = first.doc_id AND start > first.start")
         .selectExpr("doc_id", "start", f"start + {THRESHOLD} AS end")
     )
     return later.unionByName(again).groupBy("doc_id").agg(
