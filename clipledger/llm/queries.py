@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import bottom_k, kmeans_tree, mixing, packing, quality_rules, secret_scan, suffix_dedup, token_store, warc
+from clipledger.llm import bottom_k, kmeans_tree, mixing, packing, pitman_yor, quality_rules, secret_scan, suffix_dedup, token_store, warc
 from clipledger.llm.common import table, written
 from clipledger.llm.tokens import vocabulary_path
 
@@ -52,6 +52,11 @@ def op9_markov_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return secret_scan.scanned(table(spark, root, "documents"))
 
 
+def op10_pitman_yor_scores(spark: SparkSession, root: str) -> DataFrame:
+    held_out = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 1"
+    return pitman_yor.scored(table(spark, root, "documents"), held_out)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
