@@ -140,7 +140,7 @@ def _ranked_segments(segments: DataFrame, size: int) -> DataFrame:
 
 
 def _string_rows(segments: DataFrame) -> DataFrame:
-    """Two names for each string of T bytes that starts in a segment."""
+    """Two names, 96 bits together, for each string of T bytes that starts in a segment."""
 
     def name(batches):
         import pyarrow as pa
@@ -154,10 +154,10 @@ def _string_rows(segments: DataFrame) -> DataFrame:
             full = pair(half[p], half[p + THRESHOLD - _HALF], 22)
             again = mixed(pair(pair(short[p], short[p + SITE], 23), half[p + THRESHOLD - _HALF], 24))
             yield pa.RecordBatch.from_pydict(
-                {"x": full.view(np.int64), "y": again.view(np.int64), "doc_id": doc[row], "start": start[row] + k}
+                {"x": full.view(np.int64), "y": (again >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": doc[row], "start": start[row] + k}
             )
 
-    return segments.mapInArrow(name, "x long, y long, doc_id long, start long")
+    return segments.mapInArrow(name, "x long, y int, doc_id long, start long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         parts = written(_ranked_segments(segments, size), "repeat-parts")
         again = written(parts.groupBy("name").count().where("count > 1").select("name"), "repeat-names")
         segments = written(parts.join(again, "name", "left_semi").drop("name"), "repeat-segments")
-    strings = written(_string_rows(segments), "repeat-strings")
+    strings = _string_rows(segments)  # made twice: cheaper than to keep
     firsts = written(
         strings.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("x", "y", "first"),
