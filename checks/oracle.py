@@ -133,6 +133,8 @@ def build() -> dict[str, str]:
                CASE WHEN o_orderkey % 3 = 0 THEN CAST(360 AS BIGINT) END AS item_h
         FROM (SELECT *, unnest(CASE WHEN o_orderkey % 4 = 0 THEN [NULL::BIGINT] ELSE range(o_orderkey % 4) END) AS i
               FROM orders WHERE o_orderkey % 61 <> 0)"""
+    for name in ("formats_quarantine", "probe_quarantine"):
+        q[name] = q["post_media_quarantine"]
     q["ingest_probe_facts"] = sql("SELECT * FROM probes")
     q["dedup_store_upsert"] = sql("SELECT scope_id, tweet_id, ts FROM dedup_store")
     q["dedup_store_hydrate"] = sql("SELECT scope_id, tweet_id FROM dedup_store, clock WHERE now - ts <= 86400")
@@ -149,11 +151,12 @@ def build() -> dict[str, str]:
           'error:ssrf_blocked','error:optimize_failed','error:legacy_error_key'][k % 8 + 1] AS key, sum(event_id % 5) AS v
           FROM ev GROUP BY 1) USING (key)""")
     q["job_report"] = sql(f"""
-        SELECT id, id % 9000 AS resolve_ms, size AS size_bytes, container, ext AS extension, z AS part_sizes, CASE WHEN n > 1 THEN 'split' ELSE 'single' END AS kind,
+        SELECT id, id % 9000 AS resolve_ms, size AS size_bytes, container, ext AS extension, CASE WHEN n > 1 THEN 'split' ELSE 'single' END AS kind,
                coalesce(n, 0) AS n_parts, CAST(coalesce(t, 0) AS BIGINT) AS total_size_bytes, coalesce(t, 0) <= {CAP} AS fits_single_upload,
                round(coalesce(t, 0)::DOUBLE / size::DOUBLE, 6) AS size_ratio
-        FROM media LEFT JOIN (SELECT job AS id, count(*) AS n, sum(size) AS t, string_agg(size, ',' ORDER BY pos) AS z FROM parts GROUP BY 1) USING (id)""")
-    q["job_report_parts"] = sql("SELECT job, pos, size AS size_bytes FROM parts")
+        FROM media LEFT JOIN (SELECT job AS id, count(*) AS n, sum(size) AS t FROM parts GROUP BY 1) USING (id)""")
+    q["job_report_parts"] = sql(f"""SELECT job, row_number() OVER (PARTITION BY job ORDER BY pos) AS part, size AS size_bytes,
+        round(size::DOUBLE / nullif(sum(size) OVER (PARTITION BY job), 0)::DOUBLE, 6) AS share, size <= {CAP} AS fits FROM parts""")
 
     # ---- text and URLs --------------------------------------------------------
     q["extract_links"] = sql("""
@@ -192,8 +195,10 @@ def build() -> dict[str, str]:
                            WHEN req % 25 = 0 AND hop = 0 THEN 'non-https url'
                            WHEN hop = last THEN 'ok' WHEN req % 14 = 0 AND hop = 1 THEN 'redirect missing location header'
                            WHEN hop >= 5 THEN 'too many redirects' END AS v FROM hops) WHERE v IS NOT NULL) WHERE rn = 1""")
-    q["log_tail"] = sql("""
-        SELECT proc, string_agg(coalesce(cut, line), chr(10) ORDER BY line_no) FILTER (WHERE back <= 10) AS tail, count(*) > 10 AS truncated
+    for name, n in (("log_tail", 10), ("log_tail_success", 20)):
+        q[name] = sql(f"""
+        SELECT proc, string_agg(coalesce(cut, line), chr(10) ORDER BY line_no) FILTER (WHERE back <= {n}) AS tail, count(*) > {n} AS truncated,
+               count(cut) FILTER (WHERE back <= {n}) AS cut_lines
         FROM (SELECT *, row_number() OVER (PARTITION BY proc ORDER BY line_no DESC) AS back FROM log_lines LEFT JOIN (
           SELECT proc, line_no, string_agg(c, '' ORDER BY i) FILTER (WHERE bytes <= 4096) ||
                  CASE WHEN max(bytes) FILTER (WHERE bytes <= 4096) < 4096 THEN chr(65533) ELSE '' END AS cut FROM (
@@ -490,20 +495,6 @@ def build() -> dict[str, str]:
         WHERE t.z > t.a AND (h.stage, h.done, h.total) IS DISTINCT FROM (e.stage, e.done, e.total)"""
     q["progress_debounce"] = sql(shown, *bounce, recursive=True)
     q["stream_progress_debounce"] = q["progress_debounce"]
-    q["disk_reservation"] = sql(
-        "SELECT request_id, admitted, CAST(reserved_after AS BIGINT) AS reserved_after FROM f",
-        "b0 AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY start_s, request_id) AS rn FROM reservations)",
-        f"""f AS (SELECT host, rn, request_id, adm AS admitted, CASE WHEN adm THEN bytes ELSE 0 END AS reserved_after,
-                     CASE WHEN adm AND bytes > 0 THEN [{{'e': end_s, 'b': bytes}}] ELSE [] END AS held
-              FROM (SELECT *, bytes = 0 OR available >= {100 * MIB} + bytes AS adm FROM b0 WHERE rn = 1) UNION ALL
-            SELECT host, rn, request_id, adm, r + CASE WHEN adm THEN bytes ELSE 0 END,
-                   CASE WHEN adm AND bytes > 0 THEN list_append(left_, {{'e': end_s, 'b': bytes}}) ELSE left_ END
-              FROM (SELECT *, bytes = 0 OR available >= {100 * MIB} + r + bytes AS adm FROM (
-                SELECT *, CAST(coalesce(list_sum(list_transform(left_, lambda x: x.b)), 0) AS BIGINT) AS r FROM (
-                  SELECT b.*, list_filter(f.held, lambda x: x.e > b.start_s) AS left_ FROM f JOIN b0 b ON b.host = f.host AND b.rn = f.rn + 1))))""",
-        recursive=True,
-    )
-
     # ---- streaming rollups -------------------------------------------------------------------
     q["stream_totals"] = q["run_totals"]
     q["stream_error_counts"] = q["error_category_counts"]

@@ -54,8 +54,6 @@ VIEWS = {
                ELSE 'downloading' END AS stage,
                CASE WHEN event_type IN ('view','click','purchase') THEN least(k % 6, 4) END AS done,
                CASE WHEN event_type IN ('view','click','purchase') THEN CAST(4 AS BIGINT) END AS total FROM ev""",
-    "reservations": f"""SELECT event_id AS request_id, user_id % 4 AS host, s AS start_s,
-               s + CAST(floor(value) AS BIGINT) * 100 AS end_s, k * {MIB} AS bytes, {300 * MIB} AS available FROM ev""",
     "media": """SELECT *, CAST(duration_ms AS DOUBLE) / 1000.0 AS duration_s,
                CASE WHEN duration_ms > 0 AND id % 7 <> 0 THEN size * 8 // duration_ms END AS bitrate_kbps FROM (
                SELECT o_orderkey AS id, CAST(floor(o_totalprice * 200) AS BIGINT) AS size,

@@ -11,7 +11,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipledger.config import DEFAULTS, MIB
+from clipledger.config import DEFAULTS
+from clipledger.constants import LOG_TAIL_SUCCESS
 from clipledger.operators import folds, joins, metrics, outcomes, policy, selection, sequences, text
 from clipledger.plans import catalogue
 from clipledger.sources import ingest, stores, views
@@ -63,7 +64,7 @@ def _report(spark, root):
     return nested.select(
         "id", "report.stages.resolve_ms", "report.downloaded.size_bytes", "report.downloaded.facts.container",
         "report.resolved.extension", "report.output.kind", "report.output.n_parts",
-        F.array_join(F.transform("report.output.parts", lambda p: p["size_bytes"].cast("string")), ",").alias("part_sizes"), "report.output.total_size_bytes", "report.output.fits_single_upload",
+        "report.output.total_size_bytes", "report.output.fits_single_upload",
         F.round("report.output.size_ratio_to_download", 6).alias("size_ratio"),
     )
 
@@ -161,6 +162,8 @@ def batch() -> dict[str, Query]:
     q["ingest_post_media"] = lambda s, r: ingest.ingest_post_media(v.raw_posts(s, r))
     q["post_media_quarantine"] = lambda s, r: ingest.post_media_quarantine(v.raw_posts(s, r)).select("id", "kind")
     q["ingest_formats"] = lambda s, r: ingest.ingest_formats(v.raw_items(s, r))
+    q["formats_quarantine"] = lambda s, r: ingest.formats_quarantine(v.raw_items(s, r)).select("id", "kind")
+    q["probe_quarantine"] = lambda s, r: ingest.probe_quarantine(v.raw_probes(s, r)).select("id", "kind")
     q["ingest_probe_facts"] = lambda s, r: ingest.ingest_probe_facts(v.raw_probes(s, r))
     q["dedup_store_upsert"] = _store
     q["dedup_store_hydrate"] = lambda s, r: stores.dedup_store_hydrate(_store(s, r), _now(s, r))
@@ -169,7 +172,7 @@ def batch() -> dict[str, Query]:
     q["metrics_store_load"] = lambda s, r: stores.metrics_store_load(v.counters(s, r))
     q["job_report"] = _report
     # text and URLs
-    q["job_report_parts"] = lambda s, r: stores.job_report_parts(v.parts(s, r))
+    q["job_report_parts"] = lambda s, r: stores.job_report_parts(v.parts(s, r)).withColumn("share", F.round("share", 6))
     q["extract_links"] = lambda s, r: _links(s, r).drop("ts")
     q["canonical_link_stats"] = lambda s, r: text.canonical_link_stats(_links(s, r)).select(
         "canonical_url", "n", "n_hosts", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us")
@@ -180,6 +183,7 @@ def batch() -> dict[str, Query]:
     q["resolved_ip_audit"] = lambda s, r: policy.resolved_ip_audit(v.url_ips(s, r))
     q["redirect_chain_audit"] = lambda s, r: policy.redirect_chain_audit(v.hops(s, r))
     q["log_tail"] = lambda s, r: text.log_tail(v.log_lines(s, r))
+    q["log_tail_success"] = lambda s, r: text.log_tail(v.log_lines(s, r), LOG_TAIL_SUCCESS)
     # outcomes
     q["resolve_failure_durability"] = lambda s, r: outcomes.resolve_failure_durability(v.resolve_failures(s, r))
     q["download_outcomes"] = lambda s, r: outcomes.download_outcomes(v.downloads(s, r))
@@ -251,9 +255,6 @@ def batch() -> dict[str, Query]:
     q["resolver_cache_labels"] = lambda s, r: _labels(s, r).select("request_id", "label")
     q["cache_hit_rates"] = lambda s, r: folds.cache_hit_rates(_labels(s, r))
     q["progress_debounce"] = lambda s, r: folds.progress_debounce(v.progress(s, r), DEBOUNCE_S).drop("ts")
-    q["disk_reservation"] = lambda s, r: folds.disk_reservation(v.reservations(s, r), 100 * MIB).select(
-        "request_id", "admitted", "reserved_after"
-    )
     return q
 
 
@@ -273,9 +274,6 @@ def streams() -> dict[str, Query]:
     v, post = views, ["channel_id", "tweet_id"]
     q: dict[str, Query] = {}
     q["stream_dedup"] = lambda s, r: drain_append(stateful.stream_dedup(_stream_channel(s, r), post, DAY)).select("request_id")
-    q["stream_dedup_within_watermark"] = lambda s, r: drain_append(
-        stateful.stream_dedup(_stream_channel(s, r), post, DAY, mode="within_watermark")
-    ).select("request_id")
     q["stream_rate_limit"] = lambda s, r: drain_append(
         stateful.stream_rate_limit(
             v.shape_requests(read_events(s, r)).where("author_id IS NOT NULL"), ["author_id"], 2, DAY

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from clipledger.constants import BLOCKED_V4, BLOCKED_V6
 
+#: Spellings that are read; anything else is no address.
+READABLE = (
+    r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!$)|$)){4}$"
+    r"|^(?=[0-9A-Fa-f:.]*$)(?=(?:[^:]*:){2,})(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:$)"
+    r"(?:[0-9A-Fa-f]{0,4}:){1,7}(?:[0-9A-Fa-f]{0,4}|(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!$)|$)){4})$"
+)
 _QUAD = r"(?:^|:)([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})$"
 
 

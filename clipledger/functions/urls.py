@@ -58,6 +58,12 @@ def media_extension(media_type: Column, url: Column) -> Column:
     )
 
 
+def _normal(url: Column) -> Column:
+    """As URL parsers read it: no tab or line break, and for http and https any run of slashes, or none, opens the host."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.regexp_replace(bare, r"^([Hh][Tt][Tt][Pp][Ss]?):[/\\]*", "$1://")
+
+
 def with_policy(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds host, port and reason: the first failing rule, ``ok`` when none fails.
 
@@ -65,7 +71,7 @@ def with_policy(df: DataFrame, url: str = "url") -> DataFrame:
     """
     scheme, server, host, port = F.col("_scheme"), F.col("_server"), F.col("host"), F.col("port")
     staged = (
-        df.withColumn("_url", F.trim(url))
+        df.withColumn("_url", _normal(F.col(url)))
         .withColumn("_scheme", F.lower(F.regexp_extract("_url", _SCHEME, 1)))
         # authority without user information
         .withColumn("_server", F.regexp_extract(F.regexp_extract("_url", _AUTHORITY, 1), r"([^@]*)$", 1))
@@ -82,6 +88,7 @@ def with_policy(df: DataFrame, url: str = "url") -> DataFrame:
     unreadable = (
         F.col("_url").isNull()
         | (scheme == "")
+        | (scheme.isin("http", "https") & (server == ""))
         | ((server != "") & (~server.rlike(_HOST) | (host.rlike(_BAD_HOST) & ~host.startswith("["))))
         | (port > 65_535)
     )

@@ -4,7 +4,7 @@ Rows are range-partitioned by (keys, order), so one key may span many
 partitions ("chunks") and no task holds more than one chunk, however hot the
 key is.  Two tools build on that:
 
-* ``chunked`` with ``summaries`` and ``attach``: for windows that compose (sums, running extremes).  Each chunk
+* ``range_chunks`` with ``summaries`` and ``attach``: for windows that compose (sums, running extremes).  Each chunk
   is summarised per key, the summaries are combined over at most one row per
   (chunk, key), and only keys that continue into a chunk get a carry-in row.
   Those number at most one per chunk, so the carry table is broadcast.
@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 from clipledger.session import durable, setting
 
 CHUNK = "_chunk"
-BIG_KEY_ROWS = 4_000_000
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chunks: int | None = None) -> DataFrame:
@@ -46,22 +45,6 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chu
         return durable(spread.sortWithinPartitions(*cols).withColumn(CHUNK, F.spark_partition_id()))
 
 
-def chunked(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chunks: int | None = None
-) -> tuple[DataFrame, bool]:
-    """Rows with a chunk number, and whether keys may span chunks.
-
-    Splitting costs a range shuffle and a write, so the largest key is counted first (key
-    columns only, combined before the shuffle).  If it fits one task, every key is one
-    chunk and the windows below are plain windows per key.
-    """
-    if n_chunks is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        if (sizes.agg(F.max("_n")).first()[0] or 0) <= BIG_KEY_ROWS:
-            return df.withColumn(CHUNK, F.lit(0)), False
-    return range_chunks(df, keys, order, n_chunks), True
-
-
 def inside(keys: Sequence[str], order: Sequence[str]):
     """Window over one key's rows inside one chunk."""
     return Window.partitionBy(CHUNK, *keys).orderBy(*order)
@@ -79,14 +62,8 @@ def summaries(rows: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     return rows.groupBy(CHUNK, *keys).agg(*aggs)
 
 
-def attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str], split: bool) -> DataFrame:
-    """Left-join carry-ins; ``carry`` must already be limited to continuing keys (<= one per chunk).
-
-    Where keys were not split nothing carries over and ``carry`` is never computed.
-    """
-    if not split:
-        fields = [f for f in carry.schema.fields if f.name not in (CHUNK, *keys)]
-        return rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+def attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left-join carry-ins; ``carry`` must already be limited to continuing keys (<= one per chunk)."""
     return rows.join(F.broadcast(carry), [CHUNK, *keys], "left")
 
 
@@ -94,7 +71,7 @@ def ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", n_chunks: int | None = None
 ) -> DataFrame:
     """row_number() per key for keys of any size."""
-    rows, split = chunked(df, keys, order, n_chunks)
+    rows = range_chunks(df, keys, order, n_chunks)
     rows = rows.withColumn("_local", F.row_number().over(inside(keys, order)))
     summary = summaries(rows, keys, F.count(F.lit(1)).alias("_n"))
     carry = (
@@ -103,7 +80,7 @@ def ordinal(
         .select(CHUNK, *keys, "_base")
     )
     return (
-        attach(rows, carry, keys, split)
+        attach(rows, carry, keys)
         .withColumn(name, F.coalesce("_base", F.lit(0)) + F.col("_local"))
         .drop("_base", "_local", CHUNK)
     )

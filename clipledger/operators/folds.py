@@ -1,7 +1,7 @@
-"""Decisions that depend on earlier decisions: dedup, rate limits, caches, debounce, disk.
+"""Decisions that depend on earlier decisions: dedup, rate limits, caches, debounce.
 
-Event time is read in whole seconds, as the limits are.  All but the disk
-reservation first shrink each key to one row per second ("slot") with a
+Event time is read in whole seconds, as the limits are.  All of them
+first shrink each key to one row per second ("slot") with a
 map-side combined aggregate, so the fold sees at most one row per key and
 second of clock time whatever the traffic; the per-row answer is then a
 comparison with its slot.  The fold itself is ``chunks.ordered_fold``, which
@@ -10,7 +10,6 @@ splits a key over tasks.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark import cloudpickle
@@ -129,33 +128,6 @@ class _DebounceFold(Fold):
         return (sec if is_open or forced else last), (is_open,)
 
 
-class _ReservationFold(Fold):
-    """Admits a request while free space covers the floor, what is held and itself."""
-
-    inputs = ("start_s", "end_s", "bytes", "available")
-    outputs = (("admitted", T.BooleanType()), ("reserved_after", T.LongType()))
-
-    def __init__(self, min_free: int):
-        self.min_free = min_free
-
-    def start(self):
-        # bytes reserved, heap of (end, bytes)
-        return [0, []]
-
-    def step(self, state, start, end, size, available):
-        reserved, held = state
-        while held and held[0][0] <= start:
-            reserved -= heapq.heappop(held)[1]
-        admitted = size == 0 or available is None or available >= self.min_free + reserved + size
-        if admitted and size:
-            heapq.heappush(held, [end, size])
-            reserved += size
-        return [reserved, held], (admitted, reserved)
-
-    def settle(self, state):
-        return [state[0], sorted(state[1])]
-
-
 def _ship() -> None:
     import clipledger.operators.folds as here
 
@@ -439,13 +411,3 @@ def progress_debounce(
         .select(*keys, "ts", "seq", "stage", "done", "total", F.lit(False).alias("flushed"))
         .unionByName(flush)
     )
-
-
-def disk_reservation(
-    reservations: DataFrame, min_free_bytes: int = DEFAULTS.min_free_bytes, *, n_chunks: int | None = None
-) -> DataFrame:
-    """Adds ``admitted`` and ``reserved_after`` per host; space is given back at ``end_s``."""
-    _ship()
-    return ordered_fold(
-        reservations, ["host"], ["start_s", "request_id"], _ReservationFold(min_free_bytes), n_chunks
-    )

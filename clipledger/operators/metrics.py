@@ -17,8 +17,7 @@ def _closed(spark, name: str, values: list[str]) -> DataFrame:
 
 def int_avg(total: Column, count: Column) -> Column:
     """Floor of total / count, 0 for no samples; both are non-negative integers."""
-    whole = (total - total % F.when(count > 0, count)) / F.when(count > 0, count)
-    return F.coalesce(whole.cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.call_function("div", total, F.when(count > 0, count)), F.lit(0).cast("bigint"))
 
 
 def run_totals(jobs: DataFrame) -> DataFrame:

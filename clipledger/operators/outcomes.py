@@ -147,7 +147,10 @@ def retry_schedule(
 
 
 def error_notifications(errors: DataFrame) -> DataFrame:
-    """User message and notify flag per error, counted; the rule table is a fixed ten rows."""
+    """User message and notify flag per error, counted; the rule table is a fixed ten rows.
+
+    Kinds that no rule knows are counted as ``unmapped`` and notify.
+    """
     spark = errors.sparkSession
     rules = spark.createDataFrame(ERROR_MESSAGES, "error_kind string, source string, message string, notify boolean")
     exact = rules.where("source IS NOT NULL").select(
@@ -160,7 +163,10 @@ def error_notifications(errors: DataFrame) -> DataFrame:
         errors.groupBy("error_kind", "source_kind")
         .agg(F.count(F.lit(1)).alias("_c"))
         .join(F.broadcast(exact), ["error_kind", "source_kind"], "left")
-        .join(F.broadcast(general), "error_kind", "inner")
-        .groupBy(F.coalesce("_m1", "_m2").alias("message"), F.coalesce("_n1", "_n2").alias("notify"))
+        .join(F.broadcast(general), "error_kind", "left")
+        .groupBy(
+            F.coalesce("_m1", "_m2", F.lit("unmapped")).alias("message"),
+            F.coalesce("_n1", "_n2", F.lit(True)).alias("notify"),
+        )
         .agg(F.sum("_c").alias("n"))
     )

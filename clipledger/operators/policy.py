@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipledger.config import DEFAULTS
 from clipledger.constants import BLOCKED_V4, BLOCKED_V6
-from clipledger.functions.addresses import with_blocked
+from clipledger.functions.addresses import READABLE, with_blocked
 from clipledger.functions.urls import with_policy
 
 
@@ -28,17 +28,25 @@ def resolved_ip_audit(
     v4: list[str] = BLOCKED_V4,
     v6: list[str] = BLOCKED_V6,
 ) -> DataFrame:
-    """Per key: any blocked address rejects it, and so does having none."""
+    """Per key: any blocked address rejects it, and so does an unreadable one or having none."""
+    readable = F.col(ip).rlike(READABLE)
+    # unreadable text never reaches the parser
+    staged = url_ips.select(key, F.when(readable, F.col(ip)).alias("_ip"), (~readable).alias("_unread"))
     return (
-        with_blocked(url_ips, ip, "_blocked", v4, v6)
+        with_blocked(staged, "_ip", "_blocked", v4, v6)
         .groupBy(key)
-        .agg(F.count(ip).alias("n_addrs"), F.count_if("_blocked").alias("n_blocked"))
+        .agg(
+            (F.count("_ip") + F.count_if("_unread")).alias("n_addrs"), F.count_if("_blocked").alias("n_blocked"),
+            F.count_if("_unread").alias("_unread"),
+        )
         .withColumn(
             "reason",
             F.when(F.col("n_blocked") > 0, "resolved to blocked ip")
+            .when(F.col("_unread") > 0, "unreadable ip")
             .when(F.col("n_addrs") == 0, "dns lookup returned no addresses")
             .otherwise("ok"),
         )
+        .drop("_unread")
     )
 
 

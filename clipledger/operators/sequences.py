@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clipledger.config import DEFAULTS
 from clipledger.constants import PERMITS
 from clipledger.functions.failures import hardware_failure
-from clipledger.operators.chunks import CHUNK, attach, before, chunked, inside, ordinal, summaries
+from clipledger.operators.chunks import CHUNK, attach, before, inside, ordinal, range_chunks, summaries
 
 _ROWS = (Window.unboundedPreceding, Window.currentRow)
 
@@ -39,7 +39,7 @@ def queue_depth_timeline(
     """
     order = list(order)
     w = inside([scope], order).rowsBetween(*_ROWS)
-    rows, split = chunked(queue_events, [scope], order, n_chunks)
+    rows = range_chunks(queue_events, [scope], order, n_chunks)
     local = rows.withColumn("_s", F.sum("delta").over(w))
     local = local.withColumn("_m", F.min("_s").over(w))
     summary = summaries(
@@ -55,7 +55,7 @@ def queue_depth_timeline(
     carry = base.where(F.col("_pin").isNotNull()).select(CHUNK, scope, "_din", "_pin")
     depth = F.greatest(_zero(F.col("_din")) + F.col("_s"), F.col("_s") - F.least(F.col("_m"), F.lit(0)))
     return (
-        attach(local, carry, [scope], split)
+        attach(local, carry, [scope])
         .withColumn("depth", depth)
         .withColumn("peak", F.greatest(_zero(F.col("_pin")), F.max("depth").over(w)))
         .withColumn("warn", F.col("depth") >= warn_at)
@@ -92,7 +92,7 @@ def concurrency_in_use(
         ).alias("m"),
     ).select("stage", "m.*")
     net = moves.groupBy("stage", "at_ms").agg(F.sum("delta").alias("delta"))
-    rows, split = chunked(net, ["stage"], ["at_ms"], n_chunks)
+    rows = range_chunks(net, ["stage"], ["at_ms"], n_chunks)
     local = rows.withColumn("_s", F.sum("delta").over(inside(["stage"], ["at_ms"]).rowsBetween(*_ROWS)))
     summary = summaries(rows, ["stage"], F.sum("delta").alias("_sum"))
     carry = (
@@ -100,7 +100,7 @@ def concurrency_in_use(
         .where(F.col("_in").isNotNull())
         .select(CHUNK, "stage", "_in")
     )
-    level = attach(local, carry, ["stage"], split).withColumn("_level", _zero(F.col("_in")) + F.col("_s"))
+    level = attach(local, carry, ["stage"]).withColumn("_level", _zero(F.col("_in")) + F.col("_s"))
     at_now = (F.col("_level") >= F.col("limit")).cast("bigint")
     at_before = (F.col("_level") - F.col("delta") >= F.col("limit")).cast("bigint")
     got = (
@@ -129,7 +129,7 @@ def clock_repair(
 
     ``ts`` is a number of seconds.
     """
-    rows, split = chunked(events, [source], [arrival], n_chunks)
+    rows = range_chunks(events, [source], [arrival], n_chunks)
     local = rows.withColumn("_max", F.max(ts).over(inside([source], [arrival]).rowsBetween(*_ROWS)))
     carry = (
         summaries(rows, [source], F.max(ts).alias("_top"))
@@ -138,7 +138,7 @@ def clock_repair(
         .select(CHUNK, source, "_in")
     )
     return (
-        attach(local, carry, [source], split)
+        attach(local, carry, [source])
         .withColumn("ts_fixed", F.greatest("_max", "_in"))
         .withColumn("skewed", F.col(ts) + skew < F.col("ts_fixed"))
         .drop(CHUNK, "_max", "_in")
@@ -181,7 +181,7 @@ def failure_streaks(
     """
     k = [source]
     w = inside(k, [order]).rowsBetween(*_ROWS)
-    rows, split = chunked(attempts.select(source, order, "ok"), k, [order], n_chunks)
+    rows = range_chunks(attempts.select(source, order, "ok"), k, [order], n_chunks)
     local = rows.withColumn("_n", F.count(F.lit(1)).over(w))
     local = local.withColumn("_ok_at", F.max(F.when(F.col("ok"), F.col("_n"))).over(w))
     within = F.col("_n") - F.col("_ok_at")
@@ -201,7 +201,7 @@ def failure_streaks(
     exponent = F.least(F.col("streak") - 1, F.lit(max_exponent))
     backoff = F.least(base_s * F.pow(F.lit(2.0), exponent).cast("bigint"), F.lit(max_backoff_s).cast("bigint"))
     return (
-        attach(local, carry, k, split)
+        attach(local, carry, k)
         .withColumn("streak", streak)
         .withColumn("_peak", F.greatest(F.max("streak").over(w), _zero(F.col("_longest"))))
         .select(

@@ -67,16 +67,22 @@ def log_tail(
     text: str = "text",
     line_bytes: int = LOG_LINE_BYTES,
 ) -> DataFrame:
-    """Last ``n`` lines per process joined in order; ``truncated`` tells that earlier lines were dropped.
+    """Last ``n`` lines per process joined in order.
 
-    One line more than needed is kept to tell whether anything was dropped; the rank
+    ``truncated`` tells that earlier lines were dropped, ``cut_lines`` how many of the
+    joined ones were longer than ``line_bytes``.  Lines are cut where they are read; one
+    line more than needed is kept to tell whether anything was dropped, and the rank
     filter is applied per map task before the shuffle, so a chatty process sends few rows.
     """
-    ranked = lines.withColumn(
+    short = lines.select(
+        proc, line_no, _cut_bytes(text, line_bytes).alias("_line"), (F.octet_length(text) > line_bytes).alias("_cut")
+    )
+    ranked = short.withColumn(
         "_rn", F.row_number().over(Window.partitionBy(proc).orderBy(F.col(line_no).desc()))
     ).where(F.col("_rn") <= n + 1)
-    kept = F.when(F.col("_rn") <= n, F.struct(F.col(line_no).alias("at"), _cut_bytes(text, line_bytes).alias("line")))
+    kept = F.when(F.col("_rn") <= n, F.struct(F.col(line_no).alias("at"), F.col("_line").alias("line")))
     return ranked.groupBy(proc).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda s: s["line"]), "\n").alias("tail"),
         (F.count(F.lit(1)) > n).alias("truncated"),
+        F.count_if((F.col("_rn") <= n) & F.col("_cut")).alias("cut_lines"),
     )

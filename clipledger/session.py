@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -29,12 +28,10 @@ def build_session(app: str = "clipledger", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only for local runs without one."""
+    """The shared folder the cluster names; without one, a folder in the warehouse, which every executor reaches."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="clipledger-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/clipledger-scratch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipledger.config import DEFAULTS
 from clipledger.constants import ERROR_CATEGORIES
+from clipledger.operators.chunks import CHUNK, attach, before, inside, range_chunks, summaries
 
 KEY = ["scope_id", "tweet_id"]
 
@@ -54,33 +55,19 @@ def metrics_store_load(kv: DataFrame) -> DataFrame:
     return keys.join(got, "key", "left").select("key", F.coalesce("_v", F.lit(0)).alias("value"))
 
 
-def job_report(
-    jobs: DataFrame,
-    media: DataFrame,
-    parts: DataFrame,
-    max_bytes: int = DEFAULTS.max_upload_bytes,
-    list_parts_up_to: int = 1000,
-) -> DataFrame:
+def job_report(jobs: DataFrame, media: DataFrame, parts: DataFrame, max_bytes: int = DEFAULTS.max_upload_bytes) -> DataFrame:
     """One nested record per job.
 
     jobs: id, resolve_ms, download_ms, optimize_ms; media: resolved and downloaded facts
-    per id; parts: job, pos, size.  Part totals are map-side combined sums.  A record
-    lists its parts when the job has at most ``list_parts_up_to`` of them, which keeps
-    every collected list small; longer lists are whole in ``job_report_parts``.
+    per id; parts: job, pos, size.  Part totals are map-side combined sums; the parts
+    themselves are the rows of ``job_report_parts``, so no record grows with its job.
     """
     sums = parts.groupBy("job").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_total"))
-    short = sums.where(F.col("_n") <= list_parts_up_to).select("job")
-    listed = (
-        parts.join(short, "job", "left_semi")
-        .groupBy("job")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("size").alias("size_bytes")))).alias("_parts"))
-    )
     total = F.coalesce("_total", F.lit(0))
     resolution = F.when(F.col("w").isNotNull() & F.col("h").isNotNull(), F.array("w", "h"))
     return (
         jobs.join(media, "id")
         .join(sums.withColumnRenamed("job", "id"), "id", "left")
-        .join(listed.withColumnRenamed("job", "id"), "id", "left")
         .select(
             "id",
             F.struct(
@@ -95,7 +82,6 @@ def job_report(
                 F.struct(
                     F.when(F.col("_n") > 1, "split").otherwise("single").alias("kind"),
                     F.coalesce("_n", F.lit(0)).alias("n_parts"),
-                    F.col("_parts").alias("parts"),
                     total.alias("total_size_bytes"),
                     F.lit(max_bytes).cast("bigint").alias("upload_limit_bytes"),
                     (total <= max_bytes).alias("fits_single_upload"),
@@ -106,8 +92,26 @@ def job_report(
     )
 
 
-def job_report_parts(parts: DataFrame) -> DataFrame:
-    return parts.select("job", "pos", F.col("size").alias("size_bytes"))
+def job_report_parts(
+    parts: DataFrame, max_bytes: int = DEFAULTS.max_upload_bytes, n_chunks: int | None = None
+) -> DataFrame:
+    """Every part of every job: its number, size, share of the job's bytes and whether it fits an upload.
+
+    A job may have any number of parts: they are split into chunks, which are numbered
+    and summed; the input is read once.
+    """
+    rows = range_chunks(parts.select("job", "pos", "size"), ["job"], ["pos"], n_chunks)
+    local = rows.withColumn("_local", F.row_number().over(inside(["job"], ["pos"])))
+    chunk = summaries(rows, ["job"], F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_bytes"))
+    carry = chunk.withColumn("_base", F.sum("_n").over(before(["job"]))).where("_base IS NOT NULL")
+    whole = chunk.groupBy("job").agg(F.sum("_bytes").alias("_total"))
+    return attach(local, carry.select(CHUNK, "job", "_base"), ["job"]).join(whole, "job").select(
+        "job",
+        (F.coalesce("_base", F.lit(0)) + F.col("_local")).alias("part"),
+        F.col("size").alias("size_bytes"),
+        F.when(F.col("_total") > 0, F.col("size") / F.col("_total")).alias("share"),
+        (F.col("size") <= max_bytes).alias("fits"),
+    )
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -218,17 +218,6 @@ def shape_progress(ev: DataFrame) -> DataFrame:
     )
 
 
-def reservations(spark: SparkSession, root: str) -> DataFrame:
-    return events(spark, root).selectExpr(
-        "event_id AS request_id",
-        "user_id % 4 AS host",
-        "unix_seconds(ts) AS start_s",
-        "unix_seconds(ts) + cast(floor(value) as bigint) * 100 AS end_s",
-        f"k * {MIB} AS bytes",
-        f"cast({300 * MIB} as bigint) AS available",
-    )
-
-
 def media(spark: SparkSession, root: str) -> DataFrame:
     """One downloaded file per order."""
     dims = """CASE o_custkey % 6 WHEN 0 THEN array(1920, 1080) WHEN 1 THEN array(1080, 1920) WHEN 2 THEN array(1280, 720)

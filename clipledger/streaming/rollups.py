@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger.operators import metrics
-from clipledger.sources.stores import dedup_store_upsert
+from clipledger.sources.stores import KEY, dedup_store_upsert
 from clipledger.streaming.runner import drain_batches
 from clipledger.session import scratch_path
 
@@ -37,7 +37,7 @@ def _latest(totals: DataFrame) -> DataFrame:
         seen.append(batch_id)
 
     drain_batches(totals, "complete", write, where)
-    return spark.read.parquet(f"{where}/v{max(seen)}")
+    return spark.read.parquet(f"{where}/v{max(seen)}") if seen else spark.createDataFrame([], totals.schema)
 
 
 def stream_run_totals(jobs: DataFrame) -> DataFrame:
@@ -51,6 +51,14 @@ def stream_error_counts(failures: DataFrame) -> DataFrame:
     return metrics.zero_filled_categories(counts)
 
 
+def _last_snapshot(spark: SparkSession, where: str) -> str | None:
+    """The newest finished snapshot below a folder of any file system Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    numbers = [int(f.getPath().getParent().getName()[1:]) for f in found]
+    return f"{where}/v{max(numbers)}" if numbers else None
+
+
 def stream_store_upsert(writes: DataFrame, where: str | None = None) -> DataFrame:
     """The dedup store after every micro-batch of (scope_id, tweet_id, ts, batch_no) writes.
 
@@ -68,4 +76,8 @@ def stream_store_upsert(writes: DataFrame, where: str | None = None) -> DataFram
         seen.append(batch_id)
 
     drain_batches(writes, "append", write, where)
-    return spark.read.parquet(f"{where}/v{max(seen)}")
+    if seen:
+        return spark.read.parquet(f"{where}/v{max(seen)}")
+    # a restart with nothing new finds the store as the last run left it
+    last = _last_snapshot(spark, where)
+    return spark.read.parquet(last) if last else spark.createDataFrame([], writes.schema).select(*KEY, "ts")

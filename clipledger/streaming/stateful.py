@@ -64,18 +64,10 @@ def stream_dedup(
     keys: Sequence[str],
     ttl_s: int,
     *,
-    mode: str = "exact",
     lateness: str = "10 minutes",
     id_col: str = "request_id",
 ) -> DataFrame:
-    """The kept rows of a request stream: keys, id and ts.
-
-    ``exact`` re-anchors on kept rows as the batch operator does; ``within_watermark``
-    is Spark's built-in and lets a key back in by watermark progress.
-    """
-    if mode == "within_watermark":
-        kept = stream.withWatermark("ts", f"{ttl_s} seconds").dropDuplicatesWithinWatermark(list(keys))
-        return kept.select(*keys, id_col, "ts")
+    """The kept rows of a request stream: keys, id and ts; a kept row re-anchors, as in the batch operator."""
     _ship()
     keys = list(keys)
     rows = stream.select(*keys, id_col, "ts", F.unix_seconds("ts").alias(SEC))

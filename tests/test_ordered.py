@@ -141,25 +141,6 @@ def test_progress_debounce(spark, n):
     assert got == progress_walk(rows, said, 3)
 
 
-@pytest.mark.parametrize("n", CHUNKS)
-def test_disk_reservation(spark, n):
-    rnd, data = random.Random(9), []
-    for i in range(300):
-        start = i * 3 + rnd.randrange(3)
-        data.append((i, 0 if rnd.random() < 0.7 else 1, start, start + rnd.randrange(60), rnd.choice([0, 20, 50, 90]) * MIB, 300 * MIB))
-    held, want = {0: [], 1: []}, {}
-    for i, host, start, end, size, free in data:
-        held[host] = [h for h in held[host] if h[0] > start]
-        used = sum(h[1] for h in held[host])
-        ok = size == 0 or free >= 100 * MIB + used + size
-        if ok and size:
-            held[host].append((end, size))
-        want[i] = (ok, used + (size if ok else 0))
-    df = spark.createDataFrame(data, "request_id bigint, host bigint, start_s bigint, end_s bigint, bytes bigint, available bigint")
-    got = folds.disk_reservation(df.repartition(3), 100 * MIB, n_chunks=n)
-    assert {r.request_id: (r.admitted, r.reserved_after) for r in got.collect()} == want
-
-
 def test_sliding_audit(spark):
     rows = log(10, span=200_000)
     got = {(r.key, r.ts_s): (r.n_trailing, r.over) for r in folds.sliding_rate_audit(frame(spark, rows), ["key"], 30, 7200).collect()}

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from clipledger.config import MIB
-from clipledger.operators import joins, metrics, outcomes, selection
+from clipledger.operators import joins, metrics, outcomes, policy, selection, text
+from clipledger.operators.metrics import int_avg
 from clipledger.sources import ingest, stores
 
 
@@ -152,10 +154,51 @@ def test_report_is_json_lines(spark, tmp_path):
     stores.write_reports(stores.job_report(jobs, media, parts), str(tmp_path / "r"))
     doc = spark.read.json(str(tmp_path / "r")).first()
     assert (doc.output.kind, doc.output.total_size_bytes, doc.downloaded.resolution) == ("split", 11, [1, 2])
-    assert [p.size_bytes for p in doc.output.parts] == [5, 6]
-    assert stores.job_report(jobs, media, parts, list_parts_up_to=1).first().report.output.parts is None
     assert "size_ratio_to_download" not in doc.output.asDict() and "duration_secs" not in doc.downloaded.asDict()
-    assert stores.job_report_parts(parts).count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 3, 7])
+def test_report_lists_every_part(spark, n):
+    rows = [(1, p, 10 + p % 7) for p in range(5000)] + [(2, 4, 0), (3, 0, 30), (3, 9, 10)]
+    parts = spark.createDataFrame(rows, "job bigint, pos bigint, size bigint")
+    got = sorted(stores.job_report_parts(parts, 15, n_chunks=n).collect())
+    whole = sum(s for j, _, s in rows if j == 1)
+    assert [tuple(r)[:3] + (r.fits,) for r in got[:5000]] == [(1, p + 1, 10 + p % 7, 10 + p % 7 <= 15) for p in range(5000)]
+    assert abs(got[6].share - 16 / whole) < 1e-12
+    assert [tuple(r) for r in got[5000:]] == [(2, 1, 0, None, True), (3, 1, 30, 0.75, False), (3, 2, 10, 0.25, True)]
+
+
+def test_averages_are_exact(spark):
+    df = spark.createDataFrame([(1705505637400516527, 6617154405817), (7, 2), (None, 0), (5, 0)], "s bigint, n bigint")
+    assert [r[0] for r in df.select(int_avg(F.col("s"), F.col("n"))).collect()] == [1705505637400516527 // 6617154405817, 3, 0, 0]
+
+
+def test_unmapped_errors_stay_visible(spark):
+    df = spark.createDataFrame([("brand_new", None), ("brand_new", "x"), ("io", None)], "error_kind string, source_kind string")
+    assert {tuple(r) for r in outcomes.error_notifications(df).collect()} >= {("unmapped", True, 2)}
+
+
+def test_unreadable_addresses_fail_the_audit(spark):
+    ips = ["999.1.1.1", "garbage", "8.8.8.8", "10.0.0.1", "2606:4700::1111", "::1", "1::2::3", "::ffff:8.8.8.8", "1.2.3", "fe80::1", "1:2:3:4:5:6:7:8", "", None]
+    df = spark.createDataFrame(list(enumerate(ips)), "url_id int, ip string")
+    got = {ips[r.url_id]: r.reason for r in policy.resolved_ip_audit(df).collect()}
+    want = dict.fromkeys(["999.1.1.1", "garbage", "1::2::3", "1.2.3", ""], "unreadable ip")
+    want |= dict.fromkeys(["8.8.8.8", "2606:4700::1111", "1:2:3:4:5:6:7:8"], "ok") | dict.fromkeys(["10.0.0.1", "::1", "fe80::1"], "resolved to blocked ip")
+    assert {k: v for k, v in got.items() if k in want} == want and got[None] == "dns lookup returned no addresses"
+
+
+def test_spellings_of_a_url(spark):
+    urls = ["https:/video.twimg.com/x", "https:video.twimg.com/x", "https:\\\\video.twimg.com\\x", "ht\ttps://video.twimg.com/x", "https://", " https://video.twimg.com/x\n"]
+    df = spark.createDataFrame(list(enumerate(urls)), "id int, url string")
+    got = [r.reason for r in policy.url_policy_audit(df).orderBy("id").collect()]
+    assert got == ["ok", "ok", "ok", "ok", "parse error", "ok"]
+
+
+def test_log_tail_tells_of_cut_lines(spark):
+    df = spark.createDataFrame([(1, i, "x" * (5000 if i % 4 == 0 else 5)) for i in range(1, 31)], "proc int, line_no int, text string")
+    for n, cut in ((10, 2), (20, 5)):
+        got = text.log_tail(df, n).first()
+        assert (got.truncated, got.cut_lines, len(got.tail.split("\n"))) == (True, cut, n)
 
 
 @pytest.mark.parametrize("op,want", [(joins.duplicate_requests, {1, 2}), (joins.new_requests, {3})])

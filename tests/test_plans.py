@@ -8,18 +8,16 @@ from clipledger import catalog
 STREAMED = set(catalog.streams())
 PYTHON = {
     "ttl_dedup", "inflight_dedup", "rate_limit_user", "rate_limit_channel", "admission_cascade", "admission_funnel",
-    "resolver_cache_labels", "cache_hit_rates", "progress_debounce", "disk_reservation",
+    "resolver_cache_labels", "cache_hit_rates", "progress_debounce",
 }
 TOP_N = {"dedup_store_prune", "dedup_store_remainder"}
-# one scope, whose rows were counted first and fit a task; larger ones are split into chunks
-COUNTED = {"queue_depth_timeline", "queue_peak", "status_summary"}
 
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMED))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - STREAMED))
 def test_plan(spark, small, name):
     plan = plan_of(entry.queries()[name](spark, small))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -29,18 +27,7 @@ def test_plan(spark, small, name):
         if "Exchange SinglePartition" in line:
             # one partial row per task, or the k first rows of each
             below = plan[plan.index(line):]
-            assert "partial_" in below or name in TOP_N | COUNTED
-
-
-def test_a_large_scope_is_split(spark, small, monkeypatch):
-    from clipledger.operators import chunks
-
-    monkeypatch.setattr(chunks, "BIG_KEY_ROWS", 100)
-    plan = plan_of(entry.queries()["queue_depth_timeline"](spark, small))
-    # the window is per chunk, and only per-chunk summaries meet in one task
-    assert "_chunk" in plan and all(
-        "partial_" in plan[plan.index(line):] for line in plan.splitlines() if "Exchange SinglePartition" in line
-    )
+            assert "partial_" in below or name in TOP_N
 
 
 def test_limits_reach_the_map_side(spark, small):
