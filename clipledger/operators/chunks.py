@@ -10,15 +10,20 @@ key is.  Two tools build on that:
   Those number at most one per chunk, so the carry table is broadcast.
 * ``ordered_fold``: for decisions that depend on earlier decisions.  Each chunk
   is folded with the state its predecessor ended in.  Only chunks that lie
-  inside a single key depend on that state; they are folded again until no
-  carried state changes, which ends after at most as many rounds as a key has
-  chunks and gives exactly the sequential result.
+  inside a single key depend on that state.  Where a state merely blocks its key
+  for a time, each such chunk tabulates once what it makes of any state, and the
+  tables are applied one after another: two jobs, however many chunks a key has.
+  Other folds run those chunks again until no carried state changes, which ends
+  after at most as many rounds as a key has chunks.  Both are exactly the
+  sequential result.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
@@ -106,6 +111,21 @@ class Fold:
         """One form for states that behave alike, so that chunks are not run again for nothing."""
         return state
 
+    # Folds whose state only blocks its key for a time define ``lapse``; their chunks need no second run.
+    # The first of ``inputs`` is then the row's time, and rows come in its order.
+    lapse: Callable[[Any], int | None] | None = None
+
+    def resets(self, *values: Any) -> bool:
+        """Whether a row's outcome state is the same whatever came before."""
+        return False
+
+    def weight(self, *values: Any) -> int:
+        return 0
+
+    def through(self, state: Any, weight: int) -> Any:
+        """A state that blocked rows of this total weight have passed."""
+        return state
+
 
 def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> list[tuple]:
     if not names:
@@ -136,6 +156,52 @@ def _end_state_task(fold: Fold, carry: dict[int, Any]) -> Callable:
     return run
 
 
+def exit_table(fold: Fold, rows: list[tuple]) -> dict[str, Any]:
+    """What a chunk inside one key makes of the state it is entered with.
+
+    Such a state blocks rows until it lapses; the first row after that, or one that resets,
+    opens anew and forgets it.  The exit for every row that could be first to open follows
+    from the exit of the row that opens after it, so one pass from the end finds all.
+    """
+    times = [r[0] for r in rows]
+    total = list(accumulate((fold.weight(*r) for r in rows), initial=0))
+    resets = [i for i, r in enumerate(rows) if fold.resets(*r)]
+    exits: list[Any] = [None] * len(rows)
+    reset = None
+    for i in range(len(rows) - 1, -1, -1):
+        state, _ = fold.step(fold.start(), *rows[i])
+        lapse = fold.lapse(state)
+        after = i + 1 if lapse is None else max(i + 1, bisect_left(times, lapse))
+        if reset is not None and reset < after:
+            after = reset
+        exits[i] = exits[after] if after < len(rows) else fold.through(state, total[-1] - total[i + 1])
+        if fold.resets(*rows[i]):
+            reset = i
+    end = resets[0] + 1 if resets else len(rows)
+    return {"times": times[:end], "exits": exits[:end], "resets": bool(resets), "weight": total[-1]}
+
+
+def exit_state(fold: Fold, table: dict[str, Any], state: Any) -> Any:
+    lapse = None if state is None else fold.lapse(state)
+    first = 0 if lapse is None else bisect_left(table["times"], lapse)
+    if first < len(table["times"]):
+        return table["exits"][first]
+    return table["exits"][-1] if table["resets"] else fold.through(state, table["weight"])
+
+
+def _exit_table_task(fold: Fold) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chunk = [], None
+        for batch in batches:
+            if batch.num_rows:
+                chunk = _column(batch, CHUNK)[0].as_py()
+                rows += _columns(batch, fold.inputs)
+        if rows:
+            yield pa.RecordBatch.from_pydict({CHUNK: pa.array([chunk], pa.int32()), "state": [json.dumps(exit_table(fold, rows))]})
+
+    return run
+
+
 def _fold_task(fold: Fold, keys: Sequence[str], carry: dict[int, Any], arrow_types: list) -> Callable:
     """The fold's outputs for every row; a chunk's first key starts from what was carried in."""
 
@@ -208,6 +274,12 @@ def ordered_fold(
         states = end_states(last_keys.where(key.eqNullSafe(F.col("_last"))), carry)
     # only the end of a chunk inside one key depends on what the chunk was entered with
     inner = [c for c in needed if c in entered and known[c][0] == known[c][1]]
+    if inner and fold.lapse is not None:  # one job for all of them, then the chunks' tables follow one another
+        found = rows.where(F.col(CHUNK).isin(inner)).select(CHUNK, *inputs).mapInArrow(_exit_table_task(fold), f"{CHUNK} int, state string")
+        tables = {r[CHUNK]: json.loads(r["state"]) for r in found.collect()}
+        for c in inner:
+            states[c] = exit_state(fold, tables[c], states[entered[c]])
+        inner = []
     inner_rows: DataFrame | None = None
     while entered:
         fresh = {now: states[prev] for now, prev in entered.items()}

@@ -40,6 +40,9 @@ class _AnchorFold(Fold):
             return sec, (True,)
         return kept, (False,)
 
+    def lapse(self, kept):
+        return kept + self.ttl + 1
+
 
 class _WindowQuotaFold(Fold):
     """Fixed window opened by its first request; hands out what is left of ``n``."""
@@ -57,6 +60,15 @@ class _WindowQuotaFold(Fold):
         granted = min(asked, self.n - used)
         return [anchor, used + granted], (granted,)
 
+    def lapse(self, state):
+        return state[0] + self.window
+
+    def weight(self, sec, asked):
+        return asked
+
+    def through(self, state, weight):
+        return [state[0], min(self.n, state[1] + weight)]
+
 
 class _InflightFold(Fold):
     """Running jobs and finished successes block their key; failures free it."""
@@ -113,6 +125,10 @@ class _ResolverCacheFold(Fold):
             negative = sec + self.negative_ttl
         return [positive, negative], (None,)
 
+    def lapse(self, state):
+        # an entry is stored only where none is live, so at most one of the two is
+        return max((x for x in state if x is not None), default=None)
+
 
 class _DebounceFold(Fold):
     """A slot is open when the last emission is at least ``wait`` seconds old."""
@@ -127,6 +143,12 @@ class _DebounceFold(Fold):
         is_open = last is None or sec - last >= self.wait
         return (sec if is_open or forced else last), (is_open,)
 
+    def lapse(self, last):
+        return last + self.wait
+
+    def resets(self, sec, forced):
+        return bool(forced)
+
 
 def _ship() -> None:
     import clipledger.operators.folds as here

@@ -232,3 +232,51 @@ def test_upload_batches(spark, parts, size, messages):
     assert (got.parts, got.messages, got.too_large) == (parts, messages, parts if size > 8 * MIB else 0)
     names = {r.name for r in batches.collect()}
     assert ("tweet_7.mp4" in names) == (parts == 1) and ("tweet_7_part1.mp4" in names) == (parts > 1)
+
+
+@pytest.mark.parametrize("fold", [
+    folds._AnchorFold(7), folds._WindowQuotaFold(3, 9), folds._ResolverCacheFold(8, 3), folds._DebounceFold(5), folds._DebounceFold(0),
+], ids=lambda f: type(f).__name__)
+def test_exit_tables_are_the_fold(fold):
+    """Entering a chunk with any state a fold can be in gives what running the rows gives."""
+    import json
+
+    from clipledger.operators.chunks import exit_state, exit_table
+
+    rnd = random.Random(3)
+    rows, sec = [], 0
+    for _ in range(1500):
+        sec += rnd.choice([1, 1, 2, 3, 12])
+        rows.append({
+            folds._AnchorFold: (sec,), folds._WindowQuotaFold: (sec, rnd.randrange(1, 4)),
+            folds._ResolverCacheFold: (sec, rnd.choice(["positive", "negative", None])), folds._DebounceFold: (sec, rnd.random() < 0.1),
+        }[type(fold)])
+    for size in (1, 2, 5, 40):
+        state, k = fold.start(), 0
+        while k < len(rows):
+            chunk = rows[k : k + size]
+            table = json.loads(json.dumps(exit_table(fold, chunk)))
+            want = state
+            for r in chunk:
+                want, _ = fold.step(want, *r)
+            got = exit_state(fold, table, state)
+            alike = lambda s: None if s is None or fold.lapse(s) is None or fold.lapse(s) <= chunk[-1][0] + 1 else s  # noqa: E731, B023
+            assert alike(got) == alike(want) or list(filter(None, got)) == list(filter(None, want))
+            state, k = want, k + size
+
+
+def test_jobs_do_not_grow_with_chunks(spark):
+    df = spark.range(4000).selectExpr("id AS request_id", "1L AS k", "timestamp_seconds(id * 3) AS ts")
+    seen, tracker = [], spark.sparkContext.statusTracker()
+    for n in (10, 20, 40):
+        spark.sparkContext.setJobGroup(f"fold-{n}", "")
+        kept = {r.request_id for r in folds.ttl_dedup(df, ["k"], 1000, n_chunks=n).where("kept").collect()}
+        seen.append(len(tracker.getJobIdsForGroup(f"fold-{n}")))
+        anchor, want = None, set()
+        for i in range(4000):
+            if anchor is None or i * 3 - anchor > 1000:
+                anchor = i * 3
+                want.add(i)
+        assert kept == want
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(set(seen)) == 1
