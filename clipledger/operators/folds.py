@@ -403,7 +403,12 @@ def progress_debounce(
     *,
     n_chunks: int | None = None,
 ) -> DataFrame:
-    """Progress rows that are shown, plus per job the last held one when it differs from the last shown."""
+    """Progress rows that are shown, plus per job the last held one when it differs from the last shown.
+
+    Without a wait every row is shown.
+    """
+    if debounce_s <= 0:
+        return progress.select("job", "ts", "seq", "stage", "done", "total", F.lit(False).alias("flushed"))
     _ship()
     keys = ["job"]
     unfinished = F.coalesce((F.col("stage") == "transcoding") & (F.col("done") < F.col("total")), F.lit(False))

@@ -207,7 +207,10 @@ def stream_progress_debounce(stream: DataFrame, debounce_s: int) -> DataFrame:
     """Shown progress rows of a stream of job, seq, ts, stage, done, total, ends.
 
     ``ends`` marks a job's last row; it releases the held update and the job's state.
+    Without a wait every row is shown.
     """
+    if debounce_s <= 0:
+        return stream.select("job", *_PROGRESS, F.lit(False).alias("flushed"))
     _ship()
     wait = F.coalesce((F.col("stage") == "transcoding") & (F.col("done") < F.col("total")), F.lit(False))
     rows = stream.select("job", *_PROGRESS, "ts", "ends", F.unix_seconds("ts").alias(SEC), wait.alias("waits"))

@@ -280,3 +280,10 @@ def test_jobs_do_not_grow_with_chunks(spark):
         assert kept == want
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(set(seen)) == 1
+
+
+def test_no_wait_shows_every_row(spark):
+    rows = [(1, i, T0, "transcoding", i, 9) for i in range(4)]
+    df = spark.createDataFrame(rows, "job long, seq long, ts timestamp, stage string, done long, total long")
+    got = folds.progress_debounce(df, 0).collect()
+    assert sorted(r.seq for r in got) == [0, 1, 2, 3] and not any(r.flushed for r in got)
