@@ -287,10 +287,7 @@ def build() -> dict[str, str]:
     window = """SELECT s // {w} * {w} AS window_start_s, stage, CAST(sum(duration_ms) AS BIGINT) // count(*) AS avg_ms, count(*) AS samples
         FROM stage_runs GROUP BY 1, 2"""
     q["stage_window"] = sql(window.format(w=3600))
-    q["stream_stage_window"] = sql(
-        f"SELECT w.* FROM ({window.format(w=3600)}) w, (SELECT max(us) AS latest FROM ev WHERE event_type <> 'error') "
-        "WHERE (window_start_s + 3600) * 1000000 <= (latest // 1000) * 1000 - 7200000000"
-    )
+    q["stream_stage_window"] = q["stage_window"]
     q["error_category_counts"] = sql("""SELECT category, count(event_id) AS n FROM (VALUES ('resolve_failed'), ('download_failed'),
         ('ssrf_blocked'), ('optimize_failed'), ('upload_failed'), ('progress_update_errors')) t(category)
         LEFT JOIN failures USING (category) GROUP BY 1""")

@@ -282,9 +282,7 @@ def streams() -> dict[str, Query]:
     q["stream_progress_debounce"] = lambda s, r: drain_append(
         stateful.stream_progress_debounce(_stream_progress(s, r), DEBOUNCE_S)
     )
-    q["stream_stage_window"] = lambda s, r: drain_append(
-        rollups.stream_stage_window(v.shape_stage_runs(read_events(s, r)), "1 hour", "2 hours")
-    )
+    q["stream_stage_window"] = lambda s, r: rollups.stream_stage_window(v.shape_stage_runs(read_events(s, r)), "1 hour", "2 hours")
     q["stream_totals"] = lambda s, r: rollups.stream_run_totals(v.shape_jobs(read_events(s, r)))
     q["stream_error_counts"] = lambda s, r: rollups.stream_error_counts(v.shape_failures(read_events(s, r)))
     q["stream_store_upsert"] = lambda s, r: rollups.stream_store_upsert(v.shape_processed_writes(read_events(s, r)))

@@ -12,17 +12,30 @@ from clipledger.session import scratch_path
 
 
 def stream_stage_window(stage_runs: DataFrame, window: str = "60 seconds", lateness: str = "10 minutes") -> DataFrame:
-    """Stage averages per closed tumbling window."""
-    return (
+    """Stage averages per tumbling window, open ones included, after the available input.
+
+    Every micro-batch writes the windows it has changed, the watermark bounds what is kept
+    between them, and the last version of a window counts.
+    """
+    spark = stage_runs.sparkSession
+    where = scratch_path(spark, "windows")
+    changed = (
         stage_runs.withWatermark("ts", lateness)
         .groupBy(F.window("ts", window), "stage")
         .agg(F.sum("duration_ms").alias("_sum"), F.count("duration_ms").alias("samples"))
-        .select(
-            F.unix_seconds("window.start").alias("window_start_s"),
-            "stage",
-            metrics.int_avg(F.col("_sum"), F.col("samples")).alias("avg_ms"),
-            "samples",
-        )
+        .select(F.unix_seconds("window.start").alias("window_start_s"), "stage", "_sum", "samples")
+    )
+    seen: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{where}/v{batch_id}")
+        seen.append(batch_id)
+
+    drain_batches(changed, "update", write, where)
+    versions = spark.read.parquet(*(f"{where}/v{i}" for i in seen)) if seen else spark.createDataFrame([], changed.schema).withColumn("_batch", F.lit(0))
+    last = versions.groupBy("window_start_s", "stage").agg(F.max_by(F.struct("_sum", "samples"), "_batch").alias("_last"))
+    return last.select(
+        "window_start_s", "stage", metrics.int_avg(F.col("_last._sum"), F.col("_last.samples")).alias("avg_ms"), "_last.samples"
     )
 
 

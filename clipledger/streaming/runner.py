@@ -13,13 +13,19 @@ EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_events(spark: SparkSession, root: str, files_per_trigger: int | None = None) -> DataFrame:
+#: Bytes of event files that a micro-batch takes, if nothing else is said.
+BATCH_BYTES = 64 * 1024**3
+
+
+def read_events(
+    spark: SparkSession, root: str, files_per_trigger: int | None = None, bytes_per_trigger: int = BATCH_BYTES
+) -> DataFrame:
     """The event files of a folder as a stream; a micro-batch takes so many files, else so many bytes."""
     reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     else:
-        reader = reader.option("maxBytesPerTrigger", str(64 * 1024**3))
+        reader = reader.option("maxBytesPerTrigger", str(bytes_per_trigger))
     return shape_events(reader.parquet(root))
 
 
