@@ -308,40 +308,32 @@ def admission_cascade(
     inflight_ttl_s: int = DEFAULTS.inflight_ttl_s,
     n_chunks: int | None = None,
 ) -> DataFrame:
-    """Adds ``decision``: the first gate that turns a request away, else ``accepted``.
+    """``decision`` per request: the first gate that turns it away, else ``accepted``.
 
-    Each gate counts only what passed the earlier ones, so the rows are written
-    between gates instead of recomputing every earlier gate.
+    Only what passed a gate goes on to the next, with the columns that the later gates
+    need; the passing rows are written once between gates instead of recomputing them.
     """
-    base = requests.select(
+    base = durable(requests.select(
         "request_id", "ts", "author_id", "channel_id", "end_ts", "ok",
-        F.col("content").isNull().alias("_no_url"),
-        link_count("content").alias("_links"),
+        F.when(F.col("content").isNull(), "missing_url").when(link_count("content") == 0, "no_link")
+        .when(link_count("content") > 1, "many_links").alias("_unfit"),
         only_link_id("content").alias("_post"),
         F.when(F.col("channel_id").isNull(), "no_channel").when(F.col("author_id").isNull(), "no_author").alias("decision"),
+    ))
+    answer = lambda df, decision: df.select("request_id", decision.alias("decision"))
+
+    users = durable(rate_limit(base.where("decision IS NULL").drop("decision"), ["author_id"], user_limit, user_window_s, n_chunks=n_chunks))
+    passed = users.where("allowed").drop("allowed", "author_id")
+    channels = durable(rate_limit(passed, ["channel_id"], channel_limit, channel_window_s, n_chunks=n_chunks))
+    fit = channels.where("allowed AND _unfit IS NULL").drop("allowed", "_unfit")
+    last = inflight_dedup(fit, ["channel_id", "_post"], ttl_s, inflight_ttl_s, n_chunks=n_chunks)
+    return (
+        answer(base.where("decision IS NOT NULL"), F.col("decision"))
+        .unionByName(answer(users.where("NOT allowed"), F.lit("user_limited")))
+        .unionByName(answer(channels.where("NOT allowed"), F.lit("channel_limited")))
+        .unionByName(answer(channels.where("allowed AND _unfit IS NOT NULL"), F.col("_unfit")))
+        .unionByName(answer(last, F.when(F.col("accepted"), "accepted").otherwise("duplicate")))
     )
-    live = F.col("decision").isNull()
-
-    def gate(rows: DataFrame, refused: Column, label: str) -> DataFrame:
-        return durable(rows.withColumn("decision", F.coalesce("decision", F.when(refused, label))))
-
-    users = gate(
-        rate_limit(base, ["author_id"], user_limit, user_window_s, where=live, n_chunks=n_chunks),
-        ~F.col("allowed"), "user_limited",
-    ).drop("allowed")
-    channels = rate_limit(users, ["channel_id"], channel_limit, channel_window_s, where=live, n_chunks=n_chunks)
-    shaped = (
-        F.when(~F.col("allowed"), "channel_limited")
-        .when(F.col("_no_url"), "missing_url")
-        .when(F.col("_links") == 0, "no_link")
-        .when(F.col("_links") > 1, "many_links")
-    )
-    checked = durable(channels.withColumn("decision", F.coalesce("decision", shaped))).drop("allowed")
-    last = inflight_dedup(
-        checked, ["channel_id", "_post"], ttl_s, inflight_ttl_s, where=live, n_chunks=n_chunks
-    )
-    final = F.when(F.col("accepted"), "accepted").otherwise("duplicate")
-    return last.select("request_id", F.coalesce("decision", final).alias("decision"))
 
 
 def admission_funnel(decisions: DataFrame) -> DataFrame:
