@@ -72,6 +72,20 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batches, column: int, limit: int = 2 << 20) -> Iterator:
+    """Parts of Arrow batches with about so many bytes of text, so that arrays with an entry for each byte or word stay small."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(sizes)
+        a = 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def pieces(data: np.ndarray, reach: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first position, positions, bytes): positions in turn, with the bytes that reach beyond them."""
     for a in range(0, len(data), PIECE):
