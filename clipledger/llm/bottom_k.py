@@ -10,11 +10,10 @@ sets use single values: of n values the n - ceil(t n) + 1 smallest, of which two
 one. Common passages seldom fill a run, so lists stay short unless documents are alike.
 
 Pairs. A list is first compared with the one member that shares most lists, as an original does with
-its variants; links make components, and only members of different components are compared again.
-For those, shingles that occur in one document alone are counted: they bound what it can share, which
-shows most documents to be alone and most pairs to be too far apart without a look at them. The rest of
-a list is compared with 8 members, then 64, and so on to the end, components apart. A group of n
-alike documents costs about n pairs, and no pair that could be a link is left out.
+its variants, and links make components. Of lists whose members are then in different components, all
+pairs across components that could be links are found by prefixes of the full sets, rarest shingles
+first, which leaves few. A group of n alike documents costs about n pairs, and no link that a list
+proposes is left out.
 """
 
 from __future__ import annotations
@@ -26,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipledger.llm.common import components, keyed, written
-from clipledger.llm.spans import mixed, pair, shingle_sets, text_bytes, word_names
+from clipledger.llm.spans import mixed, pair, shingle_sets, slices, text_bytes, word_names
 
 KEPT = 64
 RUN = 4
 #: Standard deviations of the estimate that a pair may lie below the threshold before it is let go.
 SLACK = 5.5
+#: Shingles that prefixes of full sets must have in common.
+COMMON = 6
 
 
 def _prefix(n: int, at_least: Fraction) -> int:
@@ -114,7 +115,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, at_least: Fraction) -> Data
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction) -> DataFrame:
     """Of pairs a, b those whose full sets are similar enough."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def build(batches):
         import pyarrow as pa
@@ -123,8 +124,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction
             found = [s.tobytes() for s in shingle_sets(*word_names(*text_bytes(batch.column(1))), width)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "full": pa.array(found, pa.binary())})
 
-    full = docs.join(wanted, "doc_id", "left_semi").mapInArrow(build, "doc_id long, full binary")
-    full = written(full.dropDuplicates(["doc_id"]), "near-sets")
+    once = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    full = written(once.mapInArrow(build, "doc_id long, full binary"), "near-sets")
 
     def judge(batches):
         import pyarrow as pa
@@ -143,24 +144,44 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction
     return joined.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
-def _shareable(wanted: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, shareable: set size, and how many of its shingles another of the wanted documents has too."""
+def _apart(wanted: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, width: int, at_least: Fraction) -> DataFrame:
+    """a, b: pairs of the wanted documents of different components that could be similar enough.
+
+    Shingles are put in order, those of fewest documents first. A set of n with a link misses at most
+    n - ceil(t n) shingles in its partner, so of its first n - ceil(t n) + COMMON at least COMMON are
+    among the first of the partner, too. Shingles that one document alone has take places but make no
+    pairs. Texts that share a common passage, or many variants of one, have few such pairs.
+    """
     wanted = written(wanted, "near-open")
 
     def post(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = list(shingle_sets(*word_names(*text_bytes(batch.column(1))), width))
             doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
             full = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_pydict({"value": full.view(np.int64), "doc_id": doc.astype(np.int64)})
 
-    own = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(post, "value long, doc_id long")
-    counted = own.groupBy("value").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id"))
-    alone = counted.where("m = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    sizes = classes.select("doc_id", "n").join(wanted, "doc_id", "left_semi")
-    return sizes.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shareable"))
+    once = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = written(once.mapInArrow(post, "value long, doc_id long"), "near-open-sets")
+    often = written(own.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"), "near-often")
+    least = lambda n: f"(({n}) * {at_least.numerator} + {at_least.denominator - 1}) DIV {at_least.denominator}"
+    by_doc = Window.partitionBy("doc_id")
+    sizes = classes.select("doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
+    first = (
+        own.join(often, "value")
+        .withColumn("k", F.row_number().over(by_doc.orderBy("often", "value"))).withColumn("shared", F.count("*").over(by_doc))
+        .join(sizes, "doc_id").where(f"n - shared + k <= n - {least('n')} + {COMMON}").select("value", "doc_id", "n", "root")
+    )
+    first = written(first, "near-first")
+    other = first.select("value", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "root")))
+    fits = f"n * {at_least.denominator} >= n1 * {at_least.numerator} AND n1 * {at_least.denominator} >= n * {at_least.numerator}"
+    met = first.join(other, "value").where(f"doc_id < doc_id1 AND root <> root1 AND {fits}")
+    pairs = met.groupBy(F.col("doc_id").alias("a"), F.col("doc_id1").alias("b")).agg(
+        F.count("*").alias("met"), F.min(F.expr(least("least(n, n1)"))).alias("least")
+    )
+    return pairs.where(f"met >= least({COMMON}, least)").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, at_least: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -194,31 +215,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, at_least: Fraction = Fracti
     links = written(linked(tested), "near-links")
     nodes = classes.select(F.col("doc_id").alias("node"))
     roots = written(components(links, nodes, "near-stars"), "near-roots")
-    low, high, members = 1, 8, None
-    while True:
-        named = lists.select("value", "doc_id") if members is None else members.select("value", "doc_id", "n", "shareable")
-        named = named.join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
-        apart = named.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
-        apart = written(apart.where(f"x <> y AND size > {low}").select("value"), "near-apart")
-        if apart.isEmpty():
-            break
-        named = named.join(apart, "value", "left_semi")
-        if members is None:
-            open_docs = written(_shareable(named.select("doc_id").distinct(), docs, classes, width), "near-shareable")
-            could = f"shareable * {at_least.denominator} >= n * {at_least.numerator}"
-            named = named.join(open_docs.where(could), "doc_id")
-        place = Window.partitionBy("value").orderBy("doc_id")
-        members = written(named.withColumn("k", F.row_number().over(place)), "near-again")
-        first = members.where(f"k BETWEEN {low} AND {high}").select("value", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "root", "k", "n", "shareable")))
-        # |A and B| >= t / (1 + t) (|A| + |B|), and no more than either can share
-        reach = f"least(shareable, shareable1) * {at_least.numerator + at_least.denominator} >= (n + n1) * {at_least.numerator}"
-        pairs = first.join(members, "value").where(f"k > k1 AND root <> root1 AND {reach}").select(F.col("doc_id1").alias("a"), F.col("doc_id").alias("b"))
-        fresh = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = written(tested.unionByName(fresh), "near-tested")
-        if not fresh.isEmpty():
-            links = written(links.unionByName(linked(fresh)), "near-links")
-            roots = written(components(links, nodes, "near-stars"), "near-roots")
-        low, high = high + 1, 8 * high
+    named = lists.select("value", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
+    split = named.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
+    wanted = lists.join(written(split, "near-split"), "value", "left_semi").select("doc_id").distinct()
+    fresh = _apart(wanted, docs, classes, roots, width, at_least).join(tested, ["a", "b"], "left_anti")
+    fresh = written(fresh, "near-pairs")
+    if not fresh.isEmpty():
+        links = links.unionByName(written(_confirmed(fresh, docs, width, at_least), "near-links"))
+        roots = written(components(links, nodes, "near-stars"), "near-roots")
     own = every.join(classes.select("x", "y", F.col("doc_id").alias("node")), ["x", "y"], "left").select("doc_id", "n", "node")
     named = written(own, "near-own").join(roots, "node", "left")
     root = F.coalesce("root", "doc_id")
