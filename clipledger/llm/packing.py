@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.llm.common import keyed, ranked, written
-from clipledger.llm.tokens import encoder
+from clipledger.llm.spans import slices
+from clipledger.llm.tokens import ENCODED_BYTES, encoder
 
 
 def plan(counts: dict[int, int], room: int) -> dict[int, np.ndarray]:
@@ -99,7 +100,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int = 0) -
         import pyarrow as pa
 
         names = ("doc_id", "piece", "start", "length", "ids_crc32")
-        for batch in batches:
+        for batch in slices(batches, 1, ENCODED_BYTES):
             rows = []
             ids = encoder(vocabulary).encode(batch.column(1).to_pylist())
             for doc_id, x in zip(batch.column(0).to_pylist(), ids, strict=True):

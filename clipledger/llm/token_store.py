@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipledger.llm.common import keyed, partitions
-from clipledger.llm.tokens import encoder
+from clipledger.llm.spans import slices
+from clipledger.llm.tokens import ENCODED_BYTES, encoder
 from clipledger.session import scratch_path
 
 MAGIC = b"IDPLANE1"
@@ -147,7 +148,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, kind: str =
         shard = TaskContext.get().partitionId()
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
         path, enc, writer = f"{shard:06d}-{uuid.uuid4().hex}.ids", encoder(vocabulary), None
-        for batch in batches:
+        for batch in slices(batches, 1, ENCODED_BYTES):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(f"{base}/{path}")

@@ -10,7 +10,9 @@ import numpy as np
 #: Characters that regular expressions count as white space.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = re.compile(r"\s")
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 1 << 20
 SLAB = 2_000
 
 
