@@ -31,8 +31,6 @@ KEPT = 64
 RUN = 4
 #: Standard deviations of the estimate that a pair may lie below the threshold before it is let go.
 SLACK = 5.5
-#: Shingles that prefixes of full sets must have in common.
-COMMON = 6
 
 
 def _prefix(n: int, at_least: Fraction) -> int:
@@ -147,10 +145,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction
 def _apart(wanted: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, width: int, at_least: Fraction) -> DataFrame:
     """a, b: pairs of the wanted documents of different components that could be similar enough.
 
-    Shingles are put in order, those of fewest documents first. A set of n with a link misses at most
-    n - ceil(t n) shingles in its partner, so of its first n - ceil(t n) + COMMON at least COMMON are
-    among the first of the partner, too. Shingles that one document alone has take places but make no
-    pairs. Texts that share a common passage, or many variants of one, have few such pairs.
+    Shingles are put in order, those of fewest documents first. Every set keeps its first
+    p = n - ceil(t n) + 1. Sets of n and m with a link have o = ceil(t / (1 + t) (n + m)) shingles in
+    common, so each misses n - o in the other, and of the kept ones at least the smaller of p - (n - o)
+    on either side meet. Shingles that one document alone has take places but make no pairs. Texts that
+    share a common passage, or many variants of one, have few such pairs.
     """
     wanted = written(wanted, "near-open")
 
@@ -172,16 +171,18 @@ def _apart(wanted: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFr
     first = (
         own.join(often, "value")
         .withColumn("k", F.row_number().over(by_doc.orderBy("often", "value"))).withColumn("shared", F.count("*").over(by_doc))
-        .join(sizes, "doc_id").where(f"n - shared + k <= n - {least('n')} + {COMMON}").select("value", "doc_id", "n", "root")
+        .join(sizes, "doc_id").withColumn("p", F.expr(f"n - {least('n')} + 1")).where("n - shared + k <= p").select("value", "doc_id", "n", "root", "p")
     )
     first = written(first, "near-first")
-    other = first.select("value", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "root")))
+    other = first.select("value", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "root", "p")))
+    whole = at_least.numerator + at_least.denominator
+    common = f"(((n + n1) * {at_least.numerator} + {whole - 1}) DIV {whole})"
     fits = f"n * {at_least.denominator} >= n1 * {at_least.numerator} AND n1 * {at_least.denominator} >= n * {at_least.numerator}"
     met = first.join(other, "value").where(f"doc_id < doc_id1 AND root <> root1 AND {fits}")
     pairs = met.groupBy(F.col("doc_id").alias("a"), F.col("doc_id1").alias("b")).agg(
-        F.count("*").alias("met"), F.min(F.expr(least("least(n, n1)"))).alias("least")
+        F.count("*").alias("met"), F.min(F.expr(f"least(p - n + {common}, p1 - n1 + {common})")).alias("least")
     )
-    return pairs.where(f"met >= least({COMMON}, least)").select("a", "b")
+    return pairs.where("met >= least").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, at_least: Fraction = Fraction(4, 5)) -> DataFrame:
