@@ -32,7 +32,8 @@ def shares(weights: dict, cycle: int) -> dict:
     by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], str(s)))
     k = 0
     while sum(out.values()) != cycle:
-        s, step = (by_rest[k % len(by_rest)], 1) if sum(out.values()) < cycle else (max(out, key=lambda s: (out[s] - exact[s], out[s], str(s))), -1)
+        over = [s for s in out if out[s] > 1]  # never empty while slots exceed a cycle of at least one for each source
+        s, step = (by_rest[k % len(by_rest)], 1) if sum(out.values()) < cycle else (max(over, key=lambda s: (out[s] - exact[s], out[s], str(s))), -1)
         out[s] += step
         k += 1
     return out

@@ -43,6 +43,19 @@ def test_shares():
     assert sum(M.shares({i: 1e-9 if i else 1 for i in range(50)}, 60).values()) == 60
 
 
+@pytest.mark.parametrize(("sizes", "cycle"), [
+    ({"hot": 4_000_000} | {f"t{i}": 1 for i in range(10)}, 1000),
+    ({f"h{i}": 25_600 for i in range(100)} | {f"t{i}": 100 for i in range(1900)}, 2000),
+])
+def test_hot_source_with_a_long_tail(sizes, cycle):
+    """Rounding takes no slot from a source that has a single one."""
+    weights = M.tempered_weights(sizes)
+    slots = M.shares(weights, cycle)
+    assert sum(slots.values()) == cycle and min(slots.values()) > 0
+    blocks = {s: -(-min(n, 40_000) // M.BLOCK_ROWS) for s, n in sizes.items()}
+    assert Counter(sequence(blocks, weights)) == blocks
+
+
 def test_unweighted_go_last():
     order = sequence({"a": 5, "b": 7, "c": 3}, {"a": 1.0})
     assert order[:5] == ["a"] * 5 and Counter(order[5:]) == {"b": 7, "c": 3}
