@@ -2,17 +2,21 @@
 
 Every source is cut into blocks. With weight w, block j is released at floor(j / w) and due at
 ceil((j + 1) / w); in every slot the released block with the earliest deadline goes out. At any time a
-source has sent w t blocks, less than one more or fewer.
+source has sent w t blocks, less than one more or fewer, however long the run: weights are exact
+fractions, never rounded to slots. When a source has run out, a phase ends and time starts anew for
+the others, with their weights in proportion; the bound holds within each phase.
 
-Weights are shares of a cycle of slots, so one cycle is scheduled and repeated; when a source has run
-out, the others go on with their weights in proportion. The driver holds the sources and one cycle
-for each of these phases, however many blocks there are.
+The driver walks over the slots once. It and every task hold the sources and the slot of each block: 8 bytes
+for `block_rows` rows.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import itertools
+import math
+from array import array
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,85 +29,57 @@ BLOCK_ROWS = 16
 
 
 def shares(weights: dict, cycle: int) -> dict:
-    """Whole slots of a cycle for each weight, at least one, by largest remainders."""
-    cycle, total = max(cycle, len(weights)), sum(weights.values())
-    exact = {s: w / total * cycle for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], str(s)))
-    k = 0
-    while sum(out.values()) != cycle:
-        over = [s for s in out if out[s] > 1]  # never empty while slots exceed a cycle of at least one for each source
-        s, step = (by_rest[k % len(by_rest)], 1) if sum(out.values()) < cycle else (max(over, key=lambda s: (out[s] - exact[s], out[s], str(s))), -1)
-        out[s] += step
-        k += 1
-    return out
-
-
-def earliest_deadline_first(slots: dict, blocks: dict | None = None) -> list:
-    """The source of every slot of one cycle; with `blocks`, up to the first source that has sent all of its."""
-    cycle = sum(slots.values())
-    release = lambda s, j: j * cycle // slots[s]
-    due = lambda s, j: -(-(j + 1) * cycle // slots[s])
-    waiting = [(0, str(s), i, 0) for i, s in enumerate(slots)]
-    names, ready, out = list(slots), [], []
+    """Exact slots of a cycle for each weight, as fractions; they sum to the cycle, and none is 0."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: w * cycle / total for s, w in exact.items()}
+
+
+def earliest_deadline_first(weights: dict, left: dict, out: dict, start: int) -> int:
+    """Adds slots from `start` on to `out` until the first source has sent all it has left; returns the next slot.
+
+    Weights are whole numbers, of which a source's part in their sum counts.
+    """
+    names, total = list(weights), sum(weights.values())
+    each, last = [weights[s] for s in names], [left[s] - 1 for s in names]
+    places = [out[s] for s in names]
+    if len(names) == 1:
+        places[0].extend(range(start, start + left[names[0]]))
+        return start + left[names[0]]
+    waiting = [(0, str(s), i, 0) for i, s in enumerate(names)]
+    ready: list = []
     heapq.heapify(waiting)
-    for t in range(cycle):
+    for t in itertools.count():
         while waiting and waiting[0][0] <= t:
             _, label, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(names[i], j), label, i, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // each[i]), label, i, j))
         _, label, i, j = heapq.heappop(ready)
-        out.append(names[i])
-        if blocks is not None and j + 1 == blocks[names[i]]:
-            break
-        heapq.heappush(waiting, (release(names[i], j + 1), label, i, j + 1))
-    return out
-
-
-@dataclass
-class Segment:
-    """Blocks of a source from `first` on take the places in every cycle of `length` slots from `start` on."""
-
-    first: int
-    start: int
-    length: int
-    places: np.ndarray
+        places[i].append(start + t)
+        if j == last[i]:
+            return start + t + 1
+        heapq.heappush(waiting, ((j + 1) * total // each[i], label, i, j + 1))
 
 
 def schedule(blocks: dict, weights: dict, cycle: int = CYCLE) -> dict:
-    """Segments of each source. Sources without a weight or with weight 0 go last, in equal shares."""
+    """The slots of each source's blocks. Sources without a weight or with weight 0 go last, in equal shares.
+
+    The cycle is only the unit in which shares are told; slots do not depend on it.
+    """
     left = {s: n for s, n in blocks.items() if n > 0}
-    out: dict = {s: [] for s in blocks}
-    done, at = dict.fromkeys(blocks, 0), 0
+    out: dict = {s: array("q") for s in blocks}
+    exact = shares({s: w for s in left if (w := weights.get(s) or 0) > 0}, cycle)
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    whole, at = {s: int(x * unit) for s, x in exact.items()}, 0
     while left:
-        active = {s: weights.get(s) or 0.0 for s in left}
-        active = {s: w for s, w in active.items() if w > 0} or dict.fromkeys(active, 1.0)
-        slots = shares(active, cycle)
-        turns = min(left[s] // slots[s] for s in active)
-        order = earliest_deadline_first(slots, None if turns else left)
-        turns = max(turns, 1)
-        for s in active:
-            places = np.array([t for t, x in enumerate(order) if x == s], np.int64)
-            if not len(places):
-                continue
-            out[s].append(Segment(done[s], at, len(order), places))
-            done[s] += turns * len(places)
-            left[s] -= turns * len(places)
-            if not left[s]:
-                del left[s]
-        at += turns * len(order)
-    return out
-
-
-def slots_of(segments: list[Segment], block: np.ndarray) -> np.ndarray:
+        active = {s: whole[s] for s in left if s in whole} or dict.fromkeys(left, 1)
+        at = earliest_deadline_first(active, left, out, at)
+        left = {s: n for s in left if (n := blocks[s] - len(out[s]))}
+    return {s: np.array(x, np.int64) for s, x in out.items()}
+
+
+def slots_of(slots: np.ndarray, block: np.ndarray) -> np.ndarray:
     """The slot of each block of a source."""
-    starts = [s.first for s in segments]
-    out = np.zeros(len(block), np.int64)
-    which = np.searchsorted(starts, block, "right") - 1
-    for k in np.unique(which):
-        s, at = segments[k], which == k
-        turn, place = np.divmod(block[at] - s.first, len(s.places))
-        out[at] = s.start + turn * s.length + s.places[place]
-    return out
+    return slots[block]
 
 
 def tempered_weights(sizes: dict, power: float = 0.5) -> dict:

@@ -56,6 +56,23 @@ def test_hot_source_with_a_long_tail(sizes, cycle):
     assert Counter(sequence(blocks, weights)) == blocks
 
 
+@pytest.mark.parametrize("weights", [
+    {"a": 1, "b": 1, "c": 1},
+    {"hot": 9970, "rare": 15, "rarer": 7, "x": 8},
+    {f"s{i}": i * i + 1 for i in range(40)},
+])
+def test_true_weights_over_many_cycles(weights):
+    """Against the weights themselves, in whole numbers: less than one block however long the run."""
+    n, total = 300_000, sum(weights.values())
+    plan = M.schedule({s: n * w // total for s, w in weights.items()}, weights)
+    end = min(int(x[-1]) + 1 for x in plan.values())  # the first source has run out
+    assert end > 200 * M.CYCLE
+    t = np.arange(1, end + 1)
+    for s, w in weights.items():
+        sent = np.searchsorted(M.slots_of(plan[s], np.arange(n * w // total)), t)
+        assert np.abs(sent * total - t * w).max() < total
+
+
 def test_unweighted_go_last():
     order = sequence({"a": 5, "b": 7, "c": 3}, {"a": 1.0})
     assert order[:5] == ["a"] * 5 and Counter(order[5:]) == {"b": 7, "c": 3}
