@@ -89,36 +89,66 @@ def best_fit(pieces: DataFrame, room: int, length: str = "length", order: tuple[
     return placed.mapInPandas(place, schema)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int = 0) -> DataFrame:
+def numbered(pieces: DataFrame, order: list[str]) -> DataFrame:
+    """The packed pieces with sequences numbered anew, from 0, by the first piece each holds in `order`."""
+    first = pieces.groupBy("sequence_id").agg(F.min(F.struct(*order)).alias("_first")).withColumn("_all", F.lit(0))
+    new = ranked(first, "_all", ["_first"], "_new", "packing-sequences").select(F.col("sequence_id").alias("_old"), "_new")
+    joined = pieces.join(new, pieces["sequence_id"] == new["_old"])
+    return joined.select(*(F.col("_new").alias(c) if c == "sequence_id" else F.col(c) for c in pieces.columns))
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int = 0, places: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of (doc_id, text): the ids and an end id, cut only where longer than `room`.
 
     The first piece takes what is over whole pieces. A null text is empty (its one piece is the end id),
-    a null id is left out, rows that share an id are documents of their own.
+    a null id is left out, rows that share an id are documents of their own. `places` are whole numbers
+    of the documents that their pieces keep.
     """
 
     def cut(batches):
         import pyarrow as pa
 
-        names = ("doc_id", "piece", "start", "length", "ids_crc32")
+        names = ("doc_id", "piece", "start", "length", "ids_crc32", *places)
         for batch in slices(batches, 1, ENCODED_BYTES):
             rows = []
             ids = encoder(vocabulary).encode(batch.column(1).to_pylist())
-            for doc_id, x in zip(batch.column(0).to_pylist(), ids, strict=True):
+            place = zip(*(batch.column(2 + k).to_pylist() for k in range(len(places)))) if places else [()] * len(ids)
+            for doc_id, x, at in zip(batch.column(0).to_pylist(), ids, place, strict=True):
                 x = np.append(x.astype("<u4"), np.uint32(end_id)).astype("<u4")
                 first = len(x) % room or room
                 edges = [0, *range(first, len(x) + 1, room)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(x[a:b].tobytes())))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(x[a:b].tobytes()), *at))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int64()] * len(places))
             yield pa.RecordBatch.from_pydict(
                 {n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)}
             )
 
-    return keyed(docs, "doc_id", text="text").select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    kept = keyed(docs, "doc_id", text="text", **{c: c for c in places})
+    return kept.select(F.col("doc_id").cast("long"), "text", *(F.col(c).cast("long") for c in places)).mapInArrow(
+        cut, ", ".join(["doc_id long, piece int, start long, length long, ids_crc32 long", *(f"{c} long" for c in places)])
     )
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, room: int = 2048, end_id: int = 0) -> DataFrame:
-    """Every piece of every document with its sequence and its place there; places leave no gap from 0."""
-    return best_fit(written(token_pieces(docs, vocabulary, room, end_id), "packing-pieces"), room)
+def pack_documents(
+    docs: DataFrame, vocabulary: str, room: int = 2048, end_id: int = 0, places: tuple[str, ...] = (),
+) -> DataFrame:
+    """Every piece of every document with its sequence and its place there; places leave no gap from 0.
+
+    With `places`, columns of whole numbers that order the documents, documents of one length are taken in that
+    order, and sequences are numbered by the first document they hold.
+    """
+    pieces = written(token_pieces(docs, vocabulary, room, end_id, places), "packing-pieces")
+    if not places:
+        return best_fit(pieces, room)
+    order = [*places, "doc_id", "piece"]
+    packed = written(best_fit(pieces, room, order=tuple(order)), "packing-placed")
+    return numbered(packed, order).drop(*places)
+
+
+def file_places(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """A table Spark wrote, with columns that tell the order it was written in: part, file of the part, row."""
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+    places = {"_part": number("^part-([0-9]+)"), "_file": number("-c([0-9]+)[.]"), "_row": F.col("_metadata.row_index")}
+    return docs.select("*", *(c.alias(n) for n, c in places.items())), tuple(places)

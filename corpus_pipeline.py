@@ -36,8 +36,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of 2048 tokens."""
-    return packing.pack_documents(docs, vocabulary_path())
+    """Best-fit packing into sequences of 2048 tokens, documents taken and sequences numbered in the order docs were written."""
+    docs, places = packing.file_places(docs)
+    return packing.pack_documents(docs, vocabulary_path(), places=places)
 
 
 STAGES = [

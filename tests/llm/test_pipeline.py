@@ -1,6 +1,8 @@
 from collections import Counter
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from clipledger.llm import quality_rules, secret_scan
 from clipledger.llm.common import written
 
@@ -61,6 +63,34 @@ def test_stages(spark, small):
     check_packing([tuple(r) for r in after], [(r.doc_id, ids_of(r.text, 0)) for r in before], 2048)
 
 
+def test_weights_reach_the_sequences(spark, small, monkeypatch):
+    """Sequences are numbered in the order of the mix, so other weights give other rows."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.collect()}
+    names = sorted(set(source.values()))
+
+    def run(weights):
+        mixed = lambda spark, docs, root: M.mixed_documents(docs, weights)
+        monkeypatch.setattr(P, "STAGES", [("source_mix", mixed), P.STAGES[-1]])
+        place = {r.doc_id: r.place for r in M.interleaved(docs.select("doc_id", "source", F.xxhash64("doc_id", "source").alias("k")), weights, key="k")
+                 .join(docs.select("doc_id", F.xxhash64("doc_id", "source").alias("k")), "k").collect()}
+        return P.run(spark, small).collect(), place
+
+    seen = []
+    for weights in ({names[0]: 1}, {names[-1]: 1}):
+        rows, place = run(weights)
+        first = {}
+        for r in rows:
+            first[r.sequence_id] = min(first.get(r.sequence_id, len(place)), place[r.doc_id])
+        assert [first[s] for s in sorted(first)] == sorted(first.values()) and sorted(first) == list(range(len(first)))
+        seen.append({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in rows})
+        lead = next(r.doc_id for r in rows if place[r.doc_id] == 0)
+        assert source[lead] in weights and any(r.doc_id == lead and r.sequence_id == 0 for r in rows)
+    assert seen[0] != seen[1]
+
+
 def test_odd_rows(spark, small):
     import corpus_pipeline as P
 
