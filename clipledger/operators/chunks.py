@@ -114,6 +114,8 @@ class Fold:
     # Folds whose state only blocks its key for a time define ``lapse``; their chunks need no second run.
     # The first of ``inputs`` is then the row's time, and rows come in its order.
     lapse: Callable[[Any], int | None] | None = None
+    # Seconds from a row within which the state it leaves behind has lapsed; tables are whole where it is not known.
+    reach: float = float("inf")
 
     def resets(self, *values: Any) -> bool:
         """Whether a row's outcome state is the same whatever came before."""
@@ -162,6 +164,8 @@ def exit_table(fold: Fold, rows: list[tuple]) -> dict[str, Any]:
     Such a state blocks rows until it lapses; the first row after that, or one that resets,
     opens anew and forgets it.  The exit for every row that could be first to open follows
     from the exit of the row that opens after it, so one pass from the end finds all.
+    Only rows up to the first one out of reach of earlier chunks can be first to open;
+    neighbours with one exit share an entry, at the time of the last of them.
     """
     times = [r[0] for r in rows]
     total = list(accumulate((fold.weight(*r) for r in rows), initial=0))
@@ -177,8 +181,9 @@ def exit_table(fold: Fold, rows: list[tuple]) -> dict[str, Any]:
         exits[i] = exits[after] if after < len(rows) else fold.through(state, total[-1] - total[i + 1])
         if fold.resets(*rows[i]):
             reset = i
-    end = resets[0] + 1 if resets else len(rows)
-    return {"times": times[:end], "exits": exits[:end], "resets": bool(resets), "weight": total[-1]}
+    end = min(resets[0] + 1 if resets else len(rows), bisect_left(times, times[0] + fold.reach) + 1)
+    last = [i for i in range(end) if i + 1 == end or exits[i + 1] != exits[i]]
+    return {"times": [times[i] for i in last], "exits": [exits[i] for i in last], "resets": bool(resets), "weight": total[-1]}
 
 
 def exit_state(fold: Fold, table: dict[str, Any], state: Any) -> Any:
@@ -202,6 +207,23 @@ def _exit_table_task(fold: Fold) -> Callable:
     return run
 
 
+def _chain_task(fold: Fold, begin: dict[int, Any]) -> Callable:
+    """The state at the end of every chunk, from the chunks' tables in order; `begin` has what each key's first is entered with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = state = None
+        for batch in batches:
+            ends = []
+            for key_head, table in zip(_column(batch, "_head").to_pylist(), _column(batch, "state").to_pylist()):
+                if key_head != head:
+                    head, state = key_head, begin[key_head]
+                state = exit_state(fold, json.loads(table), state)
+                ends.append(json.dumps(state))
+            yield pa.RecordBatch.from_pydict({CHUNK: _column(batch, CHUNK), "state": pa.array(ends, pa.string())})
+
+    return run
+
+
 def _fold_task(fold: Fold, keys: Sequence[str], carry: dict[int, Any], arrow_types: list) -> Callable:
     """The fold's outputs for every row; a chunk's first key starts from what was carried in."""
 
@@ -274,11 +296,17 @@ def ordered_fold(
         states = end_states(last_keys.where(key.eqNullSafe(F.col("_last"))), carry)
     # only the end of a chunk inside one key depends on what the chunk was entered with
     inner = [c for c in needed if c in entered and known[c][0] == known[c][1]]
-    if inner and fold.lapse is not None:  # one job for all of them, then the chunks' tables follow one another
-        found = rows.where(F.col(CHUNK).isin(inner)).select(CHUNK, *inputs).mapInArrow(_exit_table_task(fold), f"{CHUNK} int, state string")
-        tables = {r[CHUNK]: json.loads(r["state"]) for r in found.collect()}
+    if inner and fold.lapse is not None:  # one job for all tables, one that applies those of each key in turn
+        spark, head = df.sparkSession, {}
         for c in inner:
-            states[c] = exit_state(fold, tables[c], states[entered[c]])
+            head[c] = head.get(entered[c], c)
+        begin = {c: states[entered[c]] for c in set(head.values())}
+        tables = durable(rows.where(F.col(CHUNK).isin(inner)).select(CHUNK, *inputs).mapInArrow(_exit_table_task(fold), f"{CHUNK} int, state string"))
+        heads = spark.createDataFrame(list(head.items()), f"{CHUNK} int, _head int")
+        in_turn = tables.join(F.broadcast(heads), CHUNK).repartition("_head").sortWithinPartitions("_head", CHUNK)
+        with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):  # a task holds one table at a time
+            found = in_turn.mapInArrow(_chain_task(fold, begin), f"{CHUNK} int, state string").collect()
+        states.update({r[CHUNK]: json.loads(r["state"]) for r in found})
         inner = []
     inner_rows: DataFrame | None = None
     while entered:

@@ -33,7 +33,7 @@ class _AnchorFold(Fold):
     outputs = (("_open", T.BooleanType()),)
 
     def __init__(self, ttl: int):
-        self.ttl = ttl
+        self.ttl, self.reach = ttl, ttl + 1
 
     def step(self, kept, sec):
         if kept is None or sec - kept > self.ttl:
@@ -51,7 +51,7 @@ class _WindowQuotaFold(Fold):
     outputs = (("_granted", T.LongType()),)
 
     def __init__(self, n: int, window: int):
-        self.n, self.window = n, window
+        self.n, self.window, self.reach = n, window, window
 
     def step(self, state, sec, asked):
         anchor, used = state if state else (None, 0)
@@ -110,6 +110,7 @@ class _ResolverCacheFold(Fold):
 
     def __init__(self, positive_ttl: int, negative_ttl: int):
         self.positive_ttl, self.negative_ttl = positive_ttl, negative_ttl
+        self.reach = max(positive_ttl, negative_ttl)
 
     def step(self, state, sec, stores):
         positive, negative = state if state else (None, None)
@@ -137,7 +138,7 @@ class _DebounceFold(Fold):
     outputs = (("_open", T.BooleanType()),)
 
     def __init__(self, wait: int):
-        self.wait = wait
+        self.wait = self.reach = wait
 
     def step(self, last, sec, forced):
         is_open = last is None or sec - last >= self.wait

@@ -265,6 +265,38 @@ def test_exit_tables_are_the_fold(fold):
             state, k = want, k + size
 
 
+@pytest.mark.parametrize("fold,row", [
+    (folds._AnchorFold(7), lambda t: (t,)), (folds._WindowQuotaFold(3, 9), lambda t: (t, 1)),
+    (folds._ResolverCacheFold(8, 3), lambda t: (t, "positive")), (folds._DebounceFold(5), lambda t: (t, False)),
+], ids=lambda x: type(x).__name__)
+def test_exit_tables_end_where_no_state_reaches(fold, row):
+    from clipledger.operators.chunks import exit_table
+
+    assert len(exit_table(fold, [row(t) for t in range(5000)])["times"]) <= fold.reach + 1
+
+
+@pytest.mark.parametrize("ttl", [20, 100_000])
+def test_driver_gets_one_state_a_chunk(spark, monkeypatch, ttl):
+    """Whatever the time to live, tables of a hot key's chunks stay in Spark."""
+    df = spark.range(4000).selectExpr("id AS request_id", "1L AS k", "timestamp_seconds(id * 3) AS ts")
+    seen, kind = [], type(df)
+    collect = kind.collect
+
+    def spied(self):
+        got = collect(self)
+        seen.extend(len(str(r)) for r in got)
+        return got
+
+    with monkeypatch.context() as m:
+        m.setattr(kind, "collect", spied)
+        out = folds.ttl_dedup(df, ["k"], ttl, n_chunks=10)
+    kept, anchor, want = {r.request_id for r in out.where("kept").collect()}, None, set()
+    for i in range(4000):
+        if anchor is None or 3 * i - anchor > ttl:
+            anchor, want = 3 * i, want | {i}
+    assert kept == want and seen and max(seen) < 200
+
+
 def test_jobs_do_not_grow_with_chunks(spark):
     df = spark.range(4000).selectExpr("id AS request_id", "1L AS k", "timestamp_seconds(id * 3) AS ts")
     seen, tracker = [], spark.sparkContext.statusTracker()
