@@ -51,4 +51,29 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM h JOIN d USING (s) JOIN f USING (s)
 """
 
-SQL = {"op5_dictionary_warc": OP5, "op1_suffix_array_dedup": OP1, "op6_bottom_k_near_dedup": OP6}
+#: crc32 by half bytes, with the fixed values of its sixteen-entry table; each digit of the id has the low half first and then 3.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) & 15 AS BIGINT), CAST(ascii(x) // 16 AS BIGINT)]))),
+  lambda c, b: xor(c // 16, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+  3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][CAST(xor(c, b) % 16 + 1 AS INT)])))"""
+#: Matches of equal words at each lag; neighbours on a lag make a run, and the smallest period of a stretch counts.
+OP13 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {CRC32} AS h FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+t AS (SELECT doc_id, CASE WHEN hit THEN list_transform(range(0, n),
+  lambda i: w[CAST(1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END AS BIGINT)]) ELSE w END AS w FROM g),
+e AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM t),
+cells AS (SELECT a.doc_id, a.i - b.i AS p, a.i FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i < a.i),
+marked AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS run FROM cells),
+found AS (SELECT doc_id, min(i) - p AS start, count(*) + p AS length, p AS period FROM marked GROUP BY doc_id, p, run HAVING count(*) + p >= greatest(6, 4 * p)),
+runs AS (SELECT doc_id, start, length, min(period) AS period FROM found GROUP BY ALL),
+most AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines,
+  arg_min({{'start': start, 'length': length, 'period': period}}, (-length, start, period)) AS m FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, m.start AS start, m.length AS length, m.period AS period, 1000 * m.length // m.period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(s, '')) AS collapsed_sha256
+FROM t LEFT JOIN most ON most.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+SQL = {"op5_dictionary_warc": OP5, "op1_suffix_array_dedup": OP1, "op6_bottom_k_near_dedup": OP6, "op13_sparse_diagonal_runs": OP13}

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import bottom_k, kmeans_tree, mixing, packing, pitman_yor, quality_rules, secret_scan, suffix_dedup, token_store, warc
+from clipledger.llm import bottom_k, kmeans_tree, mixing, packing, periodic_runs, pitman_yor, quality_rules, secret_scan, suffix_dedup, token_store, warc
 from clipledger.llm.common import table, written
 from clipledger.llm.tokens import vocabulary_path
 
@@ -57,6 +57,11 @@ def op10_pitman_yor_scores(spark: SparkSession, root: str) -> DataFrame:
     return pitman_yor.scored(table(spark, root, "documents"), held_out)
 
 
+def op13_sparse_diagonal_runs(spark: SparkSession, root: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, root, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs, least=6, times=4))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
