@@ -25,30 +25,18 @@ RUNS = "array<struct<start: long, length: long, period: long>>"
 WORDS_AT_ONCE = 1 << 19
 
 
-def diagonals(codes: np.ndarray, least: int, times: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and smallest period of every run of `codes`, numbers that stand for words.
-
-    A run is at least `least` long and `times` (3 or more) its period; `longest`: words of the longest text.
-    """
-    if times < 3:
-        raise ValueError("runs shorter than three periods are not found")
+def cells(codes: np.ndarray, deepest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, lag and g of every cell for lags up to `deepest`, in the order of words; `codes`: numbers that stand for words."""
     at, name, g = np.arange(len(codes)), np.asarray(codes, np.int64), 1
-    found = []
-    while len(at) and times * (g // 2 + 1) <= longest:
+    found = [(at[:0],) * 3]
+    while len(at) and g // 2 < deepest:
         order = np.argsort(name, kind="stable")  # equal words side by side, in the order of the text
         place = at[order]
         same = np.diff(name[order]) == 0
         lag = np.zeros(len(at), np.int64)
         lag[order[1:][same]] = (place[1:] - place[:-1])[same]
-        cell = np.flatnonzero((lag > g // 2) & (lag <= g))
-        if len(cell):
-            i, p = at[cell], lag[cell]
-            apart = np.flatnonzero((np.diff(i) != 1) | (np.diff(p) != 0)) + 1
-            opens, ends = np.r_[0, apart], np.r_[apart, len(i)] - 1
-            period, start = p[opens], i[opens] - g - p[opens] + 1
-            length = i[ends] + 1 - start
-            enough = length >= np.maximum(least, times * period)
-            found.append((start[enough], length[enough], period[enough]))
+        near = (lag > g // 2) & (lag <= g)
+        found.append((at[near], lag[near], np.full(near.sum(), g)))
         again = np.zeros(len(at), bool)  # words that occur elsewhere as well
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
@@ -59,11 +47,42 @@ def diagonals(codes: np.ndarray, least: int, times: int, longest: int) -> tuple[
         ok = np.flatnonzero(at[np.minimum(half, len(at) - 1)] == at - g) if len(at) else half
         name = rank[half[ok]] * (rank.max(initial=0) + 1) + rank[ok]
         at, g = at[ok], 2 * g
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    start, length, period = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((period, start))
-    return start[order], length[order], period[order]
+    i, p, size = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(i, kind="stable")
+    return i[order], p[order], size[order]
+
+
+def diagonals(codes: np.ndarray, least: int, times: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and smallest period of every run of `codes`, by start and period.
+
+    A run is at least `least` long and `times` (3 or more) its period; `longest`: words of the longest text.
+    Only the lags active at one word are held: a few, as squares that end at one place are few.
+    """
+    if times < 3:
+        raise ValueError("runs shorter than three periods are not found")
+    runs: list[tuple[int, int, int]] = []
+    active: dict[int, int] = {}  # lag: words matched so far
+    fresh: dict[int, int] = {}
+    word = -1
+
+    def end(lags: dict[int, int], last: int) -> None:
+        for p, match in lags.items():
+            if match + p >= max(least, times * p):
+                runs.append((last + 1 - match - p, match + p, p))
+
+    for i, p, g in zip(*(x.tolist() for x in cells(codes, longest // times)), strict=True):
+        if i != word:
+            end(active, word - 1)  # what word `word` did not go on with
+            active, fresh = fresh, {}
+            if i != word + 1:
+                end(active, word)
+                active = {}
+            word = i
+        fresh[p] = active.pop(p) + 1 if p in active else g
+    end(active, word - 1)
+    end(fresh, word)
+    found = np.array(sorted(runs, key=lambda r: (r[0], r[2])), np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2]
 
 
 def _texts(batches) -> Iterator[tuple]:
