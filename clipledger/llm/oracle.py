@@ -76,4 +76,15 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, m.start AS start, m.length AS le
 FROM t LEFT JOIN most ON most.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id
 """
 
-SQL = {"op5_dictionary_warc": OP5, "op1_suffix_array_dedup": OP1, "op6_bottom_k_near_dedup": OP6, "op13_sparse_diagonal_runs": OP13}
+#: Lines with their keys; all but the smallest document lose a key that two or more hold.
+OP12 = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL),
+e AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM d),
+k AS (SELECT doc_id, x, i, translate(trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{UPPER}', '{LOWER}') AS k FROM e),
+shared AS (SELECT k, min(doc_id) AS keeper FROM k WHERE length(k) >= 10 GROUP BY k HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, x, i, coalesce(doc_id <> keeper, false) AS gone FROM k LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+SQL = {"op12_cuckoo_line_dedup": OP12, "op5_dictionary_warc": OP5, "op1_suffix_array_dedup": OP1, "op6_bottom_k_near_dedup": OP6, "op13_sparse_diagonal_runs": OP13}

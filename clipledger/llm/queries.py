@@ -6,8 +6,9 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clipledger.llm import bottom_k, kmeans_tree, mixing, packing, periodic_runs, pitman_yor, quality_rules, secret_scan, suffix_dedup, token_store, warc
+from clipledger.llm import bottom_k, kmeans_tree, line_dedup, mixing, packing, periodic_runs, pitman_yor, quality_rules, secret_scan, suffix_dedup, token_store, warc
 from clipledger.llm.common import table, written
 from clipledger.llm.tokens import vocabulary_path
 
@@ -57,6 +58,12 @@ def op10_pitman_yor_scores(spark: SparkSession, root: str) -> DataFrame:
     return pitman_yor.scored(table(spark, root, "documents"), held_out)
 
 
+def op12_cuckoo_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    docs, index = table(spark, root, "documents"), line_dedup.LineIndex(spark)
+    index.insert(docs)
+    return index.kept(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_sparse_diagonal_runs(spark: SparkSession, root: str) -> DataFrame:
     docs = periodic_runs.with_planted_runs(table(spark, root, "documents"))
     return periodic_runs.digests(periodic_runs.periodic_runs(docs, least=6, times=4))
