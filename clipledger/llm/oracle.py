@@ -87,4 +87,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """
 
-SQL = {"op12_cuckoo_line_dedup": OP12, "op5_dictionary_warc": OP5, "op1_suffix_array_dedup": OP1, "op6_bottom_k_near_dedup": OP6, "op13_sparse_diagonal_runs": OP13}
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Every document is scored for every item.
+OP11 = f"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS t FROM documents WHERE doc_id IS NOT NULL),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, docs),
+m AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // total AS m FROM n, s),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS t FROM benchmark WHERE item_id IS NOT NULL),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10
+"""
+
+SQL = {"op11_best_position_search": OP11, "op12_cuckoo_line_dedup": OP12, "op5_dictionary_warc": OP5, "op1_suffix_array_dedup": OP1, "op6_bottom_k_near_dedup": OP6, "op13_sparse_diagonal_runs": OP13}

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipledger.llm import bottom_k, kmeans_tree, line_dedup, mixing, packing, periodic_runs, pitman_yor, quality_rules, secret_scan, suffix_dedup, token_store, warc
+from clipledger.llm import bottom_k, kmeans_tree, line_dedup, mixing, packing, periodic_runs, pitman_yor, quality_rules, ranked_search, secret_scan, suffix_dedup, token_store, warc
 from clipledger.llm.common import table, written
 from clipledger.llm.tokens import vocabulary_path
 
@@ -58,6 +58,10 @@ def op10_pitman_yor_scores(spark: SparkSession, root: str) -> DataFrame:
     return pitman_yor.scored(table(spark, root, "documents"), held_out)
 
 
+def op11_best_position_search(spark: SparkSession, root: str) -> DataFrame:
+    return ranked_search.search(table(spark, root, "documents"), table(spark, root, "benchmark"), k=10)
+
+
 def op12_cuckoo_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     docs, index = table(spark, root, "documents"), line_dedup.LineIndex(spark)
     index.insert(docs)

@@ -12,6 +12,7 @@ COLUMNS = {
     "op5": "page_id payload_bytes payload_digest record_type refers_to", "op6": "doc_id n_shingles component_id kept",
     "op7": "doc_id start n_tokens ids_crc32", "op8": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9": "doc_id n_assign n_access n_hex base_sha256 spans", "op10": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op11": "item_id rank doc_id score",
     "op12": "doc_id n_lines n_dropped kept_sha256",
     "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
