@@ -209,7 +209,8 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """doc_id, key: lines that a document loses, as a document with a smaller id has them."""
-        shared = self.states().where("n_docs > 1").select("key", "keeper")
+        # written, so that both sides of the join are shuffled and the postings of a hot key can be split
+        shared = self._read([self._write(self.states().where("n_docs > 1").select("key", "keeper"), "shared")], "key binary, keeper long")
         return self.postings().join(shared, "key").where("doc_id <> keeper").select("doc_id", "key")
 
     # --- updates
