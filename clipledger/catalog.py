@@ -17,7 +17,7 @@ from clipledger.operators import folds, joins, metrics, outcomes, policy, select
 from clipledger.plans import catalogue
 from clipledger.sources import ingest, stores, views
 from clipledger.streaming import rollups, stateful
-from clipledger.streaming.runner import drain_append, read_events
+from clipledger.streaming.runner import Replay, read_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -262,25 +262,32 @@ def _stream_channel(spark, root):
     return views.shape_requests(read_events(spark, root)).where("channel_id IS NOT NULL")
 
 
+def _stream_dedup(spark, root):
+    run = Replay(spark)
+    return run.drain(stateful.stream_dedup(_stream_channel(spark, root), ["channel_id", "tweet_id"], DAY, ticks=run.ticks))
+
+
+def _stream_limit(spark, root):
+    run, requests = Replay(spark), views.shape_requests(read_events(spark, root)).where("author_id IS NOT NULL")
+    return run.drain(stateful.stream_rate_limit(requests, ["author_id"], 2, DAY, ticks=run.ticks))
+
+
 def _stream_progress(spark, root):
-    # stream-static join with the log of job ends
-    ends = views.events(spark, root).groupBy(F.col("user_id").alias("job")).agg(F.max("event_id").alias("_last"))
-    rows = views.shape_progress(read_events(spark, root)).join(ends, "job")
-    return rows.withColumn("ends", F.col("seq") == F.col("_last")).drop("_last")
+    run, rows = Replay(spark), views.shape_progress(read_events(spark, root))
+    # a user is one job, however long nothing is heard of it
+    return run.drain(stateful.stream_progress_debounce(rows, DEBOUNCE_S, idle_s=100 * 365 * DAY, ticks=run.ticks))
 
 
 def streams() -> dict[str, Query]:
     """Each runs over the folder's event files to the end and returns what the stream wrote."""
-    v, post = views, ["channel_id", "tweet_id"]
+    v = views
     q: dict[str, Query] = {}
-    q["stream_dedup"] = lambda s, r: drain_append(stateful.stream_dedup(_stream_channel(s, r), post, DAY)).select("request_id")
-    q["stream_rate_limit"] = lambda s, r: drain_append(
-        stateful.stream_rate_limit(
-            v.shape_requests(read_events(s, r)).where("author_id IS NOT NULL"), ["author_id"], 2, DAY
-        )
+    q["stream_dedup"] = lambda s, r: _stream_dedup(s, r).where("decision = 'kept'").select("request_id")
+    q["stream_rate_limit"] = lambda s, r: _stream_limit(s, r).select(
+        "request_id", F.when(F.col("decision") != "late", F.col("decision") == "allowed").alias("allowed")
     )
-    q["stream_progress_debounce"] = lambda s, r: drain_append(
-        stateful.stream_progress_debounce(_stream_progress(s, r), DEBOUNCE_S)
+    q["stream_progress_debounce"] = lambda s, r: _stream_progress(s, r).select(
+        "job", "seq", "stage", "done", "total", F.when(F.col("decision") != "late", F.col("decision") == "flushed").alias("flushed")
     )
     q["stream_stage_window"] = lambda s, r: rollups.stream_stage_window(v.shape_stage_runs(read_events(s, r)), "1 hour", "2 hours")
     q["stream_totals"] = lambda s, r: rollups.stream_run_totals(v.shape_jobs(read_events(s, r)))

@@ -1,4 +1,12 @@
-"""Streaming decisions with per-key state.
+"""Streaming decisions with per-key state, taken in the order of event time.
+
+Rows wait in their key's state until the watermark has passed their second; an event-time timer
+then decides all that are due, in order. So the answer is the batch operator's, however rows are
+spread over files and micro-batches, as long as none comes later than the watermark allows. A row that
+does takes no part: it comes out with the decision ``late``, so that counts add up.
+
+Time goes on with the rows; where none arrive, a stream of ticks (a column ``ts``) moves it. Ticks
+change no decision. A tick beyond the end of a replay settles what still waits.
 
 Before rows reach the keyed state, each task drops or settles what cannot change a
 decision: later repeats of a second, requests beyond a second's quota, progress rows
@@ -8,15 +16,16 @@ of rows per second and task to its state, not its whole traffic.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SEC = "at_sec"  # state rows travel as named tuples, which take no leading underscore
+LATE = "late"
 
 
 def _ship() -> None:
@@ -25,38 +34,150 @@ def _ship() -> None:
     cloudpickle.register_pickle_by_value(here)
 
 
-class _Dedup(StatefulProcessor):
-    """Keeps a row when the last kept one is more than ``ttl`` seconds older."""
+def _ms(sec: int) -> int:
+    """When the watermark has passed a second."""
+    return (sec + 1) * 1000
 
-    def __init__(self, keys: Sequence[str], id_col: str, ttl: int):
-        self.keys, self.id_col, self.ttl = list(keys), id_col, ttl
+
+class _InOrder(StatefulProcessor):
+    """Rows (second, micros, id, note) wait for their turn; subclasses say what becomes of them.
+
+    ``id_type`` is the type of ids; notes are strings.
+    """
+
+    def __init__(self, keys: Sequence[str], id_col: str, id_type: str):
+        self.keys, self.id_col, self.id_type = list(keys), id_col, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", "sec bigint")
+        self.waiting = handle.getListState("waiting", f"sec bigint, at bigint, id {self.id_type}, note string")
+        self.alarm = handle.getValueState("alarm", "ms bigint")
+
+    # --- for subclasses
+
+    def step(self, key: tuple, due: Iterable[tuple]) -> Iterator[tuple]:
+        """Rows (id, at, note, decision) that come of due rows, which are in order."""
+        raise NotImplementedError
+
+    def lapses(self) -> int | None:
+        """When the state that is left can no longer matter, in ms."""
+        raise NotImplementedError
+
+    def lapse(self, key: tuple) -> Iterator[tuple]:
+        """Rows that come of a lapse, which clears the state."""
+        raise NotImplementedError
+
+    # --- the turn of rows
+
+    def _table(self, key: tuple, rows: Iterable[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[*self.keys, self.id_col, "at", "note", "decision"]).astype({"at": "int64"})
+
+    def _wake(self, ms: int | None) -> None:
+        """One timer is set, for the next thing to happen."""
+        old = self.alarm.get()[0] if self.alarm.exists() else None
+        if old == ms:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if ms is None:
+            self.alarm.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.alarm.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", self.id_col])
+        passed, first = timerValues.getCurrentWatermarkInMs(), None
+        for pdf in rows:
+            pdf = pdf[~pdf["tick"]]
+            if pdf.empty:
+                continue
+            got = list(zip(*(pdf[c].tolist() for c in (SEC, "at", self.id_col, "note")), strict=True))
+            late = [r for r in got if _ms(r[0]) <= passed]
+            if late:
+                yield self._table(key, ((i, at, note, LATE) for _, at, i, note in late))
+                got = [r for r in got if _ms(r[0]) > passed]
+            if got:
+                self.waiting.appendList(got)
+                low = min(r[0] for r in got)
+                first = low if first is None else min(first, low)
+        if first is not None:
+            # what waits already has a timer of its own, unless the timer is for a lapse, which can wait for these rows
+            old = self.alarm.get()[0] if self.alarm.exists() else None
+            self._wake(_ms(first) if old is None else min(old, _ms(first)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        self.alarm.clear()  # it has gone off
+        every = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((tuple(r) for r in every if _ms(r[0]) <= passed), key=lambda r: (r[0], r[1], r[2]))
+        rest = [tuple(r) for r in every if _ms(r[0]) > passed]
+        out = list(self.step(key, due))
+        if rest:
+            self.waiting.put(rest)
+        elif every:
+            self.waiting.clear()
+        ends = self.lapses()
+        if ends is not None and ends <= passed:  # rows that still wait are later than the lapse
+            out += self.lapse(key)
+            ends = None
+        self._wake(min([_ms(r[0]) for r in rest] + ([ends] if ends is not None else []), default=None))
+        if out:
+            yield self._table(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def _decided(
+    stream: DataFrame, keys: list[str], id_col: str, note: Column, processor: _InOrder, lateness: str, ticks: DataFrame | None
+) -> DataFrame:
+    """keys, id, at (micros), note, decision."""
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    rows = stream.select(*keys, id_col, "ts", note.alias("note"), F.lit(False).alias("tick"))
+    if ticks is not None:
+        blank = [F.lit(None).cast(types[c]).alias(c) for c in keys]
+        rows = rows.unionByName(ticks.select(*blank, F.lit(0).cast(types[id_col]).alias(id_col), "ts", F.lit("").alias("note"), F.lit(True).alias("tick")))
+    # without the time column itself: Spark would drop late rows before the state sees them
+    timed = rows.withWatermark("ts", lateness).select(
+        *keys, id_col, "note", "tick", F.unix_micros("ts").alias("at"), F.unix_seconds("ts").alias(SEC)
+    )
+    out = ", ".join(f"{c} {types[c]}" for c in [*keys, id_col]) + ", at bigint, note string, decision string"
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def _id_type(stream: DataFrame, id_col: str) -> str:
+    return next(f.dataType.simpleString() for f in stream.schema.fields if f.name == id_col)
+
+
+class _Dedup(_InOrder):
+    """Keeps a row when the last kept one is more than ``ttl`` seconds older."""
+
+    def __init__(self, keys, id_col, id_type, ttl: int):
+        super().__init__(keys, id_col, id_type)
+        self.ttl = ttl
+
+    def init(self, handle):
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "sec bigint")
+
+    def step(self, key, due):
         kept = self.kept.get()[0] if self.kept.exists() else None
-        chosen = []
-        for i, sec in enumerate(pdf[SEC].tolist()):
+        before = kept
+        for sec, at, i, note in due:
             if kept is None or sec - kept > self.ttl:
                 kept = sec
-                chosen.append(i)
-        if chosen:
+                yield i, at, note, "kept"
+        if kept != before:
             self.kept.update((kept,))
-            self.handle.registerTimer((kept + self.ttl + 1) * 1000)
-            yield pdf.iloc[chosen][[*self.keys, self.id_col, "ts"]]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.kept.exists():
-            last = (self.kept.get()[0] + self.ttl + 1) * 1000
-            if last <= expiredTimerInfo.getExpiryTimeInMs():
-                self.kept.clear()
-        return iter([])
+    def lapses(self):
+        return _ms(self.kept.get()[0] + self.ttl) if self.kept.exists() else None
 
-    def close(self) -> None:
-        pass
+    def lapse(self, key):
+        self.kept.clear()
+        return []
 
 
 def stream_dedup(
@@ -66,55 +187,53 @@ def stream_dedup(
     *,
     lateness: str = "10 minutes",
     id_col: str = "request_id",
+    ticks: DataFrame | None = None,
 ) -> DataFrame:
-    """The kept rows of a request stream: keys, id and ts; a kept row re-anchors, as in the batch operator."""
+    """The kept rows of a request stream, and those too late to be judged: keys, id, ts, decision (``kept``, ``late``).
+
+    A kept row re-anchors, as in the batch operator. Of a late second the first row of each task is told.
+    """
     _ship()
     keys = list(keys)
-    rows = stream.select(*keys, id_col, "ts", F.unix_seconds("ts").alias(SEC))
 
     def first_of_second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.sort_values(["ts", id_col]).drop_duplicates([*keys, SEC])
 
-    few = rows.mapInPandas(first_of_second, rows.schema).withWatermark("ts", lateness)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    out = ", ".join(f"{c} {types[c]}" for c in [*keys, id_col, "ts"])
-    return few.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Dedup(keys, id_col, ttl_s), outputStructType=out, outputMode="Append", timeMode="EventTime"
-    )
+    rows = stream.select(*keys, id_col, "ts", F.unix_seconds("ts").alias(SEC))
+    few = rows.mapInPandas(first_of_second, rows.schema)
+    processor = _Dedup(keys, id_col, _id_type(stream, id_col), ttl_s)
+    judged = _decided(few, keys, id_col, F.lit(""), processor, lateness, ticks)
+    return judged.select(*keys, id_col, F.timestamp_micros("at").alias("ts"), "decision")
 
 
-class _Quota(StatefulProcessor):
+class _Quota(_InOrder):
     """Anchored fixed window with at most ``n`` grants."""
 
-    def __init__(self, id_col: str, n: int, window: int):
-        self.id_col, self.n, self.window = id_col, n, window
+    def __init__(self, keys, id_col, id_type, n: int, window: int):
+        super().__init__(keys, id_col, id_type)
+        self.n, self.window = n, window
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def init(self, handle):
+        super().init(handle)
         self.open = handle.getValueState("open", "anchor bigint, used bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", self.id_col])
-        anchor, used = tuple(self.open.get()) if self.open.exists() else (None, 0)
-        allowed = []
-        for sec in pdf[SEC].tolist():
+    def step(self, key, due):
+        before = anchor, used = tuple(self.open.get()) if self.open.exists() else (None, 0)
+        for sec, at, i, note in due:
             if anchor is None or sec - anchor >= self.window:
                 anchor, used = sec, 0
-            allowed.append(used < self.n)
-            used += allowed[-1]
-        self.open.update((anchor, used))
-        self.handle.registerTimer((anchor + self.window) * 1000)
-        yield pd.DataFrame({self.id_col: pdf[self.id_col], "allowed": allowed})
+            yield i, at, note, "allowed" if used < self.n else "denied"
+            used = min(used + 1, self.n)
+        if (anchor, used) != before:
+            self.open.update((anchor, used))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            if (self.open.get()[0] + self.window) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-                self.open.clear()
-        return iter([])
+    def lapses(self):
+        return _ms(self.open.get()[0] + self.window - 1) if self.open.exists() else None
 
-    def close(self) -> None:
-        pass
+    def lapse(self, key):
+        self.open.clear()
+        return []
 
 
 def stream_rate_limit(
@@ -125,110 +244,115 @@ def stream_rate_limit(
     *,
     lateness: str = "10 minutes",
     id_col: str = "request_id",
+    ticks: DataFrame | None = None,
 ) -> DataFrame:
-    """Request ids and whether each is allowed; ``n`` = 0 turns the limit off."""
+    """Request ids with a decision (``allowed``, ``denied``, ``late``), one row for each request; ``n`` = 0 turns the limit off.
+
+    Requests past the n-th of a second in one task are denied at once: n others of their second come first.
+    """
     if n == 0:
-        return stream.select(id_col, F.lit(True).alias("allowed"))
+        return stream.select(id_col, F.lit("allowed").alias("decision"))
     _ship()
     keys = list(keys)
     rows = stream.select(*keys, id_col, "ts", F.unix_seconds("ts").alias(SEC))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # past the n-th row of a second no grant can be left
         for pdf in batches:
             pdf = pdf.sort_values(["ts", id_col])
             yield pdf.assign(_live=pdf.groupby([*keys, SEC]).cumcount() < n)
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    marked = rows.mapInPandas(mark, types + ", _live boolean").withWatermark("ts", lateness)
-    id_type = dict((f.name, f.dataType.simpleString()) for f in rows.schema.fields)[id_col]
-    judged = marked.where("_live").groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Quota(id_col, n, window_s),
-        outputStructType=f"{id_col} {id_type}, allowed boolean",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-    return judged.union(marked.where("NOT _live").select(id_col, F.lit(False).alias("allowed")))
-
+    marked = rows.mapInPandas(mark, types + ", _live boolean")
+    processor = _Quota(keys, id_col, _id_type(stream, id_col), n, window_s)
+    judged = _decided(marked.where("_live"), keys, id_col, F.lit(""), processor, lateness, ticks)
+    return judged.select(id_col, "decision").union(marked.where("NOT _live").select(id_col, F.lit("denied").alias("decision")))
 
-_PROGRESS = ["seq", "stage", "done", "total"]
 
+_SAID = "stage string, done bigint, total bigint"
 
-class _Debounce(StatefulProcessor):
-    """Shows rows that must show or are due; holds the last other one until the job ends."""
 
-    def __init__(self, wait: int):
-        self.wait = wait
+class _Debounce(_InOrder):
+    """Shows rows that must show or are due; holds the last other one until the job ends.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        said = "seq bigint, stage string, done bigint, total bigint"
-        self.last = handle.getValueState("last", "sec bigint")
-        self.sent = handle.getValueState("sent", said)
-        self.held = handle.getValueState("held", said)
+    A note is a letter (w: may wait, e: the job's end, both or neither: -) and what the row says.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        last = self.last.get()[0] if self.last.exists() else None
-        sent = tuple(self.sent.get()) if self.sent.exists() else None
-        held = tuple(self.held.get()) if self.held.exists() else None
-        out, ended = [], False
-        columns = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in _PROGRESS]
-        for sec, wait, ends, row in zip(pdf[SEC].tolist(), pdf["waits"].tolist(), pdf["ends"].tolist(), zip(*columns)):
-            row = tuple(int(v) if isinstance(v, float) else v for v in row)
-            if not wait or last is None or sec - last >= self.wait:
-                out.append((*key, *row, False))
-                last, sent, held = sec, row, None
-            else:
-                held = row
-            ended = ended or ends
-        if ended:
-            if held is not None and held[1:] != sent[1:]:
-                out.append((*key, *held, True))
-            for state in (self.last, self.sent, self.held):
-                state.clear()
-        else:
-            self.last.update((last,))
-            self.sent.update(sent)
-            if held is None:
-                self.held.clear()
+    def __init__(self, keys, id_col, id_type, wait: int, idle: int):
+        super().__init__(keys, id_col, id_type)
+        self.wait, self.idle = wait, idle
+
+    def init(self, handle):
+        super().init(handle)
+        # last second shown, last second seen, what was shown, the held row
+        self.state = handle.getValueState("state", f"shown bigint, seen bigint, sent string, at bigint, id {self.id_type}, held string")
+
+    def _flush(self, sent, at, i, held):
+        if held is not None and held != sent:
+            yield i, at, held, "flushed"
+
+    def step(self, key, due):
+        before = shown, seen, sent, at0, id0, held = tuple(self.state.get()) if self.state.exists() else (None,) * 6
+        for sec, at, i, note in due:
+            if seen is not None and sec > seen + self.idle:  # the timer would have gone off between the two
+                yield from self._flush(sent, at0, id0, held)
+                shown = sent = at0 = id0 = held = None
+            kind, said, seen = note[:2], note[2:], sec
+            if "w" not in kind or shown is None or sec - shown >= self.wait:
+                yield i, at, said, "shown"
+                shown, sent, at0, id0, held = sec, said, None, None, None
             else:
-                self.held.update(held)
-        shown = pd.DataFrame(out, columns=["job", *_PROGRESS, "flushed"])
-        yield shown.astype({"done": "Int64", "total": "Int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_progress_debounce(stream: DataFrame, debounce_s: int) -> DataFrame:
-    """Shown progress rows of a stream of job, seq, ts, stage, done, total, ends.
+                at0, id0, held = at, i, said
+            if "e" in kind:
+                yield from self._flush(sent, at0, id0, held)
+                shown = seen = sent = at0 = id0 = held = None
+        now = (shown, seen, sent, at0, id0, held)
+        if shown is None:
+            self.state.clear()
+        elif now != before:
+            self.state.update(now)
+
+    def lapses(self):
+        return _ms(self.state.get()[1] + self.idle) if self.state.exists() else None
+
+    def lapse(self, key):
+        _, _, sent, at, i, held = tuple(self.state.get())
+        self.state.clear()
+        return list(self._flush(sent, at, i, held))
+
+
+def stream_progress_debounce(
+    stream: DataFrame, debounce_s: int, *, idle_s: int = 86_400, lateness: str = "10 minutes", ticks: DataFrame | None = None
+) -> DataFrame:
+    """Progress rows of a stream of job, seq, ts, stage, done, total and, if it has one, ends.
 
-    ``ends`` marks a job's last row; it releases the held update and the job's state.
-    Without a wait every row is shown.
+    Comes out as job, seq, stage, done, total, decision (``shown``, ``flushed``, ``late``). A row with ``ends``
+    is its job's last; it releases the held update and the job's state, and so does a timer ``idle_s``
+    after a job's last row. Without a wait every row is shown.
     """
+    body = ["job", "seq", "stage", "done", "total"]
     if debounce_s <= 0:
-        return stream.select("job", *_PROGRESS, F.lit(False).alias("flushed"))
+        return stream.select(*body, F.lit("shown").alias("decision"))
     _ship()
+    ends = F.coalesce(F.col("ends"), F.lit(False)) if "ends" in stream.columns else F.lit(False)
     wait = F.coalesce((F.col("stage") == "transcoding") & (F.col("done") < F.col("total")), F.lit(False))
-    rows = stream.select("job", *_PROGRESS, "ts", "ends", F.unix_seconds("ts").alias(SEC), wait.alias("waits"))
+    kind = F.concat(F.when(wait, "w").otherwise("-"), F.when(ends, "e").otherwise("-"))
+    said = F.to_json(F.struct("stage", "done", "total"))
+    rows = stream.select("job", "seq", "ts", kind.alias("kind"), said.alias("said"), F.unix_seconds("ts").alias(SEC))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # of a second only the first row, the last forced one and the last waiting one can matter
         for pdf in batches:
             pdf = pdf.sort_values(["ts", "seq"])
             second = pdf.groupby(["job", SEC])
-            ends_of_kind = pdf.groupby(["job", SEC, "waits"]).cumcount(ascending=False) == 0
-            yield pdf.assign(_live=(second.cumcount() == 0) | ends_of_kind | pdf["ends"])
+            last_of_kind = pdf.groupby(["job", SEC, "kind"]).cumcount(ascending=False) == 0
+            yield pdf.assign(_live=(second.cumcount() == 0) | last_of_kind | pdf["kind"].str.contains("e"))
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     marked = rows.mapInPandas(mark, types + ", _live boolean")
-    shown = marked.where("_live").groupBy("job").transformWithStateInPandas(
-        statefulProcessor=_Debounce(debounce_s),
-        outputStructType="job bigint, seq bigint, stage string, done bigint, total bigint, flushed boolean",
-        outputMode="Append",
-        timeMode="None",
-    )
-    return shown.union(marked.where("NOT _live AND NOT waits").select("job", *_PROGRESS, F.lit(False).alias("flushed")))
+    processor = _Debounce(["job"], "seq", _id_type(stream, "seq"), debounce_s, idle_s)
+    judged = _decided(marked.where("_live"), ["job"], "seq", F.concat("kind", "said"), processor, lateness, ticks)
+    late = F.col("decision") == LATE
+    judged = judged.select("job", "seq", F.when(late, F.substr("note", F.lit(3))).otherwise(F.col("note")).alias("said"), "decision")
+    # forced rows between the first and the last of a second are shown whatever came before
+    forced = marked.where("NOT _live AND kind NOT LIKE 'w%'").select("job", "seq", "said", F.lit("shown").alias("decision"))
+    return judged.union(forced).withColumn("_said", F.from_json("said", _SAID)).select("job", "seq", "_said.*", "decision")
