@@ -15,7 +15,8 @@ from clipledger.config import DEFAULTS
 from clipledger.constants import LOG_TAIL_SUCCESS
 from clipledger.operators import folds, joins, metrics, outcomes, policy, selection, sequences, text
 from clipledger.plans import catalogue
-from clipledger.sources import ingest, stores, views
+from clipledger.session import scratch_path
+from clipledger.sources import ingest, keyed_store, stores, views
 from clipledger.streaming import rollups, stateful
 from clipledger.streaming.runner import Replay, read_events
 
@@ -24,6 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 DAY = 86_400
 DEBOUNCE_S = 3_600
 QUEUE_WARN = 30
+#: The tables' store: few keys over a month, and no prune before its end.
+STORE = {"n_parts": 4, "bucket_s": 5 * DAY}
 
 
 def _now(spark: SparkSession, root: str) -> int:
@@ -39,8 +42,16 @@ def _store(spark, root):
     return stores.dedup_store_upsert(None, views.processed_writes(spark, root))
 
 
-def _prune(spark, root):
-    return stores.dedup_store_prune(_store(spark, root), _now(spark, root))
+def _on_disk(spark, root):
+    store = keyed_store.KeyedStore(spark, scratch_path(spark, "store"), **STORE)
+    store.upsert(views.processed_writes(spark, root))
+    return store
+
+
+def _remainder(spark, root):
+    store = _on_disk(spark, root)
+    store.prune(_now(spark, root))
+    return store.read()
 
 
 def _in_channel(spark, root):
@@ -167,8 +178,8 @@ def batch() -> dict[str, Query]:
     q["ingest_probe_facts"] = lambda s, r: ingest.ingest_probe_facts(v.raw_probes(s, r))
     q["dedup_store_upsert"] = _store
     q["dedup_store_hydrate"] = lambda s, r: stores.dedup_store_hydrate(_store(s, r), _now(s, r))
-    q["dedup_store_prune"] = _prune
-    q["dedup_store_remainder"] = lambda s, r: stores.dedup_store_remainder(_store(s, r), _prune(s, r))
+    q["dedup_store_prune"] = lambda s, r: _on_disk(s, r).prune(_now(s, r))
+    q["dedup_store_remainder"] = _remainder
     q["metrics_store_load"] = lambda s, r: stores.metrics_store_load(v.counters(s, r))
     q["job_report"] = _report
     # text and URLs
@@ -292,7 +303,7 @@ def streams() -> dict[str, Query]:
     q["stream_stage_window"] = lambda s, r: rollups.stream_stage_window(v.shape_stage_runs(read_events(s, r)), "1 hour", "2 hours")
     q["stream_totals"] = lambda s, r: rollups.stream_run_totals(v.shape_jobs(read_events(s, r)))
     q["stream_error_counts"] = lambda s, r: rollups.stream_error_counts(v.shape_failures(read_events(s, r)))
-    q["stream_store_upsert"] = lambda s, r: rollups.stream_store_upsert(v.shape_processed_writes(read_events(s, r)))
+    q["stream_store_upsert"] = lambda s, r: rollups.stream_store_upsert(v.shape_processed_writes(read_events(s, r)), **STORE)
     return q
 
 

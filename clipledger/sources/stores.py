@@ -26,21 +26,22 @@ def write_snapshot(store: DataFrame, path: str) -> DataFrame:
     return store.sparkSession.read.parquet(path)
 
 
-def _expired(now_s: Column | int, ttl_s: int) -> Column:
+def expired(now_s: Column | int, ttl_s: int) -> Column:
+    """Whether a time lies more than ``ttl_s`` back; one in the future does not."""
     now = F.lit(now_s) if isinstance(now_s, int) else now_s
     return F.greatest(now - F.col("ts"), F.lit(0)) > ttl_s
 
 
 def dedup_store_hydrate(store: DataFrame, now_s: Column | int, ttl_s: int = DEFAULTS.dedup_ttl_s) -> DataFrame:
     """Keys still live at ``now_s``; a time in the future counts as live."""
-    return store.where(~_expired(now_s, ttl_s)).select(*KEY)
+    return store.where(~expired(now_s, ttl_s)).select(*KEY)
 
 
 def dedup_store_prune(
     store: DataFrame, now_s: Column | int, ttl_s: int = DEFAULTS.dedup_ttl_s, batch_size: int = DEFAULTS.prune_batch
 ) -> DataFrame:
     """The expired keys one run removes: at most ``batch_size``, in key order."""
-    return store.where(_expired(now_s, ttl_s)).orderBy(*KEY).limit(max(batch_size, 1)).select(*KEY)
+    return store.where(expired(now_s, ttl_s)).orderBy(*KEY).limit(max(batch_size, 1)).select(*KEY)
 
 
 def dedup_store_remainder(store: DataFrame, removed: DataFrame) -> DataFrame:

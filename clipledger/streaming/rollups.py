@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger.operators import metrics
-from clipledger.sources.stores import KEY, dedup_store_upsert
+from clipledger.sources.keyed_store import KeyedStore
+from clipledger.sources.stores import KEY
 from clipledger.streaming.runner import drain_batches
 from clipledger.session import scratch_path
 
@@ -64,33 +65,19 @@ def stream_error_counts(failures: DataFrame) -> DataFrame:
     return metrics.zero_filled_categories(counts)
 
 
-def _last_snapshot(spark: SparkSession, where: str) -> str | None:
-    """The newest finished snapshot below a folder of any file system Spark knows."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/v*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    numbers = [int(f.getPath().getParent().getName()[1:]) for f in found]
-    return f"{where}/v{max(numbers)}" if numbers else None
-
-
-def stream_store_upsert(writes: DataFrame, where: str | None = None) -> DataFrame:
+def stream_store_upsert(writes: DataFrame, where: str | None = None, **layout: int) -> DataFrame:
     """The dedup store after every micro-batch of (scope_id, tweet_id, ts, batch_no) writes.
 
-    Batch ``i`` reads snapshot ``i - 1`` and writes snapshot ``i``, so a repeated batch
-    gives the same snapshot again.
+    A micro-batch replaces the cells that its keys leave or enter. Batch ``i`` is update ``i`` of the
+    store, so a repeated batch gives the same store again; a restart goes on from it. ``layout``:
+    see ``KeyedStore``.
     """
     spark = writes.sparkSession
     where = where or scratch_path(spark, "store")
-    seen: list[int] = []
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in writes.schema.fields if f.name in KEY)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        own = batch.sparkSession
-        store = own.read.parquet(f"{where}/v{batch_id - 1}") if batch_id else None
-        dedup_store_upsert(store, batch).write.mode("overwrite").parquet(f"{where}/v{batch_id}")
-        seen.append(batch_id)
+        KeyedStore(batch.sparkSession, where, key_type=types, **layout).upsert(batch, batch_id)
 
     drain_batches(writes, "append", write, where)
-    if seen:
-        return spark.read.parquet(f"{where}/v{max(seen)}")
-    # a restart with nothing new finds the store as the last run left it
-    last = _last_snapshot(spark, where)
-    return spark.read.parquet(last) if last else spark.createDataFrame([], writes.schema).select(*KEY, "ts")
+    return KeyedStore(spark, where, key_type=types, **layout).read()
