@@ -10,12 +10,9 @@ key is.  Two tools build on that:
   Those number at most one per chunk, so the carry table is broadcast.
 * ``ordered_fold``: for decisions that depend on earlier decisions.  Each chunk
   is folded with the state its predecessor ended in.  Only chunks that lie
-  inside a single key depend on that state.  Where a state merely blocks its key
-  for a time, each such chunk tabulates once what it makes of any state, and the
-  tables are applied one after another: two jobs, however many chunks a key has.
-  Other folds run those chunks again until no carried state changes, which ends
-  after at most as many rounds as a key has chunks.  Both are exactly the
-  sequential result.
+  inside a single key depend on that state.  Each such chunk tabulates once what it
+  makes of any state, and the tables are applied one after another: two jobs, however
+  many chunks a key has.  That is exactly the sequential result.
 """
 
 from __future__ import annotations
@@ -26,6 +23,7 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -107,16 +105,31 @@ class Fold:
     def step(self, state: Any, *values: Any) -> tuple[Any, tuple]:
         raise NotImplementedError
 
-    def settle(self, state: Any) -> Any:
-        """One form for states that behave alike, so that chunks are not run again for nothing."""
-        return state
+    # The first of ``inputs`` is the row's time, and rows come in its order.
+
+    def table(self, rows: list[tuple]) -> bytes:
+        """What a chunk with these rows makes of any state; as is for states that merely block their key until they lapse."""
+        return json.dumps(exit_table(self, rows)).encode()
+
+    def enter(self, table: bytes, state: Any) -> Any:
+        """The state after a chunk that is entered with ``state``."""
+        return exit_state(self, json.loads(table), state)
+
+    def lapse(self, state: Any) -> int | None:
+        """When a state no longer blocks its key."""
+        raise NotImplementedError
 
-    # Folds whose state only blocks its key for a time define ``lapse``; their chunks need no second run.
-    # The first of ``inputs`` is then the row's time, and rows come in its order.
-    lapse: Callable[[Any], int | None] | None = None
     # Seconds from a row within which the state it leaves behind has lapsed; tables are whole where it is not known.
     reach: float = float("inf")
 
+    def closed(self, batch: pa.RecordBatch, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which islands (rows from ``start`` to before ``end``) ``answers`` is right for: single rows, if nothing else is said."""
+        return end - start == 1
+
+    def answers(self, batch: pa.RecordBatch, begins: np.ndarray) -> list[Sequence]:
+        """The outputs for rows of closed islands; ``begins`` marks where islands begin."""
+        raise NotImplementedError
+
     def resets(self, *values: Any) -> bool:
         """Whether a row's outcome state is the same whatever came before."""
         return False
@@ -139,8 +152,8 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _end_state_task(fold: Fold, carry: dict[int, Any]) -> Callable:
-    """State after the rows of each chunk's last key, which are all it is given."""
+def _end_state_task(fold: Fold) -> Callable:
+    """State after the rows of each chunk's last key, which are all it is given, had the key begun there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = state = None
@@ -149,11 +162,11 @@ def _end_state_task(fold: Fold, carry: dict[int, Any]) -> Callable:
                 continue
             if chunk is None:
                 chunk = _column(batch, CHUNK)[0].as_py()
-                state = carry.get(chunk, fold.start())
+                state = fold.start()
             for values in _columns(batch, fold.inputs):
                 state, _ = fold.step(state, *values)
         if chunk is not None:
-            yield pa.RecordBatch.from_pydict({CHUNK: pa.array([chunk], pa.int32()), "state": [json.dumps(fold.settle(state))]})
+            yield pa.RecordBatch.from_pydict({CHUNK: pa.array([chunk], pa.int32()), "state": [json.dumps(state)]})
 
     return run
 
@@ -202,7 +215,7 @@ def _exit_table_task(fold: Fold) -> Callable:
                 chunk = _column(batch, CHUNK)[0].as_py()
                 rows += _columns(batch, fold.inputs)
         if rows:
-            yield pa.RecordBatch.from_pydict({CHUNK: pa.array([chunk], pa.int32()), "state": [json.dumps(exit_table(fold, rows))]})
+            yield pa.RecordBatch.from_pydict({CHUNK: pa.array([chunk], pa.int32()), "table": [fold.table(rows)]})
 
     return run
 
@@ -214,36 +227,65 @@ def _chain_task(fold: Fold, begin: dict[int, Any]) -> Callable:
         head = state = None
         for batch in batches:
             ends = []
-            for key_head, table in zip(_column(batch, "_head").to_pylist(), _column(batch, "state").to_pylist()):
+            for key_head, table in zip(_column(batch, "_head").to_pylist(), _column(batch, "table").to_pylist()):
                 if key_head != head:
                     head, state = key_head, begin[key_head]
-                state = exit_state(fold, json.loads(table), state)
+                state = fold.enter(table, state)
                 ends.append(json.dumps(state))
             yield pa.RecordBatch.from_pydict({CHUNK: _column(batch, CHUNK), "state": pa.array(ends, pa.string())})
 
     return run
 
 
+def _changes(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Whether each row but the first differs from the one before it; nulls are alike."""
+    differs = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for name in names:
+        codes = _column(batch, name).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        differs |= codes[1:] != codes[:-1]
+    return differs
+
+
 def _fold_task(fold: Fold, keys: Sequence[str], carry: dict[int, Any], arrow_types: list) -> Callable:
-    """The fold's outputs for every row; a chunk's first key starts from what was carried in."""
+    """The fold's outputs for every row; a chunk's first key starts from what was carried in.
+
+    Islands are rows of one key without a gap in which any state is forgotten. Those whose answer
+    can be told from their columns are answered for the whole batch at once, the others row by row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = state = None
-        started = False
+        key = sec = None
+        state, started = fold.start(), False
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            outs = []
-            for row_key, values in zip(_columns(batch, keys), _columns(batch, fold.inputs)):
-                if not started:
-                    state = carry.get(_column(batch, CHUNK)[0].as_py(), fold.start())
-                    key, started = row_key, True
-                elif row_key != key:
-                    key, state = row_key, fold.start()
-                state, out = fold.step(state, *values)
-                outs.append(out)
+            times = _column(batch, fold.inputs[0]).to_numpy(zero_copy_only=False)
+            first = _columns(batch.slice(0, 1), keys)[0]
+            if not started:
+                at = _column(batch, CHUNK)[0].as_py()
+                state, opens, started = carry.get(at, state), at not in carry, True
+            else:
+                opens = first != key or times[0] - sec >= fold.reach
+            begins = np.r_[opens, _changes(batch, keys) | (np.diff(times) >= fold.reach)]
+            start = np.flatnonzero(begins)
+            end = np.r_[start[1:], batch.num_rows].astype(np.int64)
+            closed = fold.closed(batch, start, end)
+            outs = [np.array(x, object) for x in fold.answers(batch, begins)]
+            one_by_one = [(a, b, fold.start()) for a, b in zip(start[~closed].tolist(), end[~closed].tolist())]
+            if not opens:  # goes on with what the rows before left
+                one_by_one.insert(0, (0, int(start[0]) if len(start) else batch.num_rows, state))
+            for a, b, state in one_by_one:
+                for i, values in enumerate(_columns(batch.slice(a, b - a), fold.inputs), a):
+                    state, out = fold.step(state, *values)
+                    for column, value in zip(outs, out):
+                        column[i] = value
+            if len(start) and closed[-1]:
+                state = fold.start()
+                for values in _columns(batch.slice(start[-1]), fold.inputs):
+                    state, _ = fold.step(state, *values)
+            key, sec = _columns(batch.slice(batch.num_rows - 1), keys)[0], times[-1]
             kept = [n for n in batch.schema.names if n != CHUNK]
-            made = [pa.array(col, t) for col, t in zip(zip(*outs), arrow_types)]
+            made = [pa.array(col.tolist(), t) for col, t in zip(outs, arrow_types)]
             names = kept + [n for n, _ in fold.outputs]
             yield pa.RecordBatch.from_arrays([_column(batch, n) for n in kept] + made, names=names)
 
@@ -285,39 +327,26 @@ def ordered_fold(
 
     inputs = list(dict.fromkeys(fold.inputs))
 
-    def end_states(tails: DataFrame, carry: dict[int, Any]) -> dict[int, Any]:
-        found = tails.select(CHUNK, *inputs).mapInArrow(_end_state_task(fold, carry), f"{CHUNK} int, state string").collect()
-        return {r[CHUNK]: json.loads(r["state"]) for r in found}
-
-    carry: dict[int, Any] = {}
     states: dict[int, Any] = {}
     if needed:
         last_keys = rows.where(F.col(CHUNK).isin(needed)).join(F.broadcast(spans.select(CHUNK, "_last")), CHUNK)
-        states = end_states(last_keys.where(key.eqNullSafe(F.col("_last"))), carry)
+        tails = last_keys.where(key.eqNullSafe(F.col("_last"))).select(CHUNK, *inputs)
+        found = tails.mapInArrow(_end_state_task(fold), f"{CHUNK} int, state string").collect()
+        states = {r[CHUNK]: json.loads(r["state"]) for r in found}
     # only the end of a chunk inside one key depends on what the chunk was entered with
     inner = [c for c in needed if c in entered and known[c][0] == known[c][1]]
-    if inner and fold.lapse is not None:  # one job for all tables, one that applies those of each key in turn
+    if inner:  # one job for all tables, one that applies those of each key in turn
         spark, head = df.sparkSession, {}
         for c in inner:
             head[c] = head.get(entered[c], c)
         begin = {c: states[entered[c]] for c in set(head.values())}
-        tables = durable(rows.where(F.col(CHUNK).isin(inner)).select(CHUNK, *inputs).mapInArrow(_exit_table_task(fold), f"{CHUNK} int, state string"))
+        tables = durable(rows.where(F.col(CHUNK).isin(inner)).select(CHUNK, *inputs).mapInArrow(_exit_table_task(fold), f"{CHUNK} int, table binary"))
         heads = spark.createDataFrame(list(head.items()), f"{CHUNK} int, _head int")
         in_turn = tables.join(F.broadcast(heads), CHUNK).repartition("_head").sortWithinPartitions("_head", CHUNK)
         with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):  # a task holds one table at a time
             found = in_turn.mapInArrow(_chain_task(fold, begin), f"{CHUNK} int, state string").collect()
         states.update({r[CHUNK]: json.loads(r["state"]) for r in found})
-        inner = []
-    inner_rows: DataFrame | None = None
-    while entered:
-        fresh = {now: states[prev] for now, prev in entered.items()}
-        stale = [c for c in inner if fresh[c] != carry.get(c)]
-        carry = fresh
-        if not stale:
-            break
-        if inner_rows is None:  # rounds read these chunks alone
-            inner_rows = durable(rows.where(F.col(CHUNK).isin(inner)).select(CHUNK, *inputs))
-        states.update(end_states(inner_rows.where(F.col(CHUNK).isin(stale)), {c: carry[c] for c in stale}))
+    carry = {now: states[prev] for now, prev in entered.items()}
 
     fields = [f for f in rows.schema.fields if f.name != CHUNK]
     fields += [T.StructField(n, t) for n, t in fold.outputs]

@@ -10,8 +10,10 @@ splits a key over tasks.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,13 @@ class _AnchorFold(Fold):
     def lapse(self, kept):
         return kept + self.ttl + 1
 
+    def closed(self, batch, start, end):
+        times = batch.column(SEC).to_numpy()
+        return times[end - 1] - times[start] <= self.ttl
+
+    def answers(self, batch, begins):
+        return [begins]
+
 
 class _WindowQuotaFold(Fold):
     """Fixed window opened by its first request; hands out what is left of ``n``."""
@@ -69,12 +78,21 @@ class _WindowQuotaFold(Fold):
     def through(self, state, weight):
         return [state[0], min(self.n, state[1] + weight)]
 
+    def closed(self, batch, start, end):
+        # no window can hold more than all of an island's requests
+        total = np.cumsum(np.r_[0, batch.column("_asked").to_numpy()])
+        return (total[end] - total[start] <= self.n) | (end - start == 1)
+
+    def answers(self, batch, begins):
+        return [np.minimum(batch.column("_asked").to_numpy(), self.n)]
+
 
 class _InflightFold(Fold):
     """Running jobs and finished successes block their key; failures free it."""
 
     inputs = (SEC, "_end", "_ok")
     outputs = (("_open", T.BooleanType()),)
+    NO_JOB = -(1 << 62)
 
     def __init__(self, ttl: int, inflight_ttl: int):
         self.ttl, self.inflight_ttl = ttl, inflight_ttl
@@ -101,6 +119,54 @@ class _InflightFold(Fold):
             ends = ends + [[end, ok]]
         return [running, done, ends], (True,)
 
+    # A chunk's table has, for every row, the last row that opens if that row opens and no older job is still
+    # to end. Marks and the ends of older jobs only move the first row that opens, which is found by time; where an
+    # older job is still to end when a row opens, the way goes on from row to row until none is.
+
+    def _next(self, times, low: int, state: list) -> tuple[int | None, list]:
+        """The first row from ``low`` on that opens, with the jobs still to end then; or None and the state after the last row."""
+        running, done, ends = state
+        ends = sorted(ends)
+        while True:
+            free = max(running if running is not None else times[0], done + 1 if done is not None else times[0])
+            i = max(low, bisect_left(times, free))
+            if i < len(times) and not (ends and ends[0][0] <= times[i]):
+                return i, ends
+            if not ends or ends[0][0] > times[-1]:
+                running = running if running is not None and times[-1] < running else None
+                done = done if done is not None and times[-1] <= done else None
+                return None, [running, done, ends]
+            (at, good), ends = ends[0], ends[1:]
+            running, done = None, at + self.ttl if good else done
+            low = max(low, bisect_left(times, at))
+
+    def answers(self, batch, begins):
+        return [np.ones(len(begins), bool)]
+
+    def _opened(self, sec: int, end: int | None, ok: bool, ends: list) -> list:
+        return [None, None, ends] if end is None else [sec + self.inflight_ttl, None, [*ends, [end, ok]]]
+
+    def table(self, rows):
+        times, last = [r[0] for r in rows], list(range(len(rows)))
+        for i in range(len(rows) - 1, -1, -1):
+            j, ends = self._next(times, i + 1, self._opened(*rows[i], []))
+            if j is not None and not ends:
+                last[i] = last[j]
+        jobs = [(self.NO_JOB if end is None else end, bool(ok)) for _, end, ok in rows]
+        return np.array([times, [e for e, _ in jobs], [k for _, k in jobs], last], np.int64).tobytes()
+
+    def enter(self, table, state):
+        times, end, ok, last = np.frombuffer(table, np.int64).reshape(4, -1)
+        low = 0
+        while True:
+            i, after = self._next(times, low, state)
+            if i is None:
+                running, done, ends = after
+                return [running if running is None else int(running), done if done is None else int(done), ends]
+            i = i if after else int(last[i])
+            job = None if end[i] == self.NO_JOB else int(end[i])
+            state, low = self._opened(int(times[i]), job, bool(ok[i]), after), i + 1
+
 
 class _ResolverCacheFold(Fold):
     """Negative entries are looked up before positive ones; a miss may store either."""
@@ -130,6 +196,9 @@ class _ResolverCacheFold(Fold):
         # an entry is stored only where none is live, so at most one of the two is
         return max((x for x in state if x is not None), default=None)
 
+    def answers(self, batch, begins):
+        return [[None] * len(begins)]
+
 
 class _DebounceFold(Fold):
     """A slot is open when the last emission is at least ``wait`` seconds old."""
@@ -150,6 +219,9 @@ class _DebounceFold(Fold):
     def resets(self, sec, forced):
         return bool(forced)
 
+    def answers(self, batch, begins):
+        return [np.ones(len(begins), bool)]
+
 
 def _ship() -> None:
     import clipledger.operators.folds as here

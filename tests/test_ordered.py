@@ -1,5 +1,6 @@
 """Ordered operators against plain loops, with one key holding most rows and several chunk counts."""
 
+import copy
 import datetime as dt
 import random
 
@@ -297,6 +298,93 @@ def test_driver_gets_one_state_a_chunk(spark, monkeypatch, ttl):
     assert kept == want and seen and max(seen) < 200
 
 
+def test_inflight_tables_are_the_fold():
+    """Any chunk, entered with any jobs still to end, leaves a state that acts like that of running its rows."""
+    rnd = random.Random(3)
+
+    def settled(fold, state, last):
+        running, done, ends = state
+        for at, good in sorted(map(tuple, ends)):
+            if at <= last:
+                running, done = None, at + fold.ttl if good else done
+        return (running if running is not None and last < running else None, done if done is not None and last <= done else None,
+                sorted(tuple(e) for e in ends if e[0] > last))
+
+    for _ in range(4000):
+        fold = folds._InflightFold(rnd.choice([0, 3, 10]), rnd.choice([1, 4, 8]))
+        secs = sorted(rnd.sample(range(60), rnd.randrange(2, 14)))
+        rows = [(s, None if rnd.random() < 0.15 else s + rnd.choice([1, 2, 5, 20, 50]), rnd.random() < 0.5) for s in secs]
+        cut, state = rnd.randrange(1, len(rows)), fold.start()
+        for r in rows[:cut]:
+            state, _ = fold.step(state, *r)
+        want = state
+        for r in rows[cut:]:
+            want, _ = fold.step(want, *r)
+        got = fold.enter(fold.table(rows[cut:]), state)
+        assert settled(fold, got, rows[-1][0]) == settled(fold, want, rows[-1][0]), rows
+
+
+def test_inflight_jobs_do_not_grow_with_chunks(spark):
+    """Jobs that outlive their mark and hold a key over many chunks take no extra rounds."""
+    rnd, tracker, seen = random.Random(8), spark.sparkContext.statusTracker(), []
+    rows = [(1, 2 * i, i) for i in range(1500)]
+    ends = [(s + rnd.choice([1, 30, 900]), rnd.random() < 0.3) for _, s, _ in rows]
+    df = frame(spark, rows, ", end_ts timestamp, ok boolean", [(T0 + dt.timedelta(seconds=e), ok) for e, ok in ends])
+    for n in (10, 40):
+        spark.sparkContext.setJobGroup(f"inflight-{n}", "")
+        assert result(folds.inflight_dedup(df, ["key"], 40, 60, n_chunks=n), "accepted") == walk_inflight(rows, ends, 40, 60)
+        seen.append(len(tracker.getJobIdsForGroup(f"inflight-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(set(seen)) == 1
+
+
+def test_short_keys_are_answered_in_columns():
+    """Only islands that carry a state are stepped through; the answers are those of stepping through all."""
+    import pyarrow as pa
+
+    from clipledger.operators.chunks import CHUNK, _fold_task
+
+    rnd = random.Random(6)
+    for base, extra in [
+        (folds._AnchorFold(50), {}), (folds._WindowQuotaFold(3, 50), {"_asked": lambda: rnd.randrange(1, 3)}),
+        (folds._InflightFold(40, 50), {"_end": lambda: None, "_ok": lambda: None}),
+        (folds._ResolverCacheFold(50, 30), {"_stores": lambda: rnd.choice(["positive", "negative", None])}),
+        (folds._DebounceFold(50), {"_forced": lambda: rnd.random() < 0.3}),
+    ]:
+        rows = []
+        for key in range(3000):
+            sec, size = rnd.randrange(10_000), rnd.choice([1] * 150 + [2, 7])
+            for _ in range(size):
+                rows.append((key, sec))
+                sec += rnd.choice([1, 20, 60, 500])
+        columns = {"k": [k for k, _ in rows], folds.SEC: [t for _, t in rows], CHUNK: pa.array([4] * len(rows), pa.int32())}
+        types = {"_asked": pa.int64(), "_end": pa.int64(), "_ok": pa.bool_(), "_stores": pa.string(), "_forced": pa.bool_()}
+        columns |= {c: pa.array([make() for _ in rows], types[c]) for c, make in extra.items()}
+        whole = pa.RecordBatch.from_pydict(columns)
+        name, kind = base.outputs[0]
+        arrow = {"boolean": pa.bool_(), "bigint": pa.int64(), "string": pa.string()}[kind.simpleString()]
+        want, state, last = [], None, None
+        for i, (key, _) in enumerate(rows):
+            state = base.start() if key != last else state
+            state, out = base.step(state, *(whole.column(c)[i].as_py() for c in base.inputs))
+            want.append(out[0])
+            last = key
+        for size in (len(rows), 7, 1):
+            steps, real = [0], type(base).step
+
+            def step(self, *a, real=real, steps=steps):
+                steps[0] += 1
+                return real(self, *a)
+
+            fold = copy.copy(base)
+            fold.__class__ = type("Counted", (type(base),), {"step": step})
+            parts = [whole.slice(a, size) for a in range(0, len(rows), size)]
+            got = [x for b in _fold_task(fold, ["k"], {}, [arrow])(iter(parts)) for x in b.column(b.schema.get_field_index(name)).to_pylist()]
+            assert got == want, type(base).__name__
+            if size == len(rows):
+                assert steps[0] < 0.1 * len(rows), (type(base).__name__, steps)
+
+
 def test_jobs_do_not_grow_with_chunks(spark):
     df = spark.range(4000).selectExpr("id AS request_id", "1L AS k", "timestamp_seconds(id * 3) AS ts")
     seen, tracker = [], spark.sparkContext.statusTracker()
