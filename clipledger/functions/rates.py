@@ -68,6 +68,15 @@ def split_kbps(d: Column, bits: Column, cap: Column, cfg: Limits = DEFAULTS) ->
     return F.when(usable_duration(d) & (bits > 0.0), F.least(free, cap))
 
 
+def split_count(d: Column, kbps: Column, cfg: Limits = DEFAULTS) -> Column:
+    """How many segments ``d`` seconds need for a rate of ``kbps``, but for rounding: ``split_kbps`` solved for the count."""
+    bits = float(cfg.max_upload_bytes) * cfg.split_ratio * 8.0 * (1.0 - cfg.container_overhead)
+    if bits <= 0.0 or cfg.vbr_margin >= 1.0:  # no count is enough, or none can be made
+        return F.lit(1).cast("bigint")
+    per_second = kbps / (1.0 - cfg.vbr_margin) * 1000.0 + 128 * 1000.0 * cfg.audio_padding
+    return F.ceil(d * per_second / bits)
+
+
 def supported_edge(kbps: Column) -> Column:
     """Highest tier the rate reaches, else the lowest tier."""
     out = F.when(F.lit(False), 0)

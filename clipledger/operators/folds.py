@@ -350,15 +350,16 @@ def sliding_rate_audit(
 ) -> DataFrame:
     """Requests in the trailing window at every second a key was active, and whether they exceed ``n``.
 
-    Counts per second are laid into buckets no shorter than the window; each bucket
-    also gets the previous one's rows as context, so no group exceeds two buckets
-    of seconds.
+    Counts per second are laid into buckets of eight windows, a day at least. Only seconds less than a
+    window before a bucket's end are also rows of the next one, as its context; no group exceeds
+    a bucket and a window.
     """
-    span = max(window_s, 86_400)
+    span = max(8 * window_s, 86_400)
     per_second = requests.groupBy(*keys, _seconds(ts)).agg(F.count(F.lit(1)).alias("_n"))
     home = F.floor(F.col(SEC) / span)
+    last = F.col(SEC) > (home + 1) * span - window_s
     spread = per_second.select(
-        "*", home.alias("_home"), F.explode(F.array(home, home + 1)).alias("_bucket")
+        "*", home.alias("_home"), F.explode(F.when(last, F.array(home, home + 1)).otherwise(F.array(home))).alias("_bucket")
     )
     trailing = (
         Window.partitionBy(*keys, "_bucket").orderBy(SEC).rangeBetween(-(window_s - 1), Window.currentRow)

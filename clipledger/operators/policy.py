@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.config import DEFAULTS
 from clipledger.constants import BLOCKED_V4, BLOCKED_V6
-from clipledger.functions.addresses import READABLE, with_blocked
+from clipledger.functions.addresses import readable, with_blocked
 from clipledger.functions.urls import with_policy
 
 
@@ -25,15 +27,17 @@ def resolved_ip_audit(
     *,
     key: str = "url_id",
     ip: str = "ip",
-    v4: list[str] = BLOCKED_V4,
-    v6: list[str] = BLOCKED_V6,
+    rules: DataFrame | Sequence[str] = (*BLOCKED_V4, *BLOCKED_V6),
 ) -> DataFrame:
-    """Per key: any blocked address rejects it, and so does an unreadable one or having none."""
-    readable = F.col(ip).rlike(READABLE)
+    """Per key: any blocked address rejects it, and so does an unreadable one or having none.
+
+    ``rules``: blocked ranges as a list, or a table of any size with a column ``cidr``.
+    """
+    known = readable(F.col(ip))
     # unreadable text never reaches the parser
-    staged = url_ips.select(key, F.when(readable, F.col(ip)).alias("_ip"), (~readable).alias("_unread"))
+    staged = url_ips.select(key, F.when(known, F.col(ip)).alias("_ip"), (~known).alias("_unread"))
     return (
-        with_blocked(staged, "_ip", "_blocked", v4, v6)
+        with_blocked(staged, "_ip", "_blocked", rules)
         .groupBy(key)
         .agg(
             (F.count("_ip") + F.count_if("_unread")).alias("n_addrs"), F.count_if("_blocked").alias("n_blocked"),

@@ -8,17 +8,8 @@ from pyspark.sql import functions as F
 from clipledger.config import DEFAULTS, Limits
 from clipledger.constants import IMAGE_GRID
 from clipledger.functions.rates import (
-    audio_kbps,
-    budget_kbps,
-    budget_reason,
-    fixed3,
-    kept_from_kbps,
-    scale_axis,
-    source_cap,
-    split_bits,
-    split_kbps,
-    usable_duration,
-    with_ladder,
+    audio_kbps, budget_kbps, budget_reason, fixed3, kept_from_kbps, scale_axis,
+    source_cap, split_bits, split_count, split_kbps, usable_duration, with_ladder,
 )
 from clipledger.functions.shared import computed_once
 
@@ -67,10 +58,11 @@ def quality_ladder_demand(media: DataFrame, preset: str | None = None, cfg: Limi
 def _with_split(media: DataFrame, d: Column, where: Column, cfg: Limits) -> DataFrame:
     """Adds split_n, split_seconds and split_kbps of the first acceptable segment count; null when none can be made.
 
-    At most ``parts_per_request`` counts are tried, so the search is unrolled into one
-    conditional over arithmetic columns and stays in generated code.  A count ends the
-    search when it cannot be made, reaches the source's own rate or keeps its edge;
-    as rates never exceed the source's, that is one comparison.
+    A count ends the search when it cannot be made, reaches the source's own rate or keeps its edge;
+    as rates never exceed the source's, that is one comparison. Rates rise with the count, so the
+    rate formula is solved for the count that is enough, and likewise for the first count with segments
+    too short to make; rounding moves neither by more than one, so the neighbours are
+    tried as well, and the first count and the last.
     """
     n, lo, hi = F.col("split_n"), F.col("_lo"), F.col("_hi")
     seconds, cap = F.col("split_seconds"), F.col("_cap")
@@ -85,15 +77,18 @@ def _with_split(media: DataFrame, d: Column, where: Column, cfg: Limits) -> Data
         .withColumn("_lo", F.ceil(F.col("_d") / F.least(F.col("_d"), F.lit(float(cfg.max_segment_s)))))
         .withColumn("_hi", F.greatest(F.col("_lo"), F.lit(cfg.parts_per_request).cast("bigint")))
     )
+    solved = F.least(split_count(F.col("_d"), F.col("_enough"), cfg), F.ceil(F.col("_d") / 0.1))
+    staged = staged.withColumn("_near", F.greatest(lo, F.least(F.coalesce(solved, lo), hi)))
     stop = F.when(F.lit(False), lo)
-    for i in range(cfg.parts_per_request):
-        tried = F.coalesce(rate(F.col("_d") / (lo + i)), F.lit(2**53))
-        stop = stop.when((lo + i >= hi) | (tried >= F.col("_enough")), lo + i)
+    for count in (lo, *(F.col("_near") + i for i in (-1, 0, 1))):
+        tried = F.coalesce(rate(F.col("_d") / count), F.lit(2**53))
+        stop = stop.when((count >= lo) & ((count >= hi) | (tried >= F.col("_enough"))), count)
+    stop = stop.when(lo.isNotNull(), hi)
     return (
         staged.withColumn("split_n", stop)
         .withColumn("split_seconds", F.col("_d") / n)
         .withColumn("split_kbps", rate(seconds))
-        .drop("_d", "_cap", "_enough", "_lo", "_hi")
+        .drop("_d", "_cap", "_enough", "_lo", "_hi", "_near")
     )
 
 

@@ -1,3 +1,4 @@
+import random
 from dataclasses import replace
 
 import numpy as np
@@ -110,3 +111,33 @@ def test_image_grid(spark, ratio, n):
     rows = C.image_attempt_grid(item(spark, [dict(media_type="image", ext="JPEG", size=int(8 * MIB * ratio))])).orderBy("attempt").collect()
     assert len(rows) == n and {r.ext for r in rows} == {"jpg"}
     assert [r.scale for r in rows] == sorted((r.scale for r in rows), reverse=True)
+
+
+@pytest.mark.parametrize("cfg", [
+    DEFAULTS, replace(DEFAULTS, parts_per_request=1), replace(DEFAULTS, parts_per_request=400, max_segment_s=3000),
+    replace(DEFAULTS, preset="size", max_upload_bytes=2 * MIB), replace(DEFAULTS, max_upload_bytes=0),
+])
+def test_split_search_finds_the_first_count(spark, cfg):
+    """Solving for the count and trying its neighbours gives what trying every count gives."""
+    from clipledger.functions.rates import kept_from_kbps, source_cap, split_bits, split_kbps
+
+    rnd = random.Random(9)
+    rows = [dict(id=i, duration_s=d, h=rnd.choice([None, 100, 240, 480, 720, 1080, 2160]), bitrate_kbps=rnd.choice([None, 90, 300, 900, 2500, 9000]))
+            for i, d in enumerate([0.05, 0.11, 0.5, 0.95, 1.0, 1.1, 120.0, 120.1, 1080.0, 1200.0, None, *(rnd.expovariate(1 / 600) for _ in range(300))])]
+    df = spark.createDataFrame([(r["id"], r["duration_s"], r["h"], r["bitrate_kbps"]) for r in rows], "id int, duration_s double, h int, bitrate_kbps int")
+    # every count of every item as a row
+    lo = F.ceil(F.col("duration_s") / F.least("duration_s", F.lit(float(cfg.max_segment_s))))
+    tried = df.where("duration_s > 0.1").withColumn("lo", lo).withColumn("hi", F.greatest(lo, F.lit(cfg.parts_per_request)))
+    tried = tried.withColumn("n", F.explode(F.sequence("lo", "hi"))).withColumn("s", F.col("duration_s") / F.col("n"))
+    tried = tried.withColumn("cap", source_cap(F.col("bitrate_kbps"), cfg)).withColumn("k", split_kbps(F.col("s"), split_bits(F.col("s"), cfg), F.col("cap"), cfg))
+    tried = tried.withColumn("enough", F.least("cap", kept_from_kbps(F.col("h"), cfg.preset)))
+    first = tried.where("n = hi OR k IS NULL AND enough IS NOT NULL OR k >= enough").groupBy("id").agg(F.min(F.struct("n", "k")).alias("first"))
+    want = {(r.id, r["first"].n, r["first"].k) for r in first.collect() if r["first"].k is not None}
+    got = {(r.id, r.segments, r.video_kbps) for r in C.split_plan(df, cfg).collect()}
+    assert got == want
+
+
+def test_split_plan_does_not_grow_with_the_limit(spark):
+    df = item(spark, [dict(duration_s=720.0, h=1080, bitrate_kbps=1400)])
+    sizes = {len(C.split_plan(df, replace(DEFAULTS, parts_per_request=n))._jdf.queryExecution().optimizedPlan().toString()) for n in (10, 99)}
+    assert len(sizes) == 1

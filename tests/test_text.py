@@ -1,6 +1,10 @@
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from clipledger.constants import BLOCKED_V4, BLOCKED_V6
 from clipledger.functions.urls import clean_extension, media_extension
 from clipledger.operators.policy import redirect_chain_audit, resolved_ip_audit, url_policy_audit
 from clipledger.operators.text import extract_links, log_tail
@@ -91,6 +95,50 @@ def test_blocked_addresses(spark):
     assert got["none"] == "dns lookup returned no addresses"
 
 
+def test_spellings_of_addresses(spark):
+    """Whatever is read agrees with the standard library, and the rest is unreadable."""
+    rnd, texts = random.Random(2), {"1:2:3", "1:2:3:1.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7::8", "1:2:3:4:5:6:1.2.3.4", "::", ":", "1::", "::1.2.3.4", "1.2.3.4:"}
+    for _ in range(1500):
+        groups = [rnd.choice(["0", "a", "FFFF", "12", "01b", "fe80", "12345", "g", ""]) if rnd.random() < 0.15 else format(rnd.randrange(65536), "x") for _ in range(rnd.choice([2, 3, 6, 7, 8, 8, 8, 9]))]
+        if rnd.random() < 0.5:
+            groups[rnd.randrange(len(groups))] = ""
+        if rnd.random() < 0.3:
+            groups[-1] = rnd.choice(["1.2.3.4", "10.0.0.1", "1.2.3", "256.1.1.1", "01.2.3.4"])
+        text = ":".join(groups)
+        texts |= {text, text.replace("::", ":"), ":" + text, text + ":"}
+    def fine(text):
+        try:
+            ipaddress.ip_address(text)
+        except ValueError:
+            return False
+        return True
+    texts = sorted(texts)
+    df = spark.createDataFrame([(t, t) for t in texts], "url_id string, ip string")
+    got = {r.url_id: r.reason for r in resolved_ip_audit(df).collect()}
+    assert {t for t in texts if got[t] != "unreadable ip"} == {t for t in texts if fine(t)}
+    for t in filter(fine, texts):
+        nets = [ipaddress.ip_network(n) for n in (*BLOCKED_V4, *BLOCKED_V6)]
+        assert (got[t] == "ok") == (not any(ipaddress.ip_address(t) in n for n in nets)), t
+
+
+def test_thousands_of_ranges(spark):
+    """Ranges of any length come from a table; the plan has a join for each length, not for each range."""
+    rnd = random.Random(4)
+    nets = {ipaddress.ip_network((rnd.getrandbits(32), bits), strict=False) for bits in (0, 9, 16, 23, 32) for _ in range(800 if bits > 9 else bits // 9)}
+    nets |= {ipaddress.ip_network((rnd.getrandbits(128), bits), strict=False) for bits in (3, 32, 61, 128) for _ in range(300 if bits > 3 else 2)}
+    nets.discard(ipaddress.ip_network("0.0.0.0/0"))
+    asked = [str(next(iter(n.hosts()), n[0])) for n in rnd.sample(sorted(nets, key=str), 300)] + [str(ipaddress.ip_address(rnd.getrandbits(32))) for _ in range(300)]
+    df = spark.createDataFrame([(a, a) for a in asked], "url_id string, ip string")
+    rules = spark.createDataFrame([(str(n),) for n in nets], "cidr string")
+    audited = resolved_ip_audit(df, rules=rules)
+    got = {r.url_id: r.reason != "ok" for r in audited.collect()}
+    assert got == {a: any(ipaddress.ip_address(a) in n for n in nets if n.version == ipaddress.ip_address(a).version) for a in asked}
+    assert audited._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == len({(n.version, n.prefixlen) for n in nets})
+    for wrong in ("10.0.0.0/33", "1:2:3/8", "10.0.0.0", "x/1"):
+        with pytest.raises(ValueError, match=wrong):
+            resolved_ip_audit(df, rules=rules.limit(1).unionByName(spark.createDataFrame([(wrong,)], "cidr string")))
+
+
 def test_redirects(spark):
     ok = "https://pbs.twimg.com/"
     rows = [("five", h, ok, 302, ok) for h in range(5)] + [("five", 5, ok + "end", 200, None)]
