@@ -155,6 +155,7 @@ def build() -> dict[str, str]:
                coalesce(n, 0) AS n_parts, CAST(coalesce(t, 0) AS BIGINT) AS total_size_bytes, coalesce(t, 0) <= {CAP} AS fits_single_upload,
                round(coalesce(t, 0)::DOUBLE / size::DOUBLE, 6) AS size_ratio
         FROM media LEFT JOIN (SELECT job AS id, count(*) AS n, sum(size) AS t FROM parts GROUP BY 1) USING (id)""")
+    q["job_report_lines"] = q["job_report"].replace("SELECT id, id % 9000 AS resolve_ms,", "SELECT id, id % 9000 AS resolve_ms, duration_s IS NOT NULL AS has_duration,", 1)
     q["job_report_parts"] = sql(f"""SELECT job, row_number() OVER (PARTITION BY job ORDER BY pos) AS part, size AS size_bytes,
         round(size::DOUBLE / nullif(sum(size) OVER (PARTITION BY job), 0)::DOUBLE, 6) AS share, size <= {CAP} AS fits FROM parts""")
 
@@ -354,6 +355,11 @@ def build() -> dict[str, str]:
           SELECT f.*, sp.segments, CASE WHEN w IS NOT NULL THEN least(w, h) END AS short FROM fbudget f LEFT JOIN splits sp USING (id))"""
     plan_ctes = [filled, fbudget, *_splits("(SELECT *, duration_s AS d FROM filled)")]
     q["strategy_plan"] = sql(plan, *plan_ctes)
+    encoder = "CASE WHEN rate < 400 THEN 'none' ELSE 'qsv' END AS encoder"
+    q["strategy_encoder"] = sql(
+        plan.replace("AS parallel FROM", f"AS parallel, {encoder} FROM").replace(
+            "SELECT f.*, sp.segments,", f"SELECT f.*, sp.segments, CASE WHEN f.media_type <> 'image' AND f.size > {CAP} THEN sp.video_kbps END AS rate,"
+        ).replace("SELECT id, media_type, container,", "SELECT id,"), *plan_ctes)
     q["strategy_demand"] = sql(f"""SELECT media_type, container, first, count(*) AS n, grouping(media_type, container, first) AS level FROM (
         SELECT *, CASE WHEN strategies = '' THEN 'exhausted' ELSE split_part(strategies, ',', 1) END AS first FROM ({plan}))
         GROUP BY ROLLUP (media_type, container, first)""", *plan_ctes)

@@ -10,6 +10,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipledger.config import DEFAULTS
 from clipledger.constants import LOG_TAIL_SUCCESS
@@ -68,18 +69,31 @@ def _taken(spark, root):
     )
 
 
-def _report(spark, root):
+def _reports(spark, root):
     m = views.media(spark, root)
     runs = m.selectExpr("id", "id % 9000 AS resolve_ms", "id % 17000 AS download_ms", "id % 31000 AS optimize_ms")
-    nested = stores.job_report(runs, m, views.parts(spark, root))
+    return stores.job_report(runs, m, views.parts(spark, root))
+
+
+def _flat_report(nested, *more):
     return nested.select(
         "id", "report.stages.resolve_ms", "report.downloaded.size_bytes", "report.downloaded.facts.container",
         "report.resolved.extension", "report.output.kind", "report.output.n_parts",
         "report.output.total_size_bytes", "report.output.fits_single_upload",
-        F.round("report.output.size_ratio_to_download", 6).alias("size_ratio"),
+        F.round("report.output.size_ratio_to_download", 6).alias("size_ratio"), *more,
     )
 
 
+def _report_lines(spark, root):
+    """Reports written as JSON lines and read back; an absent field is left out of its line."""
+    made, path = _reports(spark, root), scratch_path(spark, "reports")
+    stores.write_reports(made, path)
+    lines = spark.read.text(path)
+    kinds = T.StructType([made.schema["id"], *made.schema["report"].dataType.fields])
+    read = lines.select(F.from_json("value", kinds, {"mode": "FAILFAST"}).alias("r"), F.contains("value", F.lit('"duration_secs"')).alias("has_duration"))
+    return _flat_report(read.select("r.id", F.struct(*(f"r.{f.name}" for f in kinds.fields[1:])).alias("report"), "has_duration"), "has_duration")
+
+
 def _merge(spark, root):
     resolved = views.media(spark, root).select("id", "duration_s", "w", "h", "ext")
     flagged = outcomes.probe_flags(views.downloads(spark, root)).withColumnRenamed("received_bytes", "size")
@@ -181,7 +195,8 @@ def batch() -> dict[str, Query]:
     q["dedup_store_prune"] = lambda s, r: _on_disk(s, r).prune(_now(s, r))
     q["dedup_store_remainder"] = _remainder
     q["metrics_store_load"] = lambda s, r: stores.metrics_store_load(v.counters(s, r))
-    q["job_report"] = _report
+    q["job_report"] = lambda s, r: _flat_report(_reports(s, r))
+    q["job_report_lines"] = _report_lines
     # text and URLs
     q["job_report_parts"] = lambda s, r: stores.job_report_parts(v.parts(s, r)).withColumn("share", F.round("share", 6))
     q["extract_links"] = lambda s, r: _links(s, r).drop("ts")
@@ -233,6 +248,9 @@ def batch() -> dict[str, Query]:
         "id", "seg", "cast(start_s AS double) AS start_s", "cast(dur_s AS double) AS dur_s", "name"
     )
     q["strategy_plan"] = lambda s, r: _plans(s, r).withColumn("strategies", F.array_join("strategies", ",")).drop("encoder")
+    q["strategy_encoder"] = lambda s, r: catalogue.strategy_plan(
+        v.media(s, r), replace(DEFAULTS, transcode_concurrency=2, backend="qsv")
+    ).select("id", F.array_join("strategies", ",").alias("strategies"), "parallel", "encoder")
     q["strategy_demand"] = lambda s, r: catalogue.strategy_demand(_plans(s, r))
     q["image_attempt_grid"] = lambda s, r: catalogue.image_attempt_grid(v.media(s, r))
     # sequences and selection
