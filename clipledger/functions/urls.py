@@ -58,10 +58,15 @@ def media_extension(media_type: Column, url: Column) -> Column:
     )
 
 
+#: URLs that are read as they are written.
+_PLAIN = r"^https?://[^/\\\x00-\x20](?:[^\t\n\r]*[^\x00-\x20])?\z"
+
+
 def _normal(url: Column) -> Column:
     """As URL parsers read it: no tab or line break, and for http and https any run of slashes, or none, opens the host."""
     bare = F.regexp_replace(F.regexp_replace(url, r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return F.regexp_replace(bare, r"^([Hh][Tt][Tt][Pp][Ss]?):[/\\]*", "$1://")
+    read = F.regexp_replace(bare, r"^([Hh][Tt][Tt][Pp][Ss]?):[/\\]*", "$1://")
+    return F.when(url.rlike(_PLAIN), url).otherwise(read)
 
 
 def with_policy(df: DataFrame, url: str = "url") -> DataFrame:

@@ -89,6 +89,35 @@ def ordinal(
     )
 
 
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, totals: dict[str, str], n_chunks: int | None = None
+) -> DataFrame:
+    """Adds row_number() per key, ``_rows`` (how many a key has) and sums over whole keys (new name -> column).
+
+    The input is read once. A chunk sums its own keys; only keys that lie in several chunks,
+    at most two a chunk, get their number and their sums from the summaries.
+    """
+    rows = range_chunks(df, keys, order, n_chunks)
+    whole = Window.partitionBy(CHUNK, *keys)
+    local = rows.withColumn("_local", F.row_number().over(inside(keys, order))).withColumn("_rows", F.count(F.lit(1)).over(whole))
+    for new, c in totals.items():
+        local = local.withColumn(new, F.sum(c).over(whole))
+    summary = summaries(rows, keys, F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_part{new}") for new, c in totals.items()))
+    every = Window.partitionBy(*keys)
+    carry = (
+        summary.withColumn("_base", F.coalesce(F.sum("_n").over(before(keys)), F.lit(0)))
+        .withColumn("_pieces", F.count(F.lit(1)).over(every)).withColumn("_all", F.sum("_n").over(every))
+        .withColumns({f"_all{new}": F.sum(f"_part{new}").over(every) for new in totals})
+        .where("_pieces > 1").select(CHUNK, *keys, "_base", "_all", *(f"_all{new}" for new in totals))
+    )
+    split = F.col("_base").isNotNull()
+    out = attach(local, carry, keys).withColumn(name, F.coalesce("_base", F.lit(0)) + F.col("_local"))
+    out = out.withColumn("_rows", F.when(split, F.col("_all")).otherwise(F.col("_rows")))
+    for new in totals:
+        out = out.withColumn(new, F.when(split, F.col(f"_all{new}")).otherwise(F.col(new)))
+    return out.drop(CHUNK, "_local", "_base", "_all", *(f"_all{new}" for new in totals))
+
+
 class Fold:
     """A per-key state machine.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clipledger.config import DEFAULTS
 from clipledger.constants import PERMITS
 from clipledger.functions.failures import hardware_failure
-from clipledger.operators.chunks import CHUNK, attach, before, inside, ordinal, range_chunks, summaries
+from clipledger.operators.chunks import CHUNK, attach, before, inside, numbered, range_chunks, summaries
 
 _ROWS = (Window.unboundedPreceding, Window.currentRow)
 
@@ -228,16 +228,15 @@ def upload_batches(
     several parts that together fit the preparation window.
     """
     budget = min(max(max_bytes * prepare_concurrency, 1), window_bytes)
-    jobs = parts.groupBy("job").agg(F.count(F.lit(1)).alias("_parts"), F.sum("size").alias("_bytes"))
-    rows = ordinal(parts, ["job"], ["pos"], "part", n_chunks).join(jobs, "job")
-    batched = F.lit(batching) & (F.col("_parts") > 1) & (F.col("_bytes") <= budget)
+    rows = numbered(parts, ["job"], ["pos"], "part", {"_bytes": "size"}, n_chunks)
+    batched = F.lit(batching) & (F.col("_rows") > 1) & (F.col("_bytes") <= budget)
     rn = F.col("part")
     return rows.select(
         "job",
         "part",
         F.when(batched, F.floor((rn - 1) / per_request)).otherwise(rn - 1).alias("batch"),
         "size",
-        F.when(F.col("_parts") > 1, F.format_string("tweet_%d_part%d.%s", "job", "part", "ext"))
+        F.when(F.col("_rows") > 1, F.format_string("tweet_%d_part%d.%s", "job", "part", "ext"))
         .otherwise(F.format_string("tweet_%d.%s", "job", "ext"))
         .alias("name"),
         F.when(F.col("size") > max_bytes, "file too large").alias("error"),

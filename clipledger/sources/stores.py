@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipledger.config import DEFAULTS
 from clipledger.constants import ERROR_CATEGORIES
-from clipledger.operators.chunks import CHUNK, attach, before, inside, range_chunks, summaries
+from clipledger.operators.chunks import numbered
 
 KEY = ["scope_id", "tweet_id"]
 
@@ -101,14 +101,10 @@ def job_report_parts(
     A job may have any number of parts: they are split into chunks, which are numbered
     and summed; the input is read once.
     """
-    rows = range_chunks(parts.select("job", "pos", "size"), ["job"], ["pos"], n_chunks)
-    local = rows.withColumn("_local", F.row_number().over(inside(["job"], ["pos"])))
-    chunk = summaries(rows, ["job"], F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_bytes"))
-    carry = chunk.withColumn("_base", F.sum("_n").over(before(["job"]))).where("_base IS NOT NULL")
-    whole = chunk.groupBy("job").agg(F.sum("_bytes").alias("_total"))
-    return attach(local, carry.select(CHUNK, "job", "_base"), ["job"]).join(whole, "job").select(
+    rows = numbered(parts.select("job", "pos", "size"), ["job"], ["pos"], "part", {"_total": "size"}, n_chunks)
+    return rows.select(
         "job",
-        (F.coalesce("_base", F.lit(0)) + F.col("_local")).alias("part"),
+        "part",
         F.col("size").alias("size_bytes"),
         F.when(F.col("_total") > 0, F.col("size") / F.col("_total")).alias("share"),
         (F.col("size") <= max_bytes).alias("fits"),
