@@ -12,8 +12,11 @@ one. Common passages seldom fill a run, so lists stay short unless documents are
 Pairs. A list is first compared with the one member that shares most lists, as an original does with
 its variants, and links make components. Of lists whose members are then in different components, all
 pairs across components that could be links are found by prefixes of the full sets, rarest shingles
-first, which leaves few. A group of n alike documents costs about n pairs, and no link that a list
-proposes is left out.
+first. Many variants of one original still meet there, so what meets is held against two bounds before it
+becomes a row: how many shingles can be common at all, from the places of the one that met, and how many
+must differ, from parity vectors: every shingle of one set alone turns one bit, so as many bits as
+two vectors differ in, at least, the sets differ in. A group of n alike documents so makes about n rows. No link
+that a list proposes is left out: pairs that only an estimate let go are tried again.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import components, keyed, written
+from clipledger.llm.common import components, forget, keyed, written
 from clipledger.llm.spans import mixed, pair, shingle_sets, slices, text_bytes, word_names
 
 KEPT = 64
 RUN = 4
+#: Words of 64 bits of a parity vector.
+PARITY = 8
 #: Standard deviations of the estimate that a pair may lie below the threshold before it is let go.
 SLACK = 5.5
 
@@ -38,7 +43,7 @@ def _prefix(n: int, at_least: Fraction) -> int:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), x, y (fingerprint of the set), sketch (its smallest values, ascending)."""
+    """doc_id, n (set size), x, y (fingerprint of the set), sketch (its smallest values, ascending), parity (of how many values turn each bit)."""
 
     def build(batches):
         import pyarrow as pa
@@ -47,11 +52,13 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             rows = []
             for s in shingle_sets(*word_names(*text_bytes(batch.column(1))), width):
                 x, y = mixed(s ^ np.uint64(1)).sum(dtype=np.uint64), mixed(s ^ np.uint64(2)).sum(dtype=np.uint64)
-                rows.append((len(s), int(x.view(np.int64)), int(y.view(np.int64)), s[:KEPT].tobytes()))
-            names = ("n", "x", "y", "sketch")
+                bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+                turned = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                rows.append((len(s), int(x.view(np.int64)), int(y.view(np.int64)), s[:KEPT].tobytes(), turned.tolist()))
+            names = ("n", "x", "y", "sketch", "parity")
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {c: [r[k] for r in rows] for k, c in enumerate(names)})
 
-    return docs.mapInArrow(build, "doc_id long, n long, x long, y long, sketch binary")
+    return docs.mapInArrow(build, "doc_id long, n long, x long, y long, sketch binary, parity array<long>")
 
 
 def _lists(classes: DataFrame, at_least: Fraction) -> DataFrame:
@@ -122,7 +129,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction
             found = [s.tobytes() for s in shingle_sets(*word_names(*text_bytes(batch.column(1))), width)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "full": pa.array(found, pa.binary())})
 
-    once = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     full = written(once.mapInArrow(build, "doc_id long, full binary"), "near-sets")
 
     def judge(batches):
@@ -139,7 +146,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction
 
     side = lambda c: full.select(F.col("doc_id").alias(c), F.col("full").alias(f"s{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long").distinct()
 
 
 def _apart(wanted: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, width: int, at_least: Fraction) -> DataFrame:
@@ -158,31 +165,40 @@ def _apart(wanted: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFr
 
         for batch in slices(batches, 1):
             sets = list(shingle_sets(*word_names(*text_bytes(batch.column(1))), width))
-            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            size = [len(s) for s in sets]
+            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
+            x = np.repeat(np.array([mixed(s ^ np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64), size)
             full = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_pydict({"value": full.view(np.int64), "doc_id": doc.astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"value": full.view(np.int64), "doc_id": doc.astype(np.int64), "x": x})
 
-    once = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = written(once.mapInArrow(post, "value long, doc_id long"), "near-open-sets")
+    once = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    own = written(once.mapInArrow(post, "value long, doc_id long, x long"), "near-open-sets")
     often = written(own.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"), "near-often")
     least = lambda n: f"(({n}) * {at_least.numerator} + {at_least.denominator - 1}) DIV {at_least.denominator}"
-    by_doc = Window.partitionBy("doc_id")
-    sizes = classes.select("doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
+    by_set = Window.partitionBy("doc_id", "x")
+    sizes = classes.select("doc_id", "x", "n", "parity").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
     first = (
         own.join(often, "value")
-        .withColumn("k", F.row_number().over(by_doc.orderBy("often", "value"))).withColumn("shared", F.count("*").over(by_doc))
-        .join(sizes, "doc_id").withColumn("p", F.expr(f"n - {least('n')} + 1")).where("n - shared + k <= p").select("value", "doc_id", "n", "root", "p")
+        .withColumn("k", F.row_number().over(by_set.orderBy("often", "value"))).withColumn("shared", F.count("*").over(by_set))
+        .join(sizes, ["doc_id", "x"]).withColumn("p", F.expr(f"n - {least('n')} + 1")).where("n - shared + k <= p")
+        .select("value", "doc_id", "n", "root", "p", "k", F.col("shared").alias("s"), "parity")
     )
     first = written(first, "near-first")
-    other = first.select("value", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "root", "p")))
+    forget(own, often, wanted)
+    other = first.select("value", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "root", "p", "k", "s", "parity")))
     whole = at_least.numerator + at_least.denominator
     common = f"(((n + n1) * {at_least.numerator} + {whole - 1}) DIV {whole})"
     fits = f"n * {at_least.denominator} >= n1 * {at_least.numerator} AND n1 * {at_least.denominator} >= n * {at_least.numerator}"
-    met = first.join(other, "value").where(f"doc_id < doc_id1 AND root <> root1 AND {fits}")
+    # shared so far, and from here on
+    can = f"least(k, k1) + least(s - k, s1 - k1) >= {common}"
+    differ = " + ".join(f"bit_count(parity[{i}] ^ parity1[{i}])" for i in range(PARITY))
+    met = first.join(other, "value").where(f"doc_id < doc_id1 AND root <> root1 AND {fits} AND {can} AND {differ} <= n + n1 - 2 * {common}")
     pairs = met.groupBy(F.col("doc_id").alias("a"), F.col("doc_id1").alias("b")).agg(
         F.count("*").alias("met"), F.min(F.expr(f"least(p - n + {common}, p1 - n1 + {common})")).alias("least")
     )
-    return pairs.where("met >= least").select("a", "b")
+    found = written(pairs.where("met >= least").select("a", "b"), "near-met")
+    forget(first)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, at_least: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -190,41 +206,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, at_least: Fraction = Fracti
 
     Linked are documents whose sets have a similarity of `at_least`; component_id is the smallest id
     that links reach, kept tells whether it is the document's own. Texts without words (null, empty)
-    have no shingles and stay alone. A repeated row is the same document.
+    have no shingles and stay alone. Every row comes out once. Rows that share an id are one
+    document, linked with all that any of its texts is linked with.
     """
     docs = keyed(docs, "doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
     every = written(sketches(docs, width), "near-sketches")
     classes = written(
-        every.where("n > 0").groupBy("x", "y").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("first"))
+        every.where("n > 0").groupBy("x", "y").agg(F.min(F.struct("doc_id", "n", "sketch", "parity")).alias("first"))
         .select("x", "y", "first.*"),
         "near-classes",
     )
+    own = written(
+        every.select("doc_id", "n", "x", "y").join(classes.select("x", "y", F.col("doc_id").alias("node")), ["x", "y"], "left").select("doc_id", "n", "node"),
+        "near-own",
+    )
+    forget(every)
     lists = written(_lists(classes, at_least), "near-lists")
     shared = written(lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
-    lists = written(lists.join(shared, "value"), "near-members")
-    hubs = written(lists.groupBy("doc_id").agg(F.sum("size").alias("support")), "near-hubs")
-    heads = lists.join(hubs, "doc_id").groupBy("value").agg(F.max_by("doc_id", F.struct("support", -F.col("doc_id"))).alias("head"))
-    star = lists.join(written(heads, "near-heads"), "value").where("doc_id <> head")
+    members = written(lists.join(shared, "value"), "near-members")
+    forget(lists, shared)
+    hubs = written(members.groupBy("doc_id").agg(F.sum("size").alias("support")), "near-hubs")
+    heads = members.join(hubs, "doc_id").groupBy("value").agg(F.max_by("doc_id", F.struct("support", -F.col("doc_id"))).alias("head"))
+    star = members.join(written(heads, "near-heads"), "value").where("doc_id <> head")
     pair_of = (F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links, and the pairs that were held against whole sets."""
         close = written(_estimated(pairs, classes, at_least), "near-close")
         sure = close.where("sure").select("a", "b")
-        return sure.unionByName(_confirmed(close.where("NOT sure").select("a", "b"), docs, width, at_least))
+        return sure.unionByName(_confirmed(close.where("NOT sure").select("a", "b"), docs, width, at_least)), close.select("a", "b")
 
-    tested = written(star.select(*pair_of).distinct(), "near-pairs")
-    links = written(linked(tested), "near-links")
-    nodes = classes.select(F.col("doc_id").alias("node"))
+    links, judged = linked(written(star.select(*pair_of).distinct(), "near-pairs"))
+    # classes of rows that share an id belong together
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    links = written(links.unionByName(own.join(several, "doc_id").select("a", F.col("node").alias("b"))), "near-links")
+    nodes = classes.select(F.col("doc_id").alias("node")).distinct()
     roots = written(components(links, nodes, "near-stars"), "near-roots")
-    named = lists.select("value", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
+    named = members.select("value", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
     split = named.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
-    wanted = lists.join(written(split, "near-split"), "value", "left_semi").select("doc_id").distinct()
-    fresh = _apart(wanted, docs, classes, roots, width, at_least).join(tested, ["a", "b"], "left_anti")
-    fresh = written(fresh, "near-pairs")
+    wanted = members.join(written(split, "near-split"), "value", "left_semi").select("doc_id").distinct()
+    fresh = _apart(wanted, docs, classes, roots, width, at_least).join(judged, ["a", "b"], "left_anti")
+    fresh = written(fresh, "near-fresh")
     if not fresh.isEmpty():
         links = links.unionByName(written(_confirmed(fresh, docs, width, at_least), "near-links"))
         roots = written(components(links, nodes, "near-stars"), "near-roots")
-    own = every.join(classes.select("x", "y", F.col("doc_id").alias("node")), ["x", "y"], "left").select("doc_id", "n", "node")
-    named = written(own, "near-own").join(roots, "node", "left")
+    named = own.join(roots, "node", "left")
     root = F.coalesce("root", "doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("doc_id") == root).alias("kept"))

@@ -27,7 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     with setting(df.sparkSession, DROP_SHUFFLES, "true"):  # nothing reads the job's shuffle files once the table is there
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -91,6 +101,7 @@ def components(links: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
         )
         after = written(small.where("a <> b").distinct(), name)
         seal, before = _seal(after), seal
+        forget(edges)
         edges = after
         if seal == before:
             break

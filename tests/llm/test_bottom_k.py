@@ -1,10 +1,12 @@
 import random
 import re
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
+from clipledger.llm import bottom_k
 from clipledger.llm.bottom_k import near_duplicates
 from clipledger.llm.spans import text_bytes, word_names
 
@@ -75,6 +77,39 @@ def test_chains_and_hot_passages(spark):
     assert got(df, 3, Fraction(85, 100)) == brute(docs, 3, Fraction(85, 100))
 
 
+def test_rows_that_share_an_id(spark):
+    """One row out for each row in; the document is linked with what any of its texts is linked with."""
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, a + " x"), (4, None), (4, "c d e f"), (5, "c d e f"), (9, "lone words here"), (9, "quite another text")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(85, 100)).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in out) == Counter(
+        {(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 1, (4, 4, True): 2, (5, 4, False): 1, (9, 9, True): 2})
+
+
+def test_variants_that_are_not_alike(spark):
+    """Many variants of one original, all too far from each other: what meets stays near their number, not its square."""
+    rng = random.Random(9)
+    original = [f"w{i}" for i in range(150)]
+    docs = {0: " ".join(original)}
+    for n in range(1, 400):
+        text = list(original)
+        for i in rng.sample(range(150), 7):  # each takes three shingles out
+            text[i] = f"v{n}x{i}"
+        docs[n] = " ".join(text)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    seen, real = {}, bottom_k.written
+
+    def counted(frame, name):
+        out = real(frame, name)
+        seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bottom_k, "written", counted)
+        assert got(df, 3, Fraction(85, 100)) == brute(docs, 3, Fraction(85, 100))
+    assert seen["near-met"] < 4 * len(docs)
+
+
 def test_word_names():
     import pyarrow as pa
 
