@@ -2,7 +2,8 @@
 
 Two first-order Markov chains over characters, one trained on random strings and one on ordinary
 identifiers, score every long token; the span of a token whose log-likelihood ratio per character is
-above the threshold is added, if no base span lies in it. Training counts character pairs of labelled
+above the threshold is added. Base spans are cut out of a token first, and what is left of it is judged
+piece by piece, so the rest of a secret that a base pattern found in part is not left behind. Training counts character pairs of labelled
 samples; scanning is done in columns. Nothing leaves the JVM.
 """
 
@@ -24,6 +25,8 @@ ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Tokens that the character models judge.
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+#: Fewest characters of a piece of a token that a base span was cut out of.
+LEAST_PIECE = 8
 #: Characters of the models; all others are one more.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
@@ -145,12 +148,25 @@ def found_spans(docs: DataFrame, models: CharacterModels, text: str = "text", in
     ranked = lambda spans, k: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end")))
     certain = F.concat(*(ranked(base[kind], k) for k, kind in enumerate(KINDS[:3])))
 
+    def pieces(x: Column, known: Column) -> Column:
+        """What base spans leave of a token: all of it, if none touches it."""
+        inside = F.filter(known, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        stops = F.concat(inside, F.array(F.struct(x["end"].alias("start"), F.lit(0).alias("k"), x["end"].alias("end"))))
+        zero = F.struct(x["start"].alias("at"), F.expr("CAST(array() AS array<struct<start: int, end: int, text: string>>)").alias("out"))
+
+        def step(state: Column, b: Column) -> Column:
+            text = F.substring(x["text"], state["at"] - x["start"] + 1, F.greatest(b["start"] - state["at"], F.lit(0)))
+            piece = F.array(F.struct(state["at"].alias("start"), b["start"].alias("end"), text.alias("text")))
+            out = F.when(b["start"] - state["at"] >= LEAST_PIECE, F.concat(state["out"], piece)).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], b["end"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(stops, zero, step, lambda state: state["out"])
+
     def add(known: Column) -> Column:
-        tokens = F.filter(_matches(whole, TOKEN), lambda x: models.random(x["text"]))
-        new = F.filter(tokens, lambda x: ~F.exists(known, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return F.sort_array(F.concat(known, ranked(new, 3)))
+        judged = F.flatten(F.transform(_matches(whole, TOKEN), lambda x: pieces(x, known)))
+        return F.sort_array(F.concat(known, ranked(F.filter(judged, lambda x: models.random(x["text"])), 3)))
 
-    return docs.select("*", F.explode(F.transform(F.array(certain), add)).alias(into))
+    return docs.select("*", F.explode(F.transform(F.array(F.sort_array(certain)), add)).alias(into))
 
 
 def _listed(spans: Column) -> Column:
