@@ -164,6 +164,16 @@ def learn(
     return rules
 
 
+def _marks(labels: DataFrame, good: str) -> DataFrame:
+    """doc_id, mark: of several labels of a document the lowest."""
+    return keyed(labels, "doc_id", mark=good).where("mark IS NOT NULL").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+
+
+def _learned(counted: DataFrame, marks: DataFrame) -> list[Rule]:
+    rows = counted.where(~F.expr(BASE_FAILED.format(""))).join(marks, "doc_id")
+    return learn(rows.withColumn("bad", F.col("mark") == 0), "bad")
+
+
 def judged(docs: DataFrame, labels: DataFrame, good: str = "quality") -> tuple[DataFrame, list[Rule]]:
     """doc_id, the counts, base_failed and kept for every document with an id, and the rules.
 
@@ -171,15 +181,17 @@ def judged(docs: DataFrame, labels: DataFrame, good: str = "quality") -> tuple[D
     counts, null labels and ids do not. A repeated row is judged as often as it occurs.
     """
     counted = written(statistics(keyed(docs, "doc_id", text="text")).select("doc_id", "stats.*"), "rule-statistics")
-    marks = keyed(labels, "doc_id", mark=good).where("mark IS NOT NULL").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    rules = _learned(counted, _marks(labels, good))
     failed = F.expr(BASE_FAILED.format(""))
-    rules = learn(counted.where(~failed).join(marks, "doc_id").withColumn("bad", F.col("mark") == 0), "bad")
     return counted.select("*", failed.alias("base_failed"), verdict(rules).alias("kept")), rules
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, good: str = "quality") -> DataFrame:
     """The rows of docs, with all their columns, that neither the base rule nor the learned list rejects."""
-    _, rules = judged(docs, labels, good)
+    marks = _marks(labels, good)
+    # only labelled documents are counted to learn from; all are counted once, to be judged
+    labelled = keyed(docs, "doc_id", text="text").join(marks.select("doc_id"), "doc_id", "left_semi")
+    rules = _learned(statistics(labelled).select("doc_id", "stats.*"), marks)
     own = "stats"
     while own in docs.columns:
         own += "_"
