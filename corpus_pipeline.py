@@ -18,10 +18,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest id.
 
-    Rows without an id stay; of repeated rows one does.
+    Rows without an id stay; rows that share one are one document, of which every text stays once.
     """
     kept = written(bottom_k.near_duplicates(docs).where("kept").select("doc_id").distinct(), "pipeline-kept")
-    one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
