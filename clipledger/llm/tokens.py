@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 
@@ -10,7 +11,14 @@ import numpy as np
 #: Characters that regular expressions count as white space.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = re.compile(r"\s")
-CACHED_WORDS = 400_000
+#: White space before a space, after which texts are not cut.
+SPACED = re.compile(f"[{SPACES}] ")
+#: Marks that end a word and are tokens of their own, apart from its letters.
+MARKS = ".,;:!?"
+#: Letters below this code point are letters in every version of Unicode.
+OLD_LETTERS = "\u0250"
+#: Words in each of two generations: when the younger is full, the older is forgotten.
+CACHED_WORDS = 300_000
 #: Bytes of text encoded at once.
 ENCODED_BYTES = 1 << 20
 SLAB = 2_000
@@ -22,12 +30,22 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes texts; words seen before are looked up.
 
     A byte-level BPE never merges over the start of white space that follows something else, so a
     text may be cut before each such space. Texts with other white space before a space, or with
-    the string of a special token, are encoded in one piece. The cache is emptied when it is full.
+    the string of a special token, are encoded in one piece. New words of plain letters, with marks
+    behind them or not, go straight to the tokenizer's model, as its pattern would take them apart the
+    same way; other new words go through the whole tokenizer, many at once. Words that are still met are never
+    forgotten: they are taken over from the older of two generations.
     """
 
     def __init__(self, path: str):
@@ -40,13 +58,49 @@ class Encoder:
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith("Ġ")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        said = json.loads(self.tokenizer.to_str())
+        cut = said["pre_tokenizer"] or {}
+        self.model = self.tokenizer.model
+        self.direct = (
+            said["normalizer"] is None and said["model"]["type"] == "BPE"
+            and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+        )
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.width).tobytes() for x in got]
 
-    def _learn(self, words: list[str]) -> None:
+    def _modelled(self, letters: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(letters)], self.width).tobytes()
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Ids of new words as they are behind a space."""
+        known, rest = self.words, []
+        for word in words:
+            core = word.rstrip(MARKS)
+            if not self.direct or not core.isalpha() or (not core.isascii() and max(core) >= OLD_LETTERS):
+                rest.append(word)
+                continue
+            ids = known.get(core) or self.older.get(core)
+            if ids is None:
+                ids = known[core] = self._modelled("Ġ" + (core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)))
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                if tail not in self.marks and len(self.marks) < CACHED_WORDS:
+                    self.marks[tail] = self._modelled(tail)
+                known[word] = ids + (self.marks.get(tail) or self._modelled(tail))
+            else:
+                known[word] = ids
+        odd = [w for w in rest if not w or SPACE.search(w)]
+        self._learn_slabs(list(set(rest).difference(odd)))
+        for word, ids in zip(odd, self._whole([" " + w for w in odd]), strict=True):
+            known[word] = ids
+
+    def _learn_slabs(self, words: list[str]) -> None:
         """Many words make one text each time; their ids are told apart by the space that opens a word."""
         for i in range(0, len(words), SLAB):
             slab = words[i : i + SLAB]
@@ -60,32 +114,33 @@ class Encoder:
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
         out: list[bytes | None] = []
-        cut: list[tuple[int, list[str]]] = []
+        cut: list[tuple[int, str, list[str]]] = []
         whole: list[tuple[int, str]] = []
         for i, text in enumerate(texts):
             out.append(b"")
             if not text:
                 continue
-            if any(c + " " in text for c in SPACES) or any(s in text for s in self.specials):
+            if SPACED.search(text) or any(s in text for s in self.specials):
                 whole.append((i, text))
             else:
-                cut.append((i, text.split(" ")))
+                head, *pieces = text.split(" ")
+                cut.append((i, head, pieces))
         if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        known = self.words
-        heads = self._whole([pieces[0] for _, pieces in cut])
-        found = [list(map(known.get, pieces)) for _, pieces in cut]
-        missing = {w for (_, pieces), ids in zip(cut, found, strict=True) if None in ids
-                   for w, x in zip(pieces[1:], ids[1:], strict=True) if x is None}
-        odd = [w for w in missing if not w or SPACE.search(w)]
-        self._learn(list(missing.difference(odd)))
-        for word, ids in zip(odd, self._whole([" " + w for w in odd]), strict=True):
-            known[word] = ids
-        for (i, pieces), ids, head in zip(cut, found, heads, strict=True):
-            ids[0] = head
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        heads = self._whole([head for _, head, _ in cut])
+        found = [list(map(known.get, pieces)) for _, _, pieces in cut]
+        missing = {w for (_, _, pieces), ids in zip(cut, found, strict=True) if None in ids
+                   for w, x in zip(pieces, ids, strict=True) if x is None}
+        if older:
+            again = [w for w in missing if w in older]
+            known.update((w, older[w]) for w in again)
+            missing.difference_update(again)
+        self._learn(missing)
+        for (i, _, pieces), ids, head in zip(cut, found, heads, strict=True):
             if None in ids:
-                ids[1:] = [known[w] if x is None else x for w, x in zip(pieces[1:], ids[1:], strict=True)]
-            out[i] = b"".join(ids)
+                ids = [known[w] if x is None else x for w, x in zip(pieces, ids, strict=True)]
+            out[i] = b"".join((head, *ids))
         for (i, _), ids in zip(whole, self._whole([t for _, t in whole]), strict=True):
             out[i] = ids
         return [np.frombuffer(x, self.width) for x in out]

@@ -96,3 +96,20 @@ def test_plan_steps_follow_lengths_not_pieces():
 def test_empty(spark):
     assert packing.pack_documents(odd.empty(spark), vocabulary_path()).count() == 0
     assert token_store.read_shards(token_store.write_shards(odd.empty(spark), vocabulary_path())).count() == 0
+
+
+def test_words_go_straight_to_the_model(monkeypatch):
+    """Letters of many kinds, marks, white space and tiny generations: always the ids of the whole text."""
+    import random
+
+    from clipledger.llm import tokens as T
+
+    monkeypatch.setattr(T, "CACHED_WORDS", 500)
+    rnd, letters = random.Random(1), "abzABZéßñÀÿ×÷ºªſƏɏɐ日本ةא.,;:!?'-_0129 \t\n  ́"
+    enc = T.Encoder(T.vocabulary_path())
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(60))) for _ in range(3000)] + ["a.????? it's don't 's xİ ıI ǅ,", None, ""]
+    texts += [" ".join(rnd.choice(["the", "of,", "wörd.", "naïve", "x1", "end!?"]) for _ in range(30)) for _ in range(500)]
+    whole = enc.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    got = [x for i in range(0, len(texts), 40) for x in enc.encode(texts[i : i + 40])]
+    assert [x.tolist() for x in got] == [x.ids for x in whole]
+    assert enc.direct and len(enc.words) <= 500 + 40 * 60 and enc.older
