@@ -1,4 +1,4 @@
-"""Best-of choices as aggregates: map-side combined, no sorting of groups."""
+"""Best-of choices as aggregates, combined before the shuffle; no group is collected."""
 
 from __future__ import annotations
 
