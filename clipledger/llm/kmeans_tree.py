@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -107,15 +108,17 @@ def fit(vectors: np.ndarray, lift: float, seed: int = 7) -> Tree:
     return tree
 
 
+OUT = "query_id long, rank int, vec_id long, score double"
+
+
 def clean(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>): without null, zero or non-finite vectors, and of the most frequent length."""
+    """vec_id, v (array<double>): without null, zero or non-finite vectors."""
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = keyed(vectors, "vec_id", v="embedding").select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("v")).where(
         v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
     )
-    length = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size("v") == (length[0] if length else 0))
+    return good
 
 
 def _matrix(column) -> np.ndarray:
@@ -214,21 +217,30 @@ def _searched(index: DataFrame, queries: DataFrame, tree: Tree, leaves: int, k:
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of the rows for which `is_query` (SQL over vec_id) holds.
 
-    Vectors that are null, zero, of another length or hold null or non-finite components take no part.
+    Vectors that are null, zero or hold null or non-finite components take no part. Vectors of another
+    length have no product with a query, so each length has an index and lists of its own.
     Of rows that share an id and a vector one counts; ids with two vectors count with both.
     """
-    spark = vectors.sparkSession
     rows = written(clean(vectors).distinct(), "ann-rows")
+    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # as a rule one
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], OUT)
+    lists = [_nearest(rows.where(F.size("v") == n) if len(lengths) > 1 else rows, is_query, k, recall) for n in lengths]
+    return reduce(DataFrame.unionByName, lists)
+
+
+def _nearest(rows: DataFrame, is_query: str, k: int, recall: float) -> DataFrame:
+    """The lists of vectors of one length."""
+    spark = rows.sparkSession
     least = Window.partitionBy("v").orderBy("vec_id")
     same = (
         rows.withColumn("k", F.row_number().over(least)).where(f"k <= {k + 1}")
         .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("rep"), "ids", "v")
     )
     distinct = written(same, "ann-distinct")
-    out = "query_id long, rank int, vec_id long, score double"
     sample = np.array([r.v for r in distinct.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").collect()])
     if not len(sample):
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], OUT)
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     tree = fit(sample, distinct.agg(F.max(square(F.col("v")))).first()[0])
     shared = spark.sparkContext.broadcast(tree)
@@ -246,7 +258,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, recall: float = RECA
     own = written(asked.join(queries, "v").select("vec_id", "q"), "ann-asked")
     trial = np.array([r.v for r in queries.orderBy(F.xxhash64("q")).limit(CALIBRATION).select("v").collect()])
     if not len(trial):
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], OUT)
     leaves = calibrated_leaves(tree, index, trial, k + 1, recall)
     found = _searched(index, queries, tree, leaves, k + 1).join(index.select("rep", "ids"), "rep")
     every = found.select("q", "score", F.explode("ids").alias("near"))

@@ -67,6 +67,16 @@ def test_odd_rows(spark):
     assert K.nearest(df.where("vec_id = 7"), "vec_id % 20 = 0").count() == 0
 
 
+def test_lengths_have_lists_of_their_own(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6 if i % 3 else 4)]) for i in range(130)]
+    found = got(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5)
+    short, long = [r for r in rows if len(r[1]) == 4], [r for r in rows if len(r[1]) == 6]
+    assert set(found) == {i for i, _ in rows if i % 20 == 0}
+    for own in (short, long):
+        check(own, {i: found[i] for i, _ in own if i in found}, 5, 0.95)
+
+
 def test_best_bin_first_widens_to_all_leaves():
     x = np.random.default_rng(1).normal(size=(3000, 16))
     tree = K.fit(x, float((x**2).sum(1).max()))
