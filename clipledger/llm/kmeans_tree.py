@@ -225,11 +225,11 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, recall: float = RECA
     lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # as a rule one
     if not lengths:
         return vectors.sparkSession.createDataFrame([], OUT)
-    lists = [_nearest(rows.where(F.size("v") == n) if len(lengths) > 1 else rows, is_query, k, recall) for n in lengths]
+    lists = [_of_one_length(rows.where(F.size("v") == n) if len(lengths) > 1 else rows, is_query, k, recall) for n in lengths]
     return reduce(DataFrame.unionByName, lists)
 
 
-def _nearest(rows: DataFrame, is_query: str, k: int, recall: float) -> DataFrame:
+def _of_one_length(rows: DataFrame, is_query: str, k: int, recall: float) -> DataFrame:
     """The lists of vectors of one length."""
     spark = rows.sparkSession
     least = Window.partitionBy("v").orderBy("vec_id")
