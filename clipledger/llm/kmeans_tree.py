@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import keyed, written
+from clipledger.llm.common import keyed, partitions, written
 
 #: Rows that fit the tree and that calibrate it, children of a node, sampled rows of a leaf, rows of a block.
 SAMPLE, CALIBRATION, BRANCH, LEAF, BLOCK = 20_000, 128, 8, 24, 4096
@@ -108,6 +108,8 @@ def fit(vectors: np.ndarray, lift: float, seed: int = 7) -> Tree:
     return tree
 
 
+#: Queries that walk the tree at once in a task.
+WALKED = 32
 OUT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -175,16 +177,18 @@ def _searched(index: DataFrame, queries: DataFrame, tree: Tree, leaves: int, k:
     def walk(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            ids, q = batch.column(0).to_pylist(), _matrix(batch.column(1))
-            seen = [shared.value.visits(x, leaves) for x in q]
-            row = np.repeat(np.arange(len(ids)), [len(s) for s in seen])
-            yield pa.RecordBatch.from_pydict({
-                "leaf": pa.array([x for s in seen for x in s], pa.int64()), "q": pa.array([ids[i] for i in row], pa.int64()),
-                "v": batch.column(1).take(pa.array(row)),
-            })
-
-    visits = written(queries.select("q", "v").mapInArrow(walk, "leaf long, q long, v array<double>"), "ann-visits")
+        for whole in batches:
+            for at in range(0, len(whole), WALKED):  # a row for each leaf of each query, so few at once
+                batch = whole.slice(at, WALKED)
+                ids, q = batch.column(0).to_pylist(), _matrix(batch.column(1))
+                seen = [shared.value.visits(x, leaves) for x in q]
+                row = np.repeat(np.arange(len(ids)), [len(s) for s in seen])
+                yield pa.RecordBatch.from_pydict({
+                    "leaf": pa.array([x for s in seen for x in s], pa.int64()), "q": pa.array([ids[i] for i in row], pa.int64()),
+                    "v": batch.column(1).take(pa.array(row)),
+                })
+
+    visits = written(queries.select("q", "v").repartition(partitions(spark), "q").mapInArrow(walk, "leaf long, q long, v array<double>"), "ann-visits")
     # blocks on both sides, counted for each leaf; the tree bounds the number of leaves
     blocks = lambda df: F.broadcast(df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("n")))
     mine, theirs = blocks(visits).withColumnRenamed("n", "nq"), blocks(index).withColumnRenamed("n", "nv")
