@@ -1,38 +1,39 @@
 """Scores texts with a hierarchical Pitman-Yor model: restaurants of one word of context over a shared parent.
 
-Every frequent word has a restaurant for the words after it; all share one parent, the root, which
-also seats what follows other words directly. Customers of a context are its training tokens, customers
-of the root are the tables of the contexts. Gibbs sweeps draw, for every context and word, at how many
-tables the customers sit, from the exact distribution given all else (generalised Stirling numbers);
-a text's score averages the predictive probabilities of the kept sweeps.
-
-Layout. Tokens are dealt out once, by word: a rare word lies in one part with all its contexts, so
-its share of the root is known there; a frequent word is dealt out by (context, word). What parts
-have to tell each other are sums for the frequent words alone, a list of fixed length. A word that
-holds a third of all tokens is spread by its contexts, and those of one document are one row.
+Every word has a restaurant for the words after it; all share one parent, the root. Customers of a
+context are its training tokens, customers of the root are the tables of the contexts. Gibbs sweeps
+draw, for every context and word, at how many tables the customers sit, from the exact distribution
+given the tables of the sweep before (generalised Stirling numbers, see `seating`); a text's score
+averages the predictive probabilities of the kept sweeps.
+
+Layout. Tokens are dealt out once: a rare word lies in one part with all its contexts, so its share of
+the root is known there; a frequent word lies with its context if that is rare, else where the pair of
+both falls. What is left to be told after a sweep are sums: of the frequent words, a list of fixed length
+that every task gets; of every rare context, from the parts that hold some of it to the context's home and
+back, as one packed row for two parts. Which words are frequent decides how sums travel, not what they are.
+Seats, messages and answers are written, so a sweep that loses an executor starts from the one before.
 """
 
 from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import keyed, partitions, written
+from clipledger.llm.common import forget, keyed, partitions, written
+from clipledger.llm.seating import drawn_tables, stirling
 from clipledger.llm.spans import mixed, slices, text_bytes, word_names
 
-#: Words with a restaurant of their own: at most so many, the most frequent ones.
+#: Frequent words: at most so many, whose sums every task gets as lists. A rare word's name is above.
 HEAD = 65_535
-#: Name of the end of a text. Contexts beside the words with restaurants: start of a text, none.
+#: Name of the end of a text.
 END = np.uint64(0x5EED0F7E57000001)
-START, NONE = HEAD, HEAD + 1
-#: Customers whose tables are drawn at once; further ones of the same dish are seated after them, some at a time.
-EXACT = 128
-#: Tokens that a task gathers before it hands them on.
-GATHERED = 500_000
+#: Tokens that a task gathers before it hands them on, and that a part holds on average.
+GATHERED, PART_TOKENS = 500_000, 4_000_000
 STRENGTH = 1.0
 BURN, KEEP = 2, 2
 
@@ -121,6 +122,7 @@ class Words:
     names: np.ndarray  # of frequent words, ascending
     ids: np.ndarray  # their ids
     counts: np.ndarray  # by id
+    head: int  # frequent words at most; as a context, the start of a text
 
     def id_of(self, names: np.ndarray) -> np.ndarray:
         """Ids of frequent words, -1 for others."""
@@ -134,12 +136,12 @@ def discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.05
 
 
-def counted(words: DataFrame) -> Words:
+def counted(words: DataFrame, head: int = HEAD) -> Words:
     total, kinds, ones, twos = words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    top = words.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    top = words.orderBy(F.desc("n"), "word").limit(head).toPandas()
     names, counts = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(names)
-    return Words(total or 0, kinds, discount(ones, twos), names[order], order.astype(np.int64), counts)
+    return Words(total or 0, kinds, discount(ones, twos), names[order], order.astype(np.int64), counts, head)
 
 
 def _dealt(docs: DataFrame, words, parts: int) -> DataFrame:
@@ -156,7 +158,8 @@ def _dealt(docs: DataFrame, words, parts: int) -> DataFrame:
             held.clear()
             own = w.id_of(name)
             key = np.where(own >= 0, own.astype(np.uint64), name)
-            part = mixed(np.where(own >= 0, own.astype(np.uint64) << np.uint64(20) | context.astype(np.uint64), name)) % np.uint64(parts)
+            pair = np.where(context > w.head, context, own.astype(np.uint64) << np.uint64(20) | context)
+            part = mixed(np.where(own >= 0, pair, name)) % np.uint64(parts)
             docs, doc = np.unique(doc, return_inverse=True)
             learn = np.zeros(len(docs), np.uint8)
             learn[doc] = train
@@ -171,19 +174,19 @@ def _dealt(docs: DataFrame, words, parts: int) -> DataFrame:
                 seen, local = np.unique(doc[a:b], return_inverse=True)
                 data = packed(
                     _deltas(docs[seen]), learn[seen], _deltas(key[a:b]), rare[a:b].astype(np.uint8),
-                    context[a:b].astype(np.uint32), local.astype(np.uint32), n[a:b],
+                    context[a:b], local.astype(np.uint32), n[a:b],
                 )
                 yield pa.RecordBatch.from_pydict({"part": pa.array([int(part[a])], pa.int32()), "data": pa.array([data], pa.binary())})
 
         for batch in slices(batches, 2):
             names, at = _tokens(batch.column(2))
             own = w.id_of(names)
-            context = np.r_[0, own[:-1]]
-            context[context < 0] = NONE
-            context[at[:-1]] = START
+            context = np.where(own >= 0, own.astype(np.uint64), names)
+            context = np.r_[np.uint64(0), context[:-1]]
+            context[at[:-1]] = w.head
             row = np.repeat(np.arange(len(batch)), np.diff(at))
             ids, train = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            held.append((names, context.astype(np.uint32), ids[row], train[row]))
+            held.append((names, context, ids[row], train[row]))
             size += len(names)
             if size >= GATHERED:
                 yield from flush()
@@ -194,11 +197,11 @@ def _dealt(docs: DataFrame, words, parts: int) -> DataFrame:
     return docs.select("doc_id", "train", "text").mapInArrow(deal, "part int, data binary")
 
 
-_PART = "part int, tokens binary, train binary, sums binary, ones long, twos long"
+_PART = "part int, tokens binary, train binary, ones long, twos long"
 
 
 def _merged(dealt: DataFrame, parts: int) -> DataFrame:
-    """One row for each part: its tokens, its training counts, and its sums for contexts and frequent words."""
+    """One row for each part: its tokens, its training counts, and what the discount needs."""
 
     def merge(batches):
         import pyarrow as pa
@@ -227,20 +230,28 @@ def _merged(dealt: DataFrame, parts: int) -> DataFrame:
             key, rare, context = key[at], rare[at], context[at]
             tokens = packed(_deltas(np.concatenate(docs)), size.astype(np.uint32), doc.astype(np.uint32), n)
             train = packed(_deltas(key), rare, context, c)
-            seated = (c > 0) & (context != NONE)
-            once = np.bincount(context[seated], minlength=START + 1), np.bincount(context[seated], c[seated], START + 1)
-            head = (c > 0) & (rare == 0)
-            guests = np.bincount(key[head].astype(np.int64), np.where(context[head] == NONE, c[head], 1), HEAD)
-            sums = packed(*(x.astype(np.int64) for x in (*once, guests)))
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "tokens": pa.array([tokens], pa.binary()), "train": pa.array([train], pa.binary()),
-                "sums": pa.array([sums], pa.binary()), "ones": pa.array([int((c[seated] == 1).sum())]), "twos": pa.array([int((c[seated] == 2).sum())]),
+                "ones": pa.array([int((c == 1).sum())]), "twos": pa.array([int((c == 2).sum())]),
             })
 
     return dealt.repartitionById(parts, "part").mapInArrow(merge, _PART)
 
 
-def _added(rows: DataFrame, kinds: int) -> list[np.ndarray]:
+#: A row that parts read or write: what it is, the part it is for, the part or round it is from.
+_ROW = "kind int, part int, sender int, data binary"
+TRAIN, TOKENS, STATE, TOLD, SUMS, ANSWER = range(6)
+
+
+def _row(kind: int, part: int, sender: int, *arrays: np.ndarray):
+    import pyarrow as pa
+
+    values = [kind, part, sender]
+    columns = [pa.array([x], pa.int32()) for x in values] + [pa.array([packed(*arrays)], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "sender", "data"])
+
+
+def _added(rows: DataFrame, sizes: list[int]) -> list[np.ndarray]:
     """The sums of the parts' lists, added up in Spark by place; what comes back has the lists' fixed length."""
 
     def spread(batches):
@@ -252,48 +263,37 @@ def _added(rows: DataFrame, kinds: int) -> list[np.ndarray]:
                     at = np.flatnonzero(values)
                     yield pa.RecordBatch.from_pydict({"kind": np.full(len(at), kind, np.int32), "at": at, "n": values[at]})
 
-    out = [np.zeros(HEAD + 2, np.int64) for _ in range(kinds)]
-    total = rows.mapInArrow(spread, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
-    for kind in range(kinds):
+    out = [np.zeros(n, np.int64) for n in sizes]
+    total = rows.select("data").mapInArrow(spread, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    for kind in range(len(sizes)):
         own = total[total["kind"] == kind]
         out[kind][own["at"].to_numpy()] = own["n"].to_numpy()
     return out
 
 
-def stirling(d: float, most: int = EXACT) -> np.ndarray:
-    """log S_d(c, t) for c, t up to `most`: ways to seat c customers at t tables, weighted by the discount."""
-    out = np.full((most + 1, most + 1), -np.inf)
-    out[1, 1] = 0.0
-    t = np.arange(most + 1)
-    for c in range(1, most):
-        stay = np.where(c - d * t > 0, np.log(np.maximum(c - d * t, 1e-300)), -np.inf) + out[c]
-        out[c + 1] = np.logaddexp(stay, np.r_[-np.inf, out[c, :-1]])
-    return out
+def _answered(told: DataFrame, parts: int, round_: int) -> DataFrame:
+    """Homes add up what parts tell of each rare context and answer every part in the order of its own list."""
 
+    def answer(batches):
+        senders: dict[int, list] = {}
+        for batch in batches:
+            for home, sender, data in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                senders.setdefault(home, []).append((sender, unpacked(data)))
+        for home, got in senders.items():
+            names, back = np.unique(np.concatenate([_undeltas(x[0]) for _, x in got]), return_inverse=True)
+            sums = [np.bincount(back, np.concatenate(v), len(names)).astype(np.int64) for v in zip(*(x[1:] for _, x in got), strict=True)]
+            at = 0
+            for sender, lists in got:
+                own = back[at : at + len(lists[0])]
+                at += len(own)
+                yield _row(ANSWER + round_, sender, home, *(x[own] for x in sums))
 
-def drawn_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, table: np.ndarray, rng) -> np.ndarray:
-    """Tables of c customers of one dish each, given the tables of other dishes and the parent's probability."""
-    t = np.minimum(c, 1)
-    start, few = STRENGTH + d * others, np.minimum(c, EXACT)
-    for size in np.unique(few[few > 1]).tolist():
-        rows = np.flatnonzero(few == size)
-        for part in np.array_split(rows, max(1, len(rows) * size // 2_000_000)):
-            step = np.log(start[part, None] + d * np.arange(size)) + np.log(parent[part, None])
-            weight = np.cumsum(step, axis=1) + table[size, 1 : size + 1]
-            t[part] = 1 + np.argmax(weight - np.log(-np.log(rng.random(weight.shape))), axis=1)
-    n, rows = EXACT, np.flatnonzero(c > EXACT)
-    while len(rows):
-        more = np.minimum(c[rows] - n, max(1, n // 16))
-        open_ = (start[rows] + d * t[rows]) * parent[rows]
-        t[rows] += rng.binomial(more, open_ / (open_ + n - d * t[rows]))
-        n += max(1, n // 16)
-        rows = rows[c[rows] > n]
-    return t
+    return written(told.repartitionById(parts, "part").mapInArrow(answer, _ROW), "lm-answers")
 
 
 @dataclass
 class Seats:
-    """What all parts know after a sweep: tables of each context, customers and tables of frequent words, the root's totals."""
+    """What all parts know after a sweep: tables of frequent contexts, customers and tables of frequent words, the root's totals."""
 
     tables: np.ndarray
     guests: np.ndarray
@@ -305,9 +305,16 @@ class Seats:
 @dataclass
 class Model:
     words: Words
-    context_counts: np.ndarray
     discount: float
-    history: list[Seats] = field(default_factory=list)
+    parts: int
+    burn: int
+    keep: int
+    context_counts: np.ndarray | None = None
+    history: dict[int, Seats] = field(default_factory=dict)
+
+    def every(self, round_: int) -> bool:
+        """In the first round and the kept ones parts ask for all their rare contexts, in others for those they draw tables in."""
+        return round_ == 0 or round_ > self.burn
 
     def root(self, guests: np.ndarray, tables: np.ndarray, seats: Seats) -> np.ndarray:
         """The root's probability of words with so many customers and tables; of an unknown word with none."""
@@ -318,11 +325,12 @@ class Model:
     def root_draw(self, guests: np.ndarray, tables: np.ndarray, seats: Seats, rng) -> np.ndarray:
         base = np.full(len(guests), 1.0 / (self.words.kinds + 1))
         d = self.words.discount
-        return drawn_tables(guests, np.maximum(seats.all_tables - tables, 0), base, d, stirling(d), rng)
+        others = STRENGTH + d * np.maximum(seats.all_tables - tables, 0)
+        return drawn_tables(guests, others, base, d, stirling(d), rng)
 
 
-class PartSweeps:
-    """The seats of one part after every sweep of the history: a function of the part and the sums, so any executor can redo it."""
+class PartSeats:
+    """The seats of one part."""
 
     def __init__(self, model: Model, part: int, train: bytes):
         key, self.rare, self.context, self.c = unpacked(train)
@@ -331,15 +339,78 @@ class PartSweeps:
         self.word = np.cumsum(new) - 1  # the part's words, in order
         self.n_words, self.is_rare = int(new.sum()), self.rare[new] == 1
         self.head = self.key[new].astype(np.int64) * ~self.is_rare
-        self.free = np.flatnonzero((self.c > 1) & (self.context != NONE))
-        self.t = np.where(self.context == NONE, 0, np.minimum(self.c, 1))
-        self.table = stirling(model.discount)
+        self.free = np.flatnonzero(self.c > 1)
+        self.t = np.minimum(self.c, 1)
         self.guests = self._guests()
         self.root_tables = np.minimum(self.guests, 1)
+        # rare contexts by home, then name; each pair's place among them
+        self.far = np.flatnonzero(self.context > model.words.head)
+        names, back = np.unique(self.context[self.far], return_inverse=True)
+        home = (mixed(names) % np.uint64(model.parts)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.names, self.home, self.far_at = names[order], home[order], place[back]
+        self.near_at = np.where(self.context > model.words.head, model.words.head, self.context).astype(np.int64)
+        drawn = np.zeros(len(names), bool)
+        drawn[self.far_at[self.c[self.far] > 1]] = True
+        self.drawn = drawn
+        self.far_counts = self.far_first = self.far_more = np.zeros(len(names), np.int64)
 
     def _guests(self) -> np.ndarray:
-        own = np.where(self.context == NONE, self.c, self.t)
-        return np.bincount(self.word, own, self.n_words).astype(np.int64)
+        return np.bincount(self.word, self.t, self.n_words).astype(np.int64)
+
+    def _asked(self, round_: int) -> np.ndarray:
+        return np.flatnonzero(self.drawn | self.model.every(round_))
+
+    def take_state(self, data: bytes) -> None:
+        self.t = np.minimum(self.c, 1)
+        self.t[self.free], tables = unpacked(data)
+        self.guests = self._guests()
+        self.root_tables = np.minimum(self.guests, 1)
+        self.root_tables[self.is_rare] = tables
+
+    def take_answers(self, round_: int, answers: list[tuple[int, bytes]]) -> None:
+        """Answers of all homes: counts and first tables of contexts, or tables beyond the first ones."""
+        asked = self._asked(round_)
+        lists = [unpacked(data) for _, data in sorted(answers)]
+        sums = []
+        for values in zip(*lists, strict=True):
+            whole = np.zeros(len(self.names), np.int64)
+            whole[asked] = np.concatenate(values)
+            sums.append(whole)
+        if sums and round_ == 0:
+            self.far_counts, self.far_first = sums
+        elif sums:
+            self.far_more = sums[0]
+
+    def tell(self, round_: int):
+        """Messages to the homes of rare contexts."""
+        asked, first = self._asked(round_), np.minimum(self.c, 1)
+        values = [self.c, first] if round_ == 0 else [self.t - first]
+        sums = [np.bincount(self.far_at, v[self.far], len(self.names)).astype(np.int64)[asked] for v in values]
+        edge = np.flatnonzero(np.diff(self.home[asked], prepend=-1))
+        for a, b in zip(edge, np.append(edge, len(asked))[1:], strict=True):
+            yield _row(TOLD, int(self.home[asked[a]]), self.part, _deltas(self.names[asked[a:b]]), *(x[a:b] for x in sums))
+
+    def state(self):
+        return _row(STATE, self.part, 0, self.t[self.free], self.root_tables[self.is_rare])
+
+    def sums(self):
+        """Tables and customers of frequent contexts, customers of frequent words, and what rare words add to the root's totals."""
+        near = self.context <= self.model.words.head
+        size = self.model.words.head
+        lists = [np.bincount(self.near_at[near], x[near], size + 1) for x in (self.t, self.c)]
+        own = ~self.is_rare
+        lists.append(np.bincount(self.head[own], self.guests[own], size))
+        lists.append(np.array([self.guests[self.is_rare].sum(), self.root_tables[self.is_rare].sum()]))
+        return _row(SUMS, -1, self.part, *(x.astype(np.int64) for x in lists))
+
+    def of_contexts(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """For each pair the value of its context."""
+        out = near[self.near_at]
+        out[self.far] = far[self.far_at]
+        return out
 
     def root(self, seats: Seats) -> np.ndarray:
         """The root's probability of each word of the part."""
@@ -347,79 +418,114 @@ class PartSweeps:
         tables = np.where(self.is_rare, self.root_tables, seats.root_tables[self.head])
         return self.model.root(guests, tables, seats)
 
-    def sweep(self, k: int) -> None:
-        """Sweep k + 1, from the sums after sweep k."""
-        seats, rng, f = self.model.history[k], np.random.default_rng((11, self.part, k)), self.free
+    def sweep(self, round_: int) -> None:
+        """Draws the tables of a round from the seats and answers of the one before."""
+        seats, rng, f = self.model.history[round_ - 1], np.random.default_rng((11, self.part, round_)), self.free
+        d = self.model.discount
         if len(f):
-            others = np.maximum(seats.tables[self.context[f]] - self.t[f], 0)
-            self.t[f] = drawn_tables(self.c[f], others, self.root(seats)[self.word[f]], self.model.discount, self.table, rng)
+            all_tables = self.of_contexts(seats.tables, self.far_first + self.far_more)[f]
+            others = STRENGTH + d * np.maximum(all_tables - self.t[f], 0)
+            self.t[f] = drawn_tables(self.c[f], others, self.root(seats)[self.word[f]], d, stirling(d), rng)
         self.guests = self._guests()
         rare = self.is_rare & (self.guests > 0)
         self.root_tables[rare] = self.model.root_draw(self.guests[rare], self.root_tables[rare], seats, rng)
 
-    def sums(self) -> bytes:
-        seated = self.context != NONE
-        tables = np.bincount(self.context[seated], self.t[seated], START + 1)
-        head = ~self.is_rare
-        guests = np.bincount(self.head[head], self.guests[head], HEAD)
-        totals = np.array([self.guests[self.is_rare].sum(), self.root_tables[self.is_rare].sum()])
-        return packed(*(x.astype(np.int64) for x in (tables, guests, totals)))
+    def chances(self, round_: int) -> np.ndarray:
+        """The predictive probability of each pair after a round."""
+        seats, d = self.model.history[round_], self.model.discount
+        rest = STRENGTH + d * self.of_contexts(seats.tables, self.far_first + self.far_more)
+        count = self.of_contexts(self.model.context_counts, self.far_counts)
+        return (self.c - d * self.t + rest * self.root(seats)[self.word]) / (STRENGTH + count)
 
 
-def learned(parts: DataFrame, words: Words) -> Model:
-    """Gibbs sweeps: each is one job over the parts, and what comes back are sums of fixed length."""
-    spark = parts.sparkSession
-    ones, twos = parts.agg(F.sum("ones"), F.sum("twos")).first()
-    kinds_after, counts, guests = _added(parts.select("sums"), 3)
-    model = Model(words, counts, discount(ones or 0, twos or 0))
-    root_tables = np.minimum(guests, 1)
+def _by_part(batches) -> dict[int, dict[int, list]]:
+    """A task's rows: for each part, for each kind, (sender, data)."""
+    out: dict[int, dict[int, list]] = {}
+    for batch in batches:
+        for kind, part, sender, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            out.setdefault(part, {}).setdefault(kind, []).append((sender, data))
+    return out
 
-    def seats(tables, guests, root_tables, rare) -> Seats:
-        return Seats(tables, guests, root_tables, int(guests.sum() + rare[0]), int(root_tables.sum() + rare[1]))
 
-    def job(sweeps: int) -> list[np.ndarray]:
-        shared = spark.sparkContext.broadcast(model)
+def _as_rows(parts: DataFrame, kind: int, column: str) -> DataFrame:
+    return parts.select(F.lit(kind).alias("kind"), "part", F.lit(0).alias("sender"), F.col(column).alias("data"))
 
-        def run(batches):
-            import pyarrow as pa
 
-            for batch in batches:
-                for part, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = PartSweeps(shared.value, part, train)
-                    for k in range(sweeps):
-                        own.sweep(k)
-                    yield pa.RecordBatch.from_pydict({"sums": pa.array([own.sums()], pa.binary())})
+def _together(frames: list[DataFrame], parts: int) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames).repartitionById(parts, "part")
 
-        return _added(parts.select("part", "train").mapInArrow(run, "sums binary"), 3)
 
-    _, _, rare = job(0)
-    model.history.append(seats(kinds_after, guests, root_tables, rare))
-    for k in range(BURN + KEEP):
-        tables, guests, rare = job(k + 1)
-        root_tables = model.root_draw(guests, root_tables, model.history[-1], np.random.default_rng((13, k)))
-        model.history.append(seats(tables, guests, root_tables, rare))
-    return model
+def _root_tables(model: Model, round_: int, guests: np.ndarray, tables: np.ndarray, spark) -> np.ndarray:
+    """Tables of the frequent words in the root, drawn in tasks."""
+    shared = spark.sparkContext.broadcast((model, guests, tables))
 
+    def draw(batches):
+        import pyarrow as pa
+
+        own, guests, tables = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            if len(at):
+                rng = np.random.default_rng((13, round_, int(at[0])))
+                n = own.root_draw(guests[at], tables[at], own.history[round_ - 1], rng)
+                yield pa.RecordBatch.from_pydict({"at": at, "n": n.astype(np.int64)})
+
+    found = spark.range(0, len(guests), 1, partitions(spark)).mapInArrow(draw, "at long, n long").toPandas()
+    out = np.zeros(len(guests), np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
 
-def part_scores(model: Model, part: int, tokens: bytes, train: bytes) -> tuple[np.ndarray, ...]:
+
+def learned(parts: DataFrame, model: Model) -> list[DataFrame]:
+    """Gibbs sweeps, each a job over the parts; fills the model and returns the rows that scoring needs beside the parts."""
+    spark, head = parts.sparkSession, model.words.head
+    train = _as_rows(parts, TRAIN, "train")
+    state, answers, before, kept = None, None, [], []
+    for k in range(model.burn + model.keep + 1):  # round 0 seats all at one table a dish
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches, k=k, shared=shared):
+            for part, got in _by_part(batches).items():
+                own = PartSeats(shared.value, part, got[TRAIN][0][1])
+                if k:
+                    if k > 1:
+                        own.take_state(got[STATE][0][1])
+                    for r in {0, k - 1}:
+                        own.take_answers(r, got.get(ANSWER + r, []))
+                    own.sweep(k)
+                yield own.state()
+                yield own.sums()
+                yield from own.tell(k)
+
+        frames = [train, *before, *([state] if k > 1 else []), *([answers] if k > 1 else [])]
+        done = written(_together(frames, model.parts).mapInArrow(run, _ROW), "lm-sweep")
+        tables, counts, guests, rare = _added(done.where(F.col("kind") == SUMS), [head + 1, head + 1, head, 2])
+        after = _answered(done.where(F.col("kind") == TOLD), model.parts, k)
+        if k == 0:
+            model.context_counts, root_tables, before = counts, np.minimum(guests, 1), [after]
+        else:
+            root_tables = _root_tables(model, k, guests, root_tables, spark)
+        model.history[k] = Seats(tables, guests, root_tables, int(guests.sum() + rare[0]), int(root_tables.sum() + rare[1]))
+        state, answers = done.where(F.col("kind") == STATE), after
+        if k > model.burn:
+            kept += [state.withColumn("sender", F.lit(k)), after]
+    return before + kept
+
+
+def part_scores(model: Model, part: int, got: dict[int, list]) -> tuple[np.ndarray, ...]:
     """doc_id, n_tokens, n_known, base, score: a part's share of each document."""
-    own, words = PartSweeps(model, part, train), model.words
-    ids, size, doc, n = unpacked(tokens)
+    own, words = PartSeats(model, part, got[TRAIN][0][1]), model.words
+    ids, size, doc, n = unpacked(got[TOKENS][0][1])
     docs, n, doc = _undeltas(ids), n.astype(np.int64), doc.astype(np.int64)
-    chance = np.zeros(len(own.key))
-    held = own.context != NONE
-    c_context = model.context_counts[np.minimum(own.context, START)]
-    for k in range(BURN + KEEP):
-        own.sweep(k)
-        if k >= BURN:
-            seats = model.history[k + 1]
-            parent = own.root(seats)[own.word] if len(own.key) else chance
-            rest = STRENGTH + model.discount * seats.tables[np.minimum(own.context, START)]
-            inside = (own.c - model.discount * own.t + rest * parent) / (STRENGTH + c_context)
-            chance += np.where(held, inside, parent) / KEEP
     seen = np.bincount(own.word, own.c, own.n_words).astype(np.int64)
     known = np.where(own.is_rare, seen, words.counts[np.minimum(own.head, max(0, len(words.counts) - 1))] if len(words.counts) else 0)
     base = np.log10((known + 0.5) / (words.total + 0.5 * (words.kinds + 1)))
+    chance, states = np.zeros(len(own.key)), dict(got[STATE])
+    own.take_answers(0, got.get(ANSWER, []))
+    for k in range(model.burn + 1, model.burn + model.keep + 1):
+        own.take_state(states[k])
+        own.take_answers(k, got.get(ANSWER + k, []))
+        chance += own.chances(k) / model.keep
     group = np.repeat(np.arange(len(size)), size)
     w = own.word[group]
     ids, back = np.unique(docs, return_inverse=True)
@@ -428,32 +534,42 @@ def part_scores(model: Model, part: int, tokens: bytes, train: bytes) -> tuple[n
     return ids, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]
 
 
-def scored(docs: DataFrame, held_out: str) -> DataFrame:
+def dealt_parts(docs: DataFrame, head: int = HEAD, burn: int = BURN, keep: int = KEEP) -> tuple[DataFrame, Model]:
+    """The parts of (doc_id, train, text), written, and a model without sweeps. The number of parts grows with the tokens."""
+    spark = docs.sparkSession
+    counts = written(vocabulary(docs.where("train")), "lm-words")
+    words = counted(counts, head)
+    forget(counts)
+    n_parts = max(partitions(spark), -(-words.total // PART_TOKENS))
+    parts = written(_merged(_dealt(docs, spark.sparkContext.broadcast(words), n_parts), n_parts), "lm-parts")
+    ones, twos = parts.agg(F.sum("ones"), F.sum("twos")).first()
+    return parts, Model(words, discount(ones or 0, twos or 0), n_parts, burn, keep)
+
+
+def scored(docs: DataFrame, held_out: str, head: int = HEAD, burn: int = BURN, keep: int = KEEP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document with an id.
 
     held_out: SQL over doc_id; the model learns from the others. A null text has its end alone. Rows
     that share an id count as one document. With nothing to learn from, every token is unknown.
+    `burn` sweeps are dropped, `keep` averaged.
     """
-    spark = docs.sparkSession
     docs = keyed(docs, "doc_id", text="text").select(F.col("doc_id").cast("long"), F.expr(f"NOT ({held_out})").alias("train"), "text")
-    words = counted(written(vocabulary(docs.where("train")), "lm-words"))
-    n_parts = partitions(spark)
-    parts = written(_merged(_dealt(docs, spark.sparkContext.broadcast(words), n_parts), n_parts), "lm-parts")
-    model = learned(parts, words)
+    parts, model = dealt_parts(docs, head, burn, keep)
+    spark, n_parts, words = docs.sparkSession, model.parts, model.words
+    known = learned(parts, model)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for part, tokens, train in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = part_scores(shared.value, part, tokens, train)
-                bucket = (mixed(found[0].view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                rows = [order[a:b] for a, b in zip(edge, np.r_[edge[1:], len(order)], strict=True)]
-                data = [packed(*(x[r] for x in found)) for r in rows]
-                yield pa.RecordBatch.from_pydict({"bucket": bucket[order][edge], "data": pa.array(data, pa.binary())})
+        for part, got in _by_part(batches).items():
+            found = part_scores(shared.value, part, got)
+            bucket = (mixed(found[0].view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            rows = [order[a:b] for a, b in zip(edge, np.r_[edge[1:], len(order)], strict=True)]
+            data = [packed(*(x[r] for x in found)) for r in rows]
+            yield pa.RecordBatch.from_pydict({"bucket": bucket[order][edge], "data": pa.array(data, pa.binary())})
 
     def total(batches):
         import pyarrow as pa
@@ -466,7 +582,8 @@ def scored(docs: DataFrame, held_out: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "n_tokens", "n_known", "base_score", "score"), (own, *sums), strict=True)))
 
     # a part's shares of many documents travel as one row
-    shares = parts.select("part", "tokens", "train").mapInArrow(score, "bucket int, data binary").repartitionById(n_parts, "bucket")
+    rows = _together([_as_rows(parts, TRAIN, "train"), _as_rows(parts, TOKENS, "tokens"), *known], n_parts)
+    shares = rows.mapInArrow(score, "bucket int, data binary").repartitionById(n_parts, "bucket")
     summed = shares.mapInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return summed.select(
         "doc_id", F.expr(held_out).alias("held_out"), "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score",

@@ -2,10 +2,12 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 
 from clipledger.llm import pitman_yor as P
+from clipledger.llm import seating as S
 
 from . import odd
 
@@ -59,52 +61,135 @@ def test_odd_rows(spark):
     check(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), [(1, "a b")])
 
 
+def zipf_rows(n=60, seed=2):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 60) % 40)) for i in range(n)]
+
+
 def test_probabilities_add_up(spark):
-    """Over all known words and an unknown one, after a context."""
-    rng = np.random.default_rng(2)
-    text = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 60) % 40) for _ in range(60)]
-    rows = [(i, t) for i, t in enumerate(text)]
+    """Over all known words and an unknown one, after a context; with sums by list and by messages."""
+    rows = zipf_rows()
     known = sorted({w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split()})
-    total = _chances(spark, rows, known)
-    assert abs(total - 1) < 1e-9
+    for head, context in ((P.HEAD, "w1"), (4, "w1"), (4, "w17")):
+        assert abs(_chances(spark, rows, known, context, head) - 1) < 1e-9
 
 
-def _chances(spark, rows, known):
-    """Sum over words of P(w | w1), from the model itself."""
+def _chances(spark, rows, known, context, head):
+    """Sum over words of P(w | context), from the model itself."""
+    import pyarrow as pa
     from pyspark.sql import functions as F
 
-    from clipledger.llm.common import written
-
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.expr(f"NOT ({HELD})").alias("train"), "text")
-    words = P.counted(written(P.vocabulary(docs.where("train")), "t"))
-    parts = written(P._merged(P._dealt(docs, spark.sparkContext.broadcast(words), 3), 3), "t")
-    model = P.learned(parts, words)
-    import pyarrow as pa
-
-    names = P.word_names(*P.text_bytes(pa.array([" ".join(known)])))[0]
-    ids = words.id_of(np.append(names, P.END))
-    context = int(words.id_of(P.word_names(*P.text_bytes(pa.array(["w1"])))[0])[0])
-    seats, total = model.history[-1], 0.0
-    c, t = np.zeros(len(ids)), np.zeros(len(ids))
+    parts, model = P.dealt_parts(docs, head)
+    found = reduce(lambda a, b: a.unionByName(b), P.learned(parts, model)).collect()
+    name = lambda w: P.word_names(*P.text_bytes(pa.array([w])))[0][0]
+    codes = {w: int(name(w)) for w in known} | {None: int(P.END)}
+    ids = {w: int(model.words.id_of(np.array([c], np.uint64))[0]) for w, c in codes.items()}
+    code = ids[context] if ids[context] >= 0 else codes[context]
+    last = model.burn + model.keep
+    seats, total, seen, below = model.history[last], 0.0, set(), None
+    roots = {}
     for r in parts.collect():
-        own = P.PartSweeps(model, r.part, r.train)
-        for k in range(P.BURN + P.KEEP):
-            own.sweep(k)
-        for k in np.flatnonzero((own.context == context) & (own.rare == 0)):
-            at = np.flatnonzero(ids == int(own.key[k]))
-            c[at], t[at] = own.c[k], own.t[k]
-    parent = model.root(seats.guests[ids], seats.root_tables[ids], seats)
+        got = P._by_part([pa.RecordBatch.from_pylist([f.asDict() for f in found if f.part == r.part])]) if any(f.part == r.part for f in found) else {r.part: {}}
+        own = P.PartSeats(model, r.part, r.train)
+        own.take_answers(0, got[r.part].get(P.ANSWER, []))
+        own.take_state(dict(got[r.part][P.STATE])[last])
+        own.take_answers(last, got[r.part].get(P.ANSWER + last, []))
+        root, chance = own.root(seats), own.chances(last)
+        key = own.key[np.unique(own.word, return_index=True)[1]] if own.n_words else []
+        for k, w in enumerate(key):
+            roots[(bool(own.is_rare[k]), int(w))] = float(root[k])
+        for k in np.flatnonzero(own.context == code):
+            total += float(chance[k])
+            seen.add((bool(own.rare[k]), int(own.key[k])))
+            counts, tables = own.of_contexts(model.context_counts, own.far_counts)[k], own.of_contexts(seats.tables, own.far_first + own.far_more)[k]
+            assert below in (None, (counts, tables))
+            below = (counts, tables)
+    rest = (P.STRENGTH + model.discount * below[1]) / (P.STRENGTH + below[0])
+    words = {(ids[w] < 0, ids[w] if ids[w] >= 0 else codes[w]) for w in codes}
     unknown = model.root(np.zeros(1), np.zeros(1), seats)[0]
-    rest = P.STRENGTH + model.discount * seats.tables[context]
-    below = P.STRENGTH + model.context_counts[context]
-    return float(((c - model.discount * t + rest * parent) / below).sum() + rest * unknown / below)
+    return total + rest * (sum(roots[w] for w in words - seen) + unknown)
+
+
+def sampled(rows, d, d_root, sweeps, rng):
+    """Average predictive probability of each (context, word), by seating and seating again one customer at a time."""
+    places = [(u, w) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for u, w in zip(["start", *t.split()], tokens(t), strict=True)]
+    kinds = len({w for _, w in places})
+    dishes, tables, count, root = defaultdict(list), Counter(), Counter(), defaultdict(list)
+    totals = Counter()
+
+    def root_chance(w):
+        sizes = root[w]
+        return (sum(sizes) - d_root * len(sizes) + (P.STRENGTH + d_root * totals["tables"]) / (kinds + 1)) / (P.STRENGTH + totals["guests"])
+
+    def pick(sizes, cut, new):
+        weight = np.array([x - cut for x in sizes] + [new])
+        return int(rng.choice(len(weight), p=weight / weight.sum()))
+
+    def seat(u, w):
+        k = pick(dishes[u, w], d, (P.STRENGTH + d * tables[u]) * root_chance(w))
+        count[u] += 1
+        if k < len(dishes[u, w]):
+            dishes[u, w][k] += 1
+            return
+        dishes[u, w].append(1)
+        tables[u] += 1
+        k = pick(root[w], d_root, (P.STRENGTH + d_root * totals["tables"]) / (kinds + 1))
+        totals["guests"] += 1
+        if k < len(root[w]):
+            root[w][k] += 1
+        else:
+            root[w].append(1)
+            totals["tables"] += 1
+
+    def leave(sizes):
+        k = int(rng.choice(len(sizes), p=np.array(sizes) / sum(sizes)))
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    chance, kept = Counter(), 0
+    for u, w in places:
+        seat(u, w)
+    for k in range(sweeps):
+        for u, w in places:
+            count[u] -= 1
+            if leave(dishes[u, w]):
+                tables[u] -= 1
+                totals["guests"] -= 1
+                totals["tables"] -= leave(root[w])
+            seat(u, w)
+        if k >= sweeps // 4:
+            kept += 1
+            for u, w in set(places):
+                sizes = dishes[u, w]
+                chance[u, w] += (sum(sizes) - d * len(sizes) + (P.STRENGTH + d * tables[u]) * root_chance(w)) / (P.STRENGTH + count[u])
+    return {k: v / kept for k, v in chance.items()}
+
+
+def test_scores_against_a_plain_sampler(spark):
+    """Training texts scored with many kept sweeps; every context by list, few, none."""
+    rows = [(i, " ".join(t.split()[:25])) for i, t in zipf_rows(14, 5)]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    n = Counter(p for _, t in train for p in zip(["start", *t.split()], tokens(t), strict=True))
+    words = Counter(w for _, t in train for w in tokens(t))
+    ones = lambda c: (sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    want = sampled(rows, P.discount(*ones(n)), P.discount(*ones(words)), 400, np.random.default_rng(8))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for head in (P.HEAD, 3):
+        got = {r.doc_id: r.score for r in P.scored(df, HELD, head=head, burn=4, keep=12).collect()}
+        for i, t in train:
+            plain = sum(math.log10(want[p]) for p in zip(["start", *t.split()], tokens(t), strict=True))
+            assert abs(got[i] - plain) < 0.02 * abs(plain), (head, i, got[i], plain)
 
 
 def test_tables_are_drawn_from_the_seating_distribution():
     """Against customers seated and seated again one by one."""
     rng, d, others, parent = np.random.default_rng(1), 0.6, 40.0, 0.05
     for c in (2, 5, 12):
-        drawn = P.drawn_tables(np.full(40_000, c), np.full(40_000, others), np.full(40_000, parent), d, P.stirling(d), rng)
+        drawn = S.drawn_tables(np.full(40_000, c), np.full(40_000, P.STRENGTH + d * others), np.full(40_000, parent), d, S.stirling(d), rng)
         sizes, seen = [c], Counter()
         for step in range(30_000):
             k = rng.choice(len(sizes), p=np.array(sizes) / c)
@@ -120,5 +205,33 @@ def test_tables_are_drawn_from_the_seating_distribution():
             seen[len(sizes)] += step > 500
         mean = sum(k * n for k, n in seen.items()) / sum(seen.values())
         assert abs(mean - drawn.mean()) < 0.08 * mean
-    many = P.drawn_tables(np.array([1, 500, 100_000]), np.full(3, others), np.full(3, parent), d, P.stirling(d), rng)
-    assert many[0] == 1 and 1 <= many[1] <= 500 and many[1] < many[2]
+
+
+def test_stirling_numbers_of_any_size():
+    """The integral against the recursion."""
+    for d in (0.05, 0.6, 0.95):
+        exact = S.stirling(d, 700)
+        for c in (129, 300, 700):
+            t = np.arange(1, c + 1)
+            assert np.abs(S.log_stirling(c, t, d) - exact[c, 1 : c + 1])[:-8].max() < 1e-3
+            assert np.abs(S.log_stirling(c, t, d) - exact[c, 1 : c + 1]).max() < 0.02
+
+
+def test_many_customers_are_drawn_from_the_same_distribution():
+    """Beyond the tables of the recursion: mean and spread against the whole distribution."""
+    rng = np.random.default_rng(4)
+    for d in (0.3, 0.8):
+        exact = S.stirling(d, 600)
+        for c in (129, 600):
+            for start, parent in ((1.0, 0.5), (1.0, 1e-6), (50.0, 0.05), (1e4, 0.1), (1e6, 0.01)):
+                t = np.arange(1, c + 1)
+                log_p = np.cumsum(np.log(start + d * (t - 1)) + np.log(parent)) + exact[c, 1 : c + 1]
+                p = np.exp(log_p - log_p.max())
+                p /= p.sum()
+                mean = p @ t
+                spread = math.sqrt(p @ (t - mean) ** 2)
+                drawn = S.drawn_tables(np.full(3000, c), np.full(3000, start), np.full(3000, parent), d, S.stirling(d), rng)
+                assert abs(drawn.mean() - mean) < 5 * spread / math.sqrt(3000) + 0.01
+                assert abs(drawn.std() - spread) < 0.1 * spread + 0.02
+    hot = S.drawn_tables(np.full(3, 30_000_000), np.full(3, 1e6), np.full(3, 0.05), 0.7, S.stirling(0.7), rng)
+    assert (hot > 70_000).all() and (hot < 80_000).all()
