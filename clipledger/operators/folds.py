@@ -352,22 +352,28 @@ def sliding_rate_audit(
 
     Counts per second are laid into buckets of eight windows, a day at least. Only seconds less than a
     window before a bucket's end are also rows of the next one, as its context; no group exceeds
-    a bucket and a window.
+    a bucket and a window. A count is added at its second and taken away a window later, so one
+    running sum tells what is in the window, however many seconds that holds.
     """
     span = max(8 * window_s, 86_400)
-    per_second = requests.groupBy(*keys, _seconds(ts)).agg(F.count(F.lit(1)).alias("_n"))
-    home = F.floor(F.col(SEC) / span)
-    last = F.col(SEC) > (home + 1) * span - window_s
-    spread = per_second.select(
-        "*", home.alias("_home"), F.explode(F.when(last, F.array(home, home + 1)).otherwise(F.array(home))).alias("_bucket")
-    )
-    trailing = (
-        Window.partitionBy(*keys, "_bucket").orderBy(SEC).rangeBetween(-(window_s - 1), Window.currentRow)
+    per_second = requests.groupBy(*keys, _seconds(ts)).agg(F.count(F.lit(1)).alias("_n")).where(F.col(SEC).isNotNull())
+    sec, home = F.col(SEC), F.floor(F.col(SEC) / span)
+    last = sec > (home + 1) * span - window_s
+
+    def move(bucket: Column, at: Column, delta: Column, own: bool) -> Column:
+        return F.struct(bucket.alias("_bucket"), at.alias("_at"), delta.alias("_delta"), F.lit(own).alias("_own"))
+
+    moves = F.array(
+        move(home, sec, F.col("_n"), True),
+        F.when(last, move(home + 1, sec, F.col("_n"), False)),
+        move(F.when(last, home + 1).otherwise(home), sec + window_s, -F.col("_n"), False),
     )
+    spread = per_second.select(*keys, F.explode(F.array_compact(moves)).alias("_move")).select(*keys, "_move.*")
+    so_far = Window.partitionBy(*keys, "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        spread.withColumn("n_trailing", F.sum("_n").over(trailing))
-        .where(F.col("_bucket") == F.col("_home"))
-        .select(*keys, F.col(SEC).alias("ts_s"), "n_trailing", (F.col("n_trailing") > n).alias("over"))
+        spread.withColumn("n_trailing", F.sum("_delta").over(so_far))
+        .where("_own")
+        .select(*keys, F.col("_at").alias("ts_s"), "n_trailing", (F.col("n_trailing") > n).alias("over"))
     )
 
 
