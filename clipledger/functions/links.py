@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from clipledger.constants import LINK_PATTERN, MAX_U64
 
 
+def _number(digits: Column) -> Column:
+    value = F.when(digits.rlike("^[0-9]+$"), digits.try_cast("decimal(38,0)"))
+    return F.when(value <= F.lit(MAX_U64).cast("decimal(38,0)"), value.cast("decimal(20,0)"))
+
 
 def post_id(link: Column) -> Column:
     """The link's id as an unsigned 64-bit number, else null; only ASCII digits count."""
-    digits = F.regexp_extract(link, LINK_PATTERN, 2)
-    value = F.when(digits.rlike("^[0-9]+$"), digits.try_cast("decimal(38,0)"))
-    return F.when(value <= F.lit(MAX_U64).cast("decimal(38,0)"), value.cast("decimal(20,0)"))
+    return _number(F.regexp_extract(link, LINK_PATTERN, 2))
 
 
 def link_matches(text: str | Column) -> Column:
@@ -22,9 +24,6 @@ def link_matches(text: str | Column) -> Column:
     return F.filter(found, lambda m: post_id(m).isNotNull())
 
 
-def link_count(text: str | Column) -> Column:
-    return F.coalesce(F.size(link_matches(text)), F.lit(0))
-
-
-def only_link_id(text: str | Column) -> Column:
-    return post_id(F.get(link_matches(text), F.lit(0)))
+def link_ids(text: str | Column) -> Column:
+    """The usable ids of all matches in order; the text is searched once."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(LINK_PATTERN), F.lit(2)), _number), lambda i: i.isNotNull())

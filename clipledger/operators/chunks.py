@@ -33,21 +33,32 @@ from pyspark.sql import types as T
 from clipledger.session import durable, setting
 
 CHUNK = "_chunk"
+#: Bytes of shuffled rows that neighbouring partitions are merged up to; every core should get some of them.
+CHUNK_BYTES = 8 * 1024**2
+#: Rows of a chunk that a task sorts and holds for its windows.
+CHUNK_ROWS = 500_000
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chunks: int | None = None) -> DataFrame:
     """Range-partition by (keys, order), sort inside, number the partitions and materialise.
 
     Without ``n_chunks`` the count follows the shuffle setting and AQE merges neighbours
-    up to its advisory size: a key should span few large chunks rather than many small
-    ones.  Materialising pins the partition numbers, which later jobs rely on.
+    up to ``CHUNK_BYTES``: a key should span few chunks, but the work on chunks is to be
+    spread.  Materialising pins the partition numbers, which later jobs rely on.
     """
     cols = [*keys, *order]
     spread = df.repartitionByRange(n_chunks, *cols) if n_chunks else df.repartitionByRange(*cols)
-    with setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+    merge_by_size = setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    with merge_by_size, setting(df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(CHUNK_BYTES)):
         return durable(spread.sortWithinPartitions(*cols).withColumn(CHUNK, F.spark_partition_id()))
 
 
+def window_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chunks: int | None = None) -> DataFrame:
+    """``range_chunks`` for windows over chunks of few rows: their number follows the count of rows, and no two share a task."""
+    n = n_chunks or max(1, -(-df.count() // CHUNK_ROWS))
+    return range_chunks(df, keys, order, n).repartitionById(n, CHUNK)
+
+
 def inside(keys: Sequence[str], order: Sequence[str]):
     """Window over one key's rows inside one chunk."""
     return Window.partitionBy(CHUNK, *keys).orderBy(*order)

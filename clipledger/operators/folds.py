@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from clipledger.config import DEFAULTS
 from clipledger.functions.failures import durable_failure
-from clipledger.functions.links import link_count, only_link_id
+from clipledger.functions.links import link_ids
+from clipledger.functions.shared import computed_once
 from clipledger.operators.chunks import Fold, ordered_fold
 from clipledger.session import durable
 
@@ -393,11 +394,13 @@ def admission_cascade(
     Only what passed a gate goes on to the next, with the columns that the later gates
     need; the passing rows are written once between gates instead of recomputing them.
     """
-    base = durable(requests.select(
+    # an id for each request, not three searches of its text
+    searched = computed_once(requests, "_ids", link_ids("content"), "request_id", "ts", "author_id", "channel_id", "end_ts", "ok", "content")
+    n_links = F.coalesce(F.size("_ids"), F.lit(0))
+    base = durable(searched.select(
         "request_id", "ts", "author_id", "channel_id", "end_ts", "ok",
-        F.when(F.col("content").isNull(), "missing_url").when(link_count("content") == 0, "no_link")
-        .when(link_count("content") > 1, "many_links").alias("_unfit"),
-        only_link_id("content").alias("_post"),
+        F.when(F.col("content").isNull(), "missing_url").when(n_links == 0, "no_link").when(n_links > 1, "many_links").alias("_unfit"),
+        F.get("_ids", F.lit(0)).alias("_post"),
         F.when(F.col("channel_id").isNull(), "no_channel").when(F.col("author_id").isNull(), "no_author").alias("decision"),
     ))
     answer = lambda df, decision: df.select("request_id", decision.alias("decision"))
