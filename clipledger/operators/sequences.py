@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clipledger.config import DEFAULTS
 from clipledger.constants import PERMITS
 from clipledger.functions.failures import hardware_failure
-from clipledger.operators.chunks import CHUNK, attach, before, inside, numbered, range_chunks, summaries
+from clipledger.operators.chunks import CHUNK, attach, before, inside, numbered, range_chunks, summaries, window_chunks
 
 _ROWS = (Window.unboundedPreceding, Window.currentRow)
 
@@ -39,7 +39,7 @@ def queue_depth_timeline(
     """
     order = list(order)
     w = inside([scope], order).rowsBetween(*_ROWS)
-    rows = range_chunks(queue_events, [scope], order, n_chunks)
+    rows = window_chunks(queue_events, [scope], order, n_chunks)
     local = rows.withColumn("_s", F.sum("delta").over(w))
     local = local.withColumn("_m", F.min("_s").over(w))
     summary = summaries(

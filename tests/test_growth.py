@@ -3,7 +3,9 @@
 import datetime as dt
 import re
 
-from clipledger.operators import folds
+from pyspark.sql import functions as F
+
+from clipledger.operators import chunks, folds, sequences
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -24,3 +26,35 @@ def test_sliding_audit_adds_each_count_once(spark):
     got = {(r.key, r.ts_s - base): (r.n_trailing, r.over) for r in made.collect()}
     counts = {s: sum(1 for x in secs if s - 3600 < x <= s) for s in secs}
     assert got == {(key, s): (n, n > 2) for key in ("a", None) for s, n in counts.items()}
+
+
+def test_window_chunks_follow_the_rows(spark, monkeypatch):
+    """No task holds more than one chunk, and chunks do not grow with the input."""
+    monkeypatch.setattr(chunks, "CHUNK_ROWS", 50)
+    rows = [("all", i // 3, i, 1 if i % 3 else -1) for i in range(400)]
+    df = spark.createDataFrame(rows, "scope string, at_us bigint, seq bigint, delta bigint")
+    made = sequences.queue_depth_timeline(df)
+    held = made.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(held) > 4 and max(r["count"] for r in held) < 200
+    assert "hashpartitioning(_chunk" not in made._jdf.queryExecution().executedPlan().toString()
+    depth, want = 0, {}
+    for _, _, seq, delta in rows:
+        want[seq] = depth = max(depth + delta, 0)
+    assert {r.seq: r.depth for r in made.collect()} == want
+
+
+def test_cascade_searches_a_text_once(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(plan_of(df))
+        return df
+
+    monkeypatch.setattr(folds, "durable", noted)
+    link = "https://x.com/u/status/"
+    texts = [None, "", link + "1", f"{link}2 {link}3", f"{link}99999999999999999999 {link}4", link + "٣"]
+    rows = [(i, T0, i, i, T0, True, text) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "request_id bigint, ts timestamp, author_id bigint, channel_id bigint, end_ts timestamp, ok boolean, content string")
+    got = {r.request_id: r.decision for r in folds.admission_cascade(df).collect()}
+    assert [got[i] for i in range(len(texts))] == ["missing_url", "no_link", "accepted", "many_links", "accepted", "no_link"]
+    assert plans[0].count("regexp_extract_all") == 1
