@@ -56,7 +56,7 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chu
 def window_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chunks: int | None = None) -> DataFrame:
     """``range_chunks`` for windows over chunks of few rows: their number follows the count of rows, and no two share a task."""
     n = n_chunks or max(1, -(-df.count() // CHUNK_ROWS))
-    return range_chunks(df, keys, order, n).repartitionById(n, CHUNK)
+    return range_chunks(df, keys, order, n).repartitionById(max(n, 2), CHUNK)
 
 
 def inside(keys: Sequence[str], order: Sequence[str]):
