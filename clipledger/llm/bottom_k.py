@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import components, forget, keyed, written
+from clipledger.llm.common import forget, keyed, trees, written
 from clipledger.llm.spans import mixed, pair, shingle_sets, slices, text_bytes, word_names
 
 KEPT = 64
@@ -118,8 +118,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, at_least: Fraction) -> Data
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(judge, "a long, b long, sure boolean")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction) -> DataFrame:
-    """Of pairs a, b those whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Of pairs a, b those whose full sets are similar enough, and the written sets they are read from."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def build(batches):
@@ -146,11 +146,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, at_least: Fraction
 
     side = lambda c: full.select(F.col("doc_id").alias(c), F.col("full").alias(f"s{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long").distinct()
+    return joined.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long"), full
+
+
+def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds the root of doc_id, which is doc_id itself where roots (node, root) has none."""
+    joined = df.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return joined.withColumn("root", F.coalesce("root", "doc_id"))
 
 
 def _apart(wanted: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, width: int, at_least: Fraction) -> DataFrame:
-    """a, b: pairs of the wanted documents of different components that could be similar enough.
+    """a, b: pairs of the wanted documents (a written table, deleted here) of different components that could be similar enough.
 
     Shingles are put in order, those of fewest documents first. Every set keeps its first
     p = n - ceil(t n) + 1. Sets of n and m with a link have o = ceil(t / (1 + t) (n + m)) shingles in
@@ -158,8 +164,6 @@ def _apart(wanted: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFr
     on either side meet. Shingles that one document alone has take places but make no pairs. Texts that
     share a common passage, or many variants of one, have few such pairs.
     """
-    wanted = written(wanted, "near-open")
-
     def post(batches):
         import pyarrow as pa
 
@@ -173,10 +177,10 @@ def _apart(wanted: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFr
 
     once = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     own = written(once.mapInArrow(post, "value long, doc_id long, x long"), "near-open-sets")
-    often = written(own.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"), "near-often")
+    often = own.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
     least = lambda n: f"(({n}) * {at_least.numerator} + {at_least.denominator - 1}) DIV {at_least.denominator}"
     by_set = Window.partitionBy("doc_id", "x")
-    sizes = classes.select("doc_id", "x", "n", "parity").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
+    sizes = _rooted(classes.select("doc_id", "x", "n", "parity"), roots)
     first = (
         own.join(often, "value")
         .withColumn("k", F.row_number().over(by_set.orderBy("often", "value"))).withColumn("shared", F.count("*").over(by_set))
@@ -184,7 +188,7 @@ def _apart(wanted: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFr
         .select("value", "doc_id", "n", "root", "p", "k", F.col("shared").alias("s"), "parity")
     )
     first = written(first, "near-first")
-    forget(own, often, wanted)
+    forget(own, wanted)
     other = first.select("value", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "root", "p", "k", "s", "parity")))
     whole = at_least.numerator + at_least.denominator
     common = f"(((n + n1) * {at_least.numerator} + {whole - 1}) DIV {whole})"
@@ -222,34 +226,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, at_least: Fraction = Fracti
     )
     forget(every)
     lists = written(_lists(classes, at_least), "near-lists")
-    shared = written(lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
+    shared = lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     members = written(lists.join(shared, "value"), "near-members")
-    forget(lists, shared)
-    hubs = written(members.groupBy("doc_id").agg(F.sum("size").alias("support")), "near-hubs")
+    forget(lists)
+    hubs = members.groupBy("doc_id").agg(F.sum("size").alias("support"))
     heads = members.join(hubs, "doc_id").groupBy("value").agg(F.max_by("doc_id", F.struct("support", -F.col("doc_id"))).alias("head"))
-    star = members.join(written(heads, "near-heads"), "value").where("doc_id <> head")
-    pair_of = (F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
-
-    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links, and the pairs that were held against whole sets."""
-        close = written(_estimated(pairs, classes, at_least), "near-close")
-        sure = close.where("sure").select("a", "b")
-        return sure.unionByName(_confirmed(close.where("NOT sure").select("a", "b"), docs, width, at_least)), close.select("a", "b")
-
-    links, judged = linked(written(star.select(*pair_of).distinct(), "near-pairs"))
+    star = members.join(heads, "value").where("doc_id <> head")
+    proposed = star.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
+    close = written(_estimated(proposed, classes, at_least), "near-close")
+    confirmed, full = _confirmed(close.where("NOT sure").select("a", "b"), docs, width, at_least)
     # classes of rows that share an id belong together
     several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
-    links = written(links.unionByName(own.join(several, "doc_id").select("a", F.col("node").alias("b"))), "near-links")
-    nodes = classes.select(F.col("doc_id").alias("node")).distinct()
-    roots = written(components(links, nodes, "near-stars"), "near-roots")
-    named = members.select("value", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
-    split = named.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
-    wanted = members.join(written(split, "near-split"), "value", "left_semi").select("doc_id").distinct()
-    fresh = _apart(wanted, docs, classes, roots, width, at_least).join(judged, ["a", "b"], "left_anti")
+    several = own.join(several, "doc_id").select("a", F.col("node").alias("b"))
+    links = close.where("sure").select("a", "b").unionByName(confirmed).unionByName(several)
+    roots = trees(links, "near-stars")
+    forget(full)
+    split = (
+        _rooted(members.select("value", "doc_id"), roots)
+        .groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
+    )
+    wanted = written(members.join(split, "value", "left_semi").select("doc_id").distinct(), "near-open")
+    forget(members)
+    fresh = _apart(wanted, docs, classes, roots, width, at_least).join(close.select("a", "b"), ["a", "b"], "left_anti")
     fresh = written(fresh, "near-fresh")
+    root = F.coalesce("root", "node", "doc_id")
+    named = own.join(roots, "node", "left").select("doc_id", "n", root.alias("root"))
     if not fresh.isEmpty():
-        links = links.unionByName(written(_confirmed(fresh, docs, width, at_least), "near-links"))
-        roots = written(components(links, nodes, "near-stars"), "near-roots")
-    named = own.join(roots, "node", "left")
-    root = F.coalesce("root", "doc_id")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("doc_id") == root).alias("kept"))
+        # links between components: only their roots are joined anew
+        confirmed, full = _confirmed(fresh, docs, width, at_least)
+        for c in ("a", "b"):
+            confirmed = _rooted(confirmed.withColumnRenamed(c, "doc_id"), roots).drop("doc_id").withColumnRenamed("root", c)
+        above = trees(confirmed, "near-stars").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        forget(full)
+        named = named.join(above, "root", "left").withColumn("root", F.coalesce("top", "root"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("doc_id") == F.col("root")).alias("kept"))

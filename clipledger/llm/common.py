@@ -74,13 +74,15 @@ def ranked(df: DataFrame, group: str, order: list[str], rank: str, name: str) ->
     )
 
 
-def _seal(edges: DataFrame) -> tuple:
-    """Tells whether a set of edges has changed."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _flat(edges: DataFrame) -> bool:
+    """Whether no node has two smaller ones, or one that has a smaller one itself: then every edge leads to a root."""
+    lower = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), "b"))
+    span = lower.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y")
+    return span.agg(F.count("*")).first()[0] == 0
 
 
-def components(links: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """node, root: the smallest node reachable over links (a, b); nodes without a link are their own root.
+def trees(links: DataFrame, name: str) -> DataFrame:
+    """node, root: the smallest node reachable over links (a, b), for every node that is not this one itself. Written.
 
     Large-star and small-star steps in turn; each halves the depth of every tree, so rounds grow
     with the logarithm of the longest chain. Every round is written, as it is read by the next.
@@ -88,22 +90,16 @@ def components(links: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     edges = written(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name
     )
-    seal = _seal(edges)
-    while True:
+    while not _flat(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         after = written(small.where("a <> b").distinct(), name)
-        seal, before = _seal(after), seal
         forget(edges)
         edges = after
-        if seal == before:
-            break
-    roots = edges.groupBy("a").agg(F.min("b").alias("root"))
-    return nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("root", "node").alias("root"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

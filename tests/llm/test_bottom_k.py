@@ -125,3 +125,18 @@ def test_word_names():
             assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen)
     assert np.all(np.diff(at) >= 0)
+
+
+def test_trees_stop_when_flat(spark):
+    """Links that are stars already are written once; chains and circles end at the smallest node."""
+    from clipledger.llm import common
+
+    names, real = [], common.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(common, "written", lambda frame, name: names.append(name) or real(frame, name))
+        stars = spark.createDataFrame([(n, n % 3) for n in range(3, 40)] + [(2, 2)], "a long, b long")
+        assert dict(map(tuple, common.trees(stars, "near-stars").collect())) == {n: n % 3 for n in range(3, 40)}
+        assert len(names) == 1
+        chain = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, 101), (102, 101), (102, 100)], "a long, b long")
+        want = {n: 0 for n in range(1, 61)} | {101: 100, 102: 100}
+        assert dict(map(tuple, common.trees(chain, "near-stars").collect())) == want
