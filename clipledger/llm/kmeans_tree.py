@@ -5,8 +5,9 @@ products are nearest neighbours after one more component brings all vectors to t
 walks the tree with a priority queue, always into the bin whose centre is nearest, and visits a number
 of leaves that is widened on calibration queries until their recall, against brute force, is reached.
 
-Equal vectors are one from the start and keep only as many ids as a query can return. Leaves and
-queries that meet in a leaf are dealt out in blocks, so no leaf has to fit into a task.
+Equal vectors are one from the start and keep only as many ids as a query can return. Neighbouring
+leaves share a cell, a large leaf has several; a query goes once to each cell that holds leaves it visits
+and looks at these alone. So what is dealt out grows with queries and cells, and no leaf has to fit into a task.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from clipledger.llm.common import keyed, partitions, written
 
-#: Rows that fit the tree and that calibrate it, children of a node, sampled rows of a leaf, rows of a block.
+#: Rows that fit the tree and that calibrate it, children of a node, sampled rows of a leaf, queries of a block.
 SAMPLE, CALIBRATION, BRANCH, LEAF, BLOCK = 20_000, 128, 8, 24, 4096
 RECALL = 0.97
+#: Cells for each shuffle partition, and vectors that a cell has room for at least and at most.
+CELLS, SMALL, LARGE = 4, 256, 16_384
 
 
 @dataclass
@@ -129,13 +132,18 @@ def _matrix(column) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int):
-    """For each row of scores the k best, ties to smaller ids: row, id, score."""
+    """For each row of scores the k best, ties to smaller ids: row, id, score. Scores of -inf are none."""
     k = min(k, scores.shape[1])
-    by_id = np.argsort(ids, kind="stable")
-    scores, ids = scores[:, by_id], ids[by_id]
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    row = np.repeat(np.arange(len(scores)), k)
-    return row, ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
+    if (np.diff(ids) < 0).any():
+        by_id = np.argsort(ids, kind="stable")
+        scores, ids = scores[:, by_id], ids[by_id]
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if k else np.zeros(len(scores))
+    row, at = np.nonzero(~(scores < least[:, None]) & (scores != -np.inf))
+    order = np.lexsort((-scores[row, at], row))  # stable, so equal scores stay by id
+    row, at = row[order], at[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, at = row[keep], at[keep]
+    return row, ids[at], scores[row, at]
 
 
 def _exact(index: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
@@ -169,50 +177,87 @@ def calibrated_leaves(tree: Tree, index: DataFrame, queries: np.ndarray, k: int,
     return int(np.quantile(places, recall, method="higher")) + 1 if places else 1
 
 
+def _cells(counts: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first cell of each leaf and how many it has; leaves that follow each other share one, up to `size` vectors."""
+    first, blocks = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    cell = held = 0
+    for leaf, n in enumerate(counts):
+        if held and held + n > size:
+            cell, held = cell + 1, 0
+        first[leaf], held = cell, held + n
+        if n > size:
+            blocks[leaf] = -(-n // size)
+            cell, held = cell + int(blocks[leaf]), 0
+    return first, blocks
+
+
 def _searched(index: DataFrame, queries: DataFrame, tree: Tree, leaves: int, k: int) -> DataFrame:
     """q, rep, score: the k best distinct vectors in the leaves that each query (q, v) visits."""
     spark = index.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
+    # one number for each leaf; the tree bounds their count
+    held = dict(index.groupBy("leaf").count().collect())
+    room = min(max(sum(held.values()) // (CELLS * partitions(spark)), SMALL), LARGE)
+    first, blocks = _cells([held.get(i, 0) for i in range(tree.leaves)], room)
+    shared = spark.sparkContext.broadcast((tree, first, blocks))
 
     def walk(batches):
         import pyarrow as pa
 
+        tree, first, blocks = shared.value
         for whole in batches:
-            for at in range(0, len(whole), WALKED):  # a row for each leaf of each query, so few at once
+            for at in range(0, len(whole), WALKED):  # a row for each cell of each query, so few at once
                 batch = whole.slice(at, WALKED)
-                ids, q = batch.column(0).to_pylist(), _matrix(batch.column(1))
-                seen = [shared.value.visits(x, leaves) for x in q]
-                row = np.repeat(np.arange(len(ids)), [len(s) for s in seen])
+                row, cells, lists = [], [], []
+                for i, q in enumerate(_matrix(batch.column(1))):
+                    into: dict[int, list[int]] = {}
+                    for leaf in tree.visits(q, leaves):
+                        for cell in range(first[leaf], first[leaf] + blocks[leaf]):
+                            into.setdefault(cell, []).append(leaf)
+                    row += [i] * len(into)
+                    cells += into.keys()
+                    lists += into.values()
+                taken = batch.take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_pydict({
-                    "leaf": pa.array([x for s in seen for x in s], pa.int64()), "q": pa.array([ids[i] for i in row], pa.int64()),
-                    "v": batch.column(1).take(pa.array(row)),
+                    "cell": pa.array(cells, pa.int64()), "q": taken.column(0), "leaves": pa.array(lists, pa.list_(pa.int64())), "v": taken.column(1),
                 })
 
-    visits = written(queries.select("q", "v").repartition(partitions(spark), "q").mapInArrow(walk, "leaf long, q long, v array<double>"), "ann-visits")
-    # blocks on both sides, counted for each leaf; the tree bounds the number of leaves
-    blocks = lambda df: F.broadcast(df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("n")))
-    mine, theirs = blocks(visits).withColumnRenamed("n", "nq"), blocks(index).withColumnRenamed("n", "nv")
-    many = mine.join(theirs, "leaf")
-    own = lambda n, other, key: (F.pmod(F.xxhash64(key), F.col(n)), F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    qb, vb = own("nq", "nv", "q")
-    left = visits.join(F.broadcast(many), "leaf").select("leaf", qb.alias("qb"), vb.alias("vb"), "q", "v")
-    vb, qb = own("nv", "nq", "rep")
-    right = index.join(F.broadcast(many), "leaf").select("leaf", qb.alias("qb"), vb.alias("vb"), "rep", "v")
+    visits = written(
+        queries.select("q", "v").repartition(partitions(spark), "q").mapInArrow(walk, "cell long, q long, leaves array<long>, v array<double>"),
+        "ann-visits",
+    )
+    places = spark.createDataFrame(list(enumerate(zip(first.tolist(), blocks.tolist(), strict=True))), "leaf long, at struct<first: long, n: long>")
+    dealt = F.col("at.first") + F.pmod(F.xxhash64("rep"), F.col("at.n"))
+    placed = index.join(F.broadcast(places), "leaf").select(dealt.alias("cell"), "leaf", "rep", "v")
+    # queries of a cell in blocks; a cell that no query visits drops out
+    asked = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("nq"))
+    left = visits.join(F.broadcast(asked), "cell").select("cell", F.pmod(F.xxhash64("q"), F.col("nq")).alias("qb"), "q", "leaves", "v")
+    right = placed.join(F.broadcast(asked), "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"), "leaf", "rep", "v"
+    )
 
     def meet(a, b):
         import pyarrow as pa
 
         if not len(a) or not len(b):
             return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        a, b = a.combine_chunks(), b.combine_chunks()
+        a, b = a.combine_chunks(), b.combine_chunks().sort_by("rep")
         ids, rep, v, parts = a["q"].to_numpy(), b["rep"].to_numpy(), _matrix(b["v"].combine_chunks()), []
-        q = _matrix(a["v"].combine_chunks())
+        own, leaf = np.unique(b["leaf"].to_numpy(), return_inverse=True)
+        q, lists = _matrix(a["v"].combine_chunks()), a["leaves"].combine_chunks()
         for i in range(0, len(q), 256):
-            row, found, score = _best(q[i : i + 256] @ v.T, rep, k)
+            scores, few = q[i : i + 256] @ v.T, lists.slice(i, 256)
+            wanted = few.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(few)), few.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+            there = own[at] == wanted
+            seen = np.zeros((len(few), len(own)), bool)
+            seen[row[there], at[there]] = True
+            scores[~seen[:, leaf]] = -np.inf
+            row, found, score = _best(scores, rep, k)
             parts.append((ids[i + row], found, score))
         return pa.table(dict(zip(("q", "rep", "score"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
 
-    keys = ("leaf", "qb", "vb")
+    keys = ("cell", "qb")
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "q long, rep long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     return met.withColumn("k", F.row_number().over(best)).where(f"k <= {k}").select("q", "rep", "score")

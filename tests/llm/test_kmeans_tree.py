@@ -83,3 +83,25 @@ def test_best_bin_first_widens_to_all_leaves():
     order = tree.visits(x[0], tree.leaves)
     assert sorted(order) == list(range(tree.leaves)) and tree.visits(x[0], 5) == order[:5]
     assert set(tree.assign(x)) <= set(order)
+
+
+def test_a_query_goes_once_to_each_cell(spark, monkeypatch):
+    """Rows of queries grow with cells, not with leaves; leaves of several cells and blocks of queries lose nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1200, 12)))] + [(1200 + i, (5 + x / 50).tolist()) for i, x in enumerate(rng.normal(size=(300, 12)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole, seen, real = got(df, 20), {}, K.written
+
+    def counted(frame, name):
+        out = real(frame, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(K, "written", counted)
+    check(rows, got(df, 20), 20, 0.95)
+    assert seen["ann-visits"] <= 75 * (1500 // K.SMALL + 2)
+    monkeypatch.setattr(K, "SMALL", 2)
+    monkeypatch.setattr(K, "CELLS", 100)
+    monkeypatch.setattr(K, "BLOCK", 16)
+    parts = got(df, 20)
+    assert {q: [i for i, _ in x] for q, x in parts.items()} == {q: [i for i, _ in x] for q, x in whole.items()}
