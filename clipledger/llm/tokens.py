@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -13,6 +15,8 @@ SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\
 SPACE = re.compile(r"\s")
 #: White space before a space, after which texts are not cut.
 SPACED = re.compile(f"[{SPACES}] ")
+#: A line's end and what opens the next line, if that is no white space in any version of Unicode.
+NEW_LINE = re.compile(r"\n(?=[!-~\w])")
 #: Marks that end a word and are tokens of their own, apart from its letters.
 MARKS = ".,;:!?"
 #: Letters below this code point are letters in every version of Unicode.
@@ -20,7 +24,7 @@ OLD_LETTERS = "\u0250"
 #: Words in each of two generations: when the younger is full, the older is forgotten.
 CACHED_WORDS = 300_000
 #: Bytes of text encoded at once.
-ENCODED_BYTES = 1 << 20
+ENCODED_BYTES = 1 << 18
 SLAB = 2_000
 
 
@@ -42,7 +46,9 @@ class Encoder:
 
     A byte-level BPE never merges over the start of white space that follows something else, so a
     text may be cut before each such space. Texts with other white space before a space, or with
-    the string of a special token, are encoded in one piece. New words of plain letters, with marks
+    the string of a special token, are encoded in one piece. The pattern of GPT-2 also ends a word before
+    the last of several line ends, and that one before the next line, so such lines are words as well; they keep
+    the line end that tells them from words behind a space. New words of plain letters, with marks
     behind them or not, go straight to the tokenizer's model, as its pattern would take them apart the
     same way; other new words go through the whole tokenizer, many at once. Words that are still met are never
     forgotten: they are taken over from the older of two generations.
@@ -51,6 +57,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the tasks; threads that wait for work cost time
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
@@ -65,7 +72,10 @@ class Encoder:
             said["normalizer"] is None and said["model"]["type"] == "BPE"
             and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
         )
+        self.code = "H" if self.width.itemsize == 2 else "I"
         self.letters = byte_letters()
+        self.line_end = self._modelled(self.letters[10]) if self.direct else b""
+        self.lines = len(self.line_end) == self.width.itemsize
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -75,36 +85,40 @@ class Encoder:
         return [np.array(x.ids, self.width).tobytes() for x in got]
 
     def _modelled(self, letters: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(letters)], self.width).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _learn(self, words: Iterable[str]) -> None:
-        """Ids of new words as they are behind a space."""
-        known, rest = self.words, []
+        """Ids of new words as they are behind a space, or behind the line end they begin with."""
+        known, rest, odd, lines = self.words, [], [], []
         for word in words:
-            core = word.rstrip(MARKS)
+            line = self.lines and word[:1] == "\n" and NEW_LINE.match(word) is not None
+            core = (word[1:] if line else word).rstrip(MARKS)
             if not self.direct or not core.isalpha() or (not core.isascii() and max(core) >= OLD_LETTERS):
-                rest.append(word)
+                (lines if line else odd if not word or SPACE.search(word) else rest).append(word)
                 continue
-            ids = known.get(core) or self.older.get(core)
-            if ids is None:
-                ids = known[core] = self._modelled("Ġ" + (core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)))
-            if len(core) < len(word):
-                tail = word[len(core) :]
+            spelled = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+            tail = word[line + len(core) :]
+            if line:
+                ids = self.line_end + self._modelled(spelled)
+            elif not tail:
+                ids = known.get(core) or self._modelled("Ġ" + spelled)
+            else:
+                ids = known.get(core) or self.older.get(core)
+                if ids is None:
+                    ids = known[core] = self._modelled("Ġ" + spelled)
+            if tail:
                 if tail not in self.marks and len(self.marks) < CACHED_WORDS:
                     self.marks[tail] = self._modelled(tail)
-                known[word] = ids + (self.marks.get(tail) or self._modelled(tail))
-            else:
-                known[word] = ids
-        odd = [w for w in rest if not w or SPACE.search(w)]
-        self._learn_slabs(list(set(rest).difference(odd)))
-        for word, ids in zip(odd, self._whole([" " + w for w in odd]), strict=True):
+                ids += self.marks.get(tail) or self._modelled(tail)
             known[word] = ids
+        self._learn_slabs(rest)
+        known.update(zip(odd + lines, self._whole([" " + w for w in odd] + lines), strict=True))
 
     def _learn_slabs(self, words: list[str]) -> None:
         """Many words make one text each time; their ids are told apart by the space that opens a word."""
         for i in range(0, len(words), SLAB):
             slab = words[i : i + SLAB]
-            ids = np.array(self.tokenizer.encode_batch_fast(["", " " + " ".join(slab)], add_special_tokens=False)[1].ids)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(slab)], add_special_tokens=False)[0].ids)
             starts = np.flatnonzero(self.opens[ids])
             raw, size = ids.astype(self.width).tobytes(), self.width.itemsize
             ends = [*starts[1:].tolist(), len(ids)]
@@ -114,35 +128,45 @@ class Encoder:
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
         out: list[bytes | None] = []
-        cut: list[tuple[int, str, list[str]]] = []
+        cut: list[tuple[int, list[str]]] = []
+        opened: list[int] = []  # of these, the first word has a line end that is not in the text
         whole: list[tuple[int, str]] = []
+        words: set[str] = set()
         for i, text in enumerate(texts):
             out.append(b"")
             if not text:
                 continue
             if SPACED.search(text) or any(s in text for s in self.specials):
                 whole.append((i, text))
-            else:
-                head, *pieces = text.split(" ")
-                cut.append((i, head, pieces))
+                continue
+            if self.lines and "\n" in text:
+                text = NEW_LINE.sub(" \n", text)
+            head, *pieces = text.split(" ")
+            if self.lines and NEW_LINE.match("\n" + head):
+                pieces.insert(0, "\n" + head)
+                opened.append(i)
+            elif head:
+                whole.append((i, head))
+            cut.append((i, pieces))
+            words.update(pieces)
         if len(self.words) > CACHED_WORDS:
             self.words, self.older = {}, self.words
         known, older = self.words, self.older
-        heads = self._whole([head for _, head, _ in cut])
-        found = [list(map(known.get, pieces)) for _, _, pieces in cut]
-        missing = {w for (_, _, pieces), ids in zip(cut, found, strict=True) if None in ids
-                   for w, x in zip(pieces, ids, strict=True) if x is None}
+        found = dict(zip(words, map(known.get, words), strict=True))  # small: most words are met many times
+        missing = {w for w, ids in found.items() if ids is None}
         if older:
             again = [w for w in missing if w in older]
             known.update((w, older[w]) for w in again)
-            missing.difference_update(again)
-        self._learn(missing)
-        for (i, _, pieces), ids, head in zip(cut, found, heads, strict=True):
-            if None in ids:
-                ids = [known[w] if x is None else x for w, x in zip(pieces, ids, strict=True)]
-            out[i] = b"".join((head, *ids))
+            self._learn(missing.difference(again))
+        else:
+            self._learn(missing)
+        found.update((w, known[w]) for w in missing)
         for (i, _), ids in zip(whole, self._whole([t for _, t in whole]), strict=True):
             out[i] = ids
+        for i, pieces in cut:
+            out[i] += b"".join(map(found.__getitem__, pieces))
+        for i in opened:
+            out[i] = out[i][len(self.line_end) :]
         return [np.frombuffer(x, self.width) for x in out]
 
 
@@ -154,3 +178,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget_encoders() -> None:
+    """Gives back what this worker holds to encode, once it does other work."""
+    _ENCODERS.clear()
