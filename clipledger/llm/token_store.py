@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from clipledger.llm.common import keyed, partitions
 from clipledger.llm.spans import slices
-from clipledger.llm.tokens import ENCODED_BYTES, encoder
+from clipledger.llm.tokens import ENCODED_BYTES, encoder, forget_encoders
 from clipledger.session import scratch_path
 
 MAGIC = b"IDPLANE1"
@@ -180,6 +180,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         import pyarrow as pa
         import pyarrow.fs
 
+        forget_encoders()  # workers that wrote shards read them as well
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, name = pyarrow.fs.FileSystem.from_uri(path)

@@ -113,3 +113,41 @@ def test_words_go_straight_to_the_model(monkeypatch):
     got = [x for i in range(0, len(texts), 40) for x in enc.encode(texts[i : i + 40])]
     assert [x.tolist() for x in got] == [x.ids for x in whole]
     assert enc.direct and len(enc.words) <= 500 + 40 * 60 and enc.older
+
+
+def test_lines_are_words(monkeypatch):
+    """A text is cut at line ends as well: equal lines in unlike texts are learned once, and ids stay those of the whole text."""
+    import random
+
+    from clipledger.llm import tokens as T
+
+    enc, asked = T.Encoder(T.vocabulary_path()), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: learn(asked.extend(words) or words))
+    texts = [f"Alpha of{chr(97 + k)}.\nBeta of" for k in range(20)]
+    for text in texts:
+        enc.encode([text])
+    assert sum("Beta" in w for w in asked) == sum("Alpha" in w for w in asked) == 1
+    rnd = random.Random(2)
+    parts = ["\n", "\n\n", "\n\n\n", "\r\n", "\t", " ", "  ", "\x1c", "\u180e", "\u200b", "\x85", "a", "Beta", "été,", "ɐ", "日本", "'s", "x1", "-", "12.", "_", "\u0301", "\ufeff", "<|endoftext|>"]
+    texts += ["".join(rnd.choice(parts[: rnd.choice((6, 22, 24))]) if rnd.random() < 0.5 else rnd.choice([" to", "\nof", "A."]) for _ in range(rnd.randrange(9))) for _ in range(20_000)]
+    got = [x for i in range(0, len(texts), 50) for x in enc.encode(texts[i : i + 50])]
+    whole = enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.tolist() for x in got] == [x.ids for x in whole]
+
+
+def test_readers_hold_no_words(spark, small, monkeypatch):
+    """A worker that encoded gives its words back when it reads shards; here the reading function runs in this process."""
+    import pyarrow as pa
+
+    from clipledger.llm import tokens
+    from clipledger.llm.common import written
+
+    shards = written(token_store.write_shards(spark.read.parquet(f"{small}/documents.parquet"), vocabulary_path()), "t")
+    ran, plain = [], type(shards).mapInArrow
+    monkeypatch.setattr(type(shards), "mapInArrow", lambda df, f, *rest: ran.append(f) or plain(df, f, *rest))
+    token_store.read_shards(shards)
+    tokens.encoder(vocabulary_path()).encode(["some words"])
+    path = shards.first()["path"]
+    batch = pa.RecordBatch.from_pydict({"path": [path], "base": [0]})
+    assert sum(b.num_rows for b in ran[0](iter([batch]))) > 0 and not tokens._ENCODERS
