@@ -42,85 +42,97 @@ def _ms(sec: int) -> int:
 class _InOrder(StatefulProcessor):
     """Rows (second, micros, id, note) wait for their turn; subclasses say what becomes of them.
 
-    ``id_type`` is the type of ids; notes are strings.
+    ``id_type`` is the type of ids; notes are strings. Every call to the state is a round trip, and every row in it
+    is packed by itself: so rows that came together wait as one row of arrays, and a key's timer and what its
+    subclass remembers (``fields``; a tuple, or None for nothing) are one value.
     """
 
-    def __init__(self, keys: Sequence[str], id_col: str, id_type: str):
-        self.keys, self.id_col, self.id_type = list(keys), id_col, id_type
+    def __init__(self, keys: Sequence[str], id_col: str, id_type: str, fields: str):
+        self.keys, self.id_col, self.id_type, self.fields = list(keys), id_col, id_type, fields
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"sec bigint, at bigint, id {self.id_type}, note string")
-        self.alarm = handle.getValueState("alarm", "ms bigint")
+        lot = f"sec array<bigint>, at array<bigint>, id array<{self.id_type}>, note array<string>"
+        self.waiting = handle.getListState("waiting", lot)
+        # when the timer goes off, whether anything is remembered, and that
+        self.slot = handle.getValueState("slot", f"alarm bigint, knows boolean, {self.fields}")
+        self.nothing = (None,) * (self.fields.count(",") + 1)
 
     # --- for subclasses
 
-    def step(self, key: tuple, due: Iterable[tuple]) -> Iterator[tuple]:
-        """Rows (id, at, note, decision) that come of due rows, which are in order."""
+    def step(self, own: tuple | None, due: Iterable[tuple], out: list[tuple]) -> tuple | None:
+        """Adds rows (id, at, note, decision) that come of due rows, which are in order; returns what is remembered then."""
         raise NotImplementedError
 
-    def lapses(self) -> int | None:
-        """When the state that is left can no longer matter, in ms."""
+    def lapses(self, own: tuple) -> int:
+        """When what is remembered can no longer matter, in ms."""
         raise NotImplementedError
 
-    def lapse(self, key: tuple) -> Iterator[tuple]:
-        """Rows that come of a lapse, which clears the state."""
-        raise NotImplementedError
+    def lapse(self, own: tuple, out: list[tuple]) -> None:
+        """Adds rows that come of a lapse, after which nothing is remembered."""
 
     # --- the turn of rows
 
-    def _table(self, key: tuple, rows: Iterable[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*self.keys, self.id_col, "at", "note", "decision"]).astype({"at": "int64"})
+    def _table(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        columns = [[k] * len(rows) for k in key] + [list(c) for c in zip(*rows, strict=True)]
+        return pd.DataFrame(dict(zip([*self.keys, self.id_col, "at", "note", "decision"], columns, strict=True)))
 
-    def _wake(self, ms: int | None) -> None:
-        """One timer is set, for the next thing to happen."""
-        old = self.alarm.get()[0] if self.alarm.exists() else None
-        if old == ms:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old)
-        if ms is None:
-            self.alarm.clear()
+    def _slot(self) -> tuple[int | None, tuple | None]:
+        got = self.slot.get()
+        if got is None:
+            return None, None
+        alarm, knows, *own = got
+        return alarm, tuple(own) if knows else None
+
+    def _keep(self, alarm: int | None, own: tuple | None) -> None:
+        if alarm is None and own is None:
+            self.slot.clear()
         else:
-            self.handle.registerTimer(ms)
-            self.alarm.update((ms,))
+            self.slot.update((alarm, own is not None, *(own or self.nothing)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed, first = timerValues.getCurrentWatermarkInMs(), None
         for pdf in rows:
-            pdf = pdf[~pdf["tick"]]
-            if pdf.empty:
-                continue
-            got = list(zip(*(pdf[c].tolist() for c in (SEC, "at", self.id_col, "note")), strict=True))
-            late = [r for r in got if _ms(r[0]) <= passed]
+            got = list(zip(*(pdf[c].tolist() for c in (SEC, "at", self.id_col, "note", "tick")), strict=True))
+            live = [r[:4] for r in got if not r[4]]
+            late = [(i, at, note, LATE) for sec, at, i, note in live if _ms(sec) <= passed]
             if late:
-                yield self._table(key, ((i, at, note, LATE) for _, at, i, note in late))
-                got = [r for r in got if _ms(r[0]) > passed]
-            if got:
-                self.waiting.appendList(got)
-                low = min(r[0] for r in got)
+                yield self._table(key, late)
+                live = [r for r in live if _ms(r[0]) > passed]
+            if live:
+                self.waiting.appendValue(tuple(map(list, zip(*live, strict=True))))
+                low = min(r[0] for r in live)
                 first = low if first is None else min(first, low)
-        if first is not None:
-            # what waits already has a timer of its own, unless the timer is for a lapse, which can wait for these rows
-            old = self.alarm.get()[0] if self.alarm.exists() else None
-            self._wake(_ms(first) if old is None else min(old, _ms(first)))
+        if first is None:
+            return
+        # what waits already has a timer of its own, unless the timer is for a lapse, which can wait for these rows
+        alarm, own = self._slot()
+        if alarm is None or _ms(first) < alarm:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm)
+            self.handle.registerTimer(_ms(first))
+            self._keep(_ms(first), own)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        self.alarm.clear()  # it has gone off
-        every = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted((tuple(r) for r in every if _ms(r[0]) <= passed), key=lambda r: (r[0], r[1], r[2]))
-        rest = [tuple(r) for r in every if _ms(r[0]) > passed]
-        out = list(self.step(key, due))
-        if rest:
-            self.waiting.put(rest)
-        elif every:
+        _, own = self._slot()  # the timer has gone off
+        every = [r for lot in self.waiting.get() for r in zip(*lot, strict=True)]
+        due = sorted((r for r in every if _ms(r[0]) <= passed), key=lambda r: (r[0], r[1], r[2]))
+        rest = [r for r in every if _ms(r[0]) > passed]
+        out: list[tuple] = []
+        own = self.step(own, due, out)
+        if rest and due:
+            self.waiting.put([tuple(map(list, zip(*rest, strict=True)))])
+        elif due:
             self.waiting.clear()
-        ends = self.lapses()
+        ends = None if own is None else self.lapses(own)
         if ends is not None and ends <= passed:  # rows that still wait are later than the lapse
-            out += self.lapse(key)
-            ends = None
-        self._wake(min([_ms(r[0]) for r in rest] + ([ends] if ends is not None else []), default=None))
+            self.lapse(own, out)
+            own = ends = None
+        alarm = min([_ms(r[0]) for r in rest] + ([ends] if ends is not None else []), default=None)
+        if alarm is not None:
+            self.handle.registerTimer(alarm)
+        self._keep(alarm, own)
         if out:
             yield self._table(key, out)
 
@@ -155,29 +167,19 @@ class _Dedup(_InOrder):
     """Keeps a row when the last kept one is more than ``ttl`` seconds older."""
 
     def __init__(self, keys, id_col, id_type, ttl: int):
-        super().__init__(keys, id_col, id_type)
+        super().__init__(keys, id_col, id_type, "sec bigint")
         self.ttl = ttl
 
-    def init(self, handle):
-        super().init(handle)
-        self.kept = handle.getValueState("kept", "sec bigint")
-
-    def step(self, key, due):
-        kept = self.kept.get()[0] if self.kept.exists() else None
-        before = kept
+    def step(self, own, due, out):
+        kept = own[0] if own else None
         for sec, at, i, note in due:
             if kept is None or sec - kept > self.ttl:
                 kept = sec
-                yield i, at, note, "kept"
-        if kept != before:
-            self.kept.update((kept,))
-
-    def lapses(self):
-        return _ms(self.kept.get()[0] + self.ttl) if self.kept.exists() else None
+                out.append((i, at, note, "kept"))
+        return None if kept is None else (kept,)
 
-    def lapse(self, key):
-        self.kept.clear()
-        return []
+    def lapses(self, own):
+        return _ms(own[0] + self.ttl)
 
 
 def stream_dedup(
@@ -211,29 +213,20 @@ class _Quota(_InOrder):
     """Anchored fixed window with at most ``n`` grants."""
 
     def __init__(self, keys, id_col, id_type, n: int, window: int):
-        super().__init__(keys, id_col, id_type)
+        super().__init__(keys, id_col, id_type, "anchor bigint, used bigint")
         self.n, self.window = n, window
 
-    def init(self, handle):
-        super().init(handle)
-        self.open = handle.getValueState("open", "anchor bigint, used bigint")
-
-    def step(self, key, due):
-        before = anchor, used = tuple(self.open.get()) if self.open.exists() else (None, 0)
+    def step(self, own, due, out):
+        anchor, used = own or (None, 0)
         for sec, at, i, note in due:
             if anchor is None or sec - anchor >= self.window:
                 anchor, used = sec, 0
-            yield i, at, note, "allowed" if used < self.n else "denied"
+            out.append((i, at, note, "allowed" if used < self.n else "denied"))
             used = min(used + 1, self.n)
-        if (anchor, used) != before:
-            self.open.update((anchor, used))
+        return None if anchor is None else (anchor, used)
 
-    def lapses(self):
-        return _ms(self.open.get()[0] + self.window - 1) if self.open.exists() else None
-
-    def lapse(self, key):
-        self.open.clear()
-        return []
+    def lapses(self, own):
+        return _ms(own[0] + self.window - 1)
 
 
 def stream_rate_limit(
@@ -278,46 +271,36 @@ class _Debounce(_InOrder):
     """
 
     def __init__(self, keys, id_col, id_type, wait: int, idle: int):
-        super().__init__(keys, id_col, id_type)
-        self.wait, self.idle = wait, idle
-
-    def init(self, handle):
-        super().init(handle)
         # last second shown, last second seen, what was shown, the held row
-        self.state = handle.getValueState("state", f"shown bigint, seen bigint, sent string, at bigint, id {self.id_type}, held string")
+        super().__init__(keys, id_col, id_type, f"shown bigint, seen bigint, sent string, held_at bigint, held_id {id_type}, held string")
+        self.wait, self.idle = wait, idle
 
-    def _flush(self, sent, at, i, held):
+    def _flush(self, out, sent, at, i, held):
         if held is not None and held != sent:
-            yield i, at, held, "flushed"
+            out.append((i, at, held, "flushed"))
 
-    def step(self, key, due):
-        before = shown, seen, sent, at0, id0, held = tuple(self.state.get()) if self.state.exists() else (None,) * 6
+    def step(self, own, due, out):
+        shown, seen, sent, at0, id0, held = own or self.nothing
         for sec, at, i, note in due:
             if seen is not None and sec > seen + self.idle:  # the timer would have gone off between the two
-                yield from self._flush(sent, at0, id0, held)
+                self._flush(out, sent, at0, id0, held)
                 shown = sent = at0 = id0 = held = None
             kind, said, seen = note[:2], note[2:], sec
             if "w" not in kind or shown is None or sec - shown >= self.wait:
-                yield i, at, said, "shown"
+                out.append((i, at, said, "shown"))
                 shown, sent, at0, id0, held = sec, said, None, None, None
             else:
                 at0, id0, held = at, i, said
             if "e" in kind:
-                yield from self._flush(sent, at0, id0, held)
+                self._flush(out, sent, at0, id0, held)
                 shown = seen = sent = at0 = id0 = held = None
-        now = (shown, seen, sent, at0, id0, held)
-        if shown is None:
-            self.state.clear()
-        elif now != before:
-            self.state.update(now)
-
-    def lapses(self):
-        return _ms(self.state.get()[1] + self.idle) if self.state.exists() else None
-
-    def lapse(self, key):
-        _, _, sent, at, i, held = tuple(self.state.get())
-        self.state.clear()
-        return list(self._flush(sent, at, i, held))
+        return None if shown is None else (shown, seen, sent, at0, id0, held)
+
+    def lapses(self, own):
+        return _ms(own[1] + self.idle)
+
+    def lapse(self, own, out):
+        self._flush(out, *own[2:])
 
 
 def stream_progress_debounce(

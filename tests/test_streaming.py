@@ -169,3 +169,72 @@ def test_stage_window(spark, files):
     want = metrics.stage_window(views.shape_stage_runs(files[1]), 60)
     key = lambda df: sorted((r.window_start_s, r.stage, r.avg_ms, r.samples) for r in df.collect())
     assert key(got) == key(want)
+
+
+class CountedState:
+    """A key's state that counts calls and the rows handed over in them."""
+
+    def __init__(self):
+        self.calls = self.rows = 0
+
+    def getListState(self, name, schema):
+        return CountedVariable(self, [])
+
+    def getValueState(self, name, schema):
+        return CountedVariable(self, None)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+
+    deleteTimer = registerTimer
+
+
+class CountedVariable:
+    def __init__(self, state, empty):
+        self.state, self.empty, self.held = state, empty, empty
+
+    def _call(self, rows, held):
+        self.state.calls, self.state.rows, self.held = self.state.calls + 1, self.state.rows + rows, held
+
+    def exists(self):
+        self._call(0, self.held)
+        return self.held != self.empty
+
+    def get(self):
+        self._call(len(self.held) if isinstance(self.held, list) else int(self.held is not None), self.held)
+        return iter(self.held) if isinstance(self.held, list) else self.held
+
+    def update(self, value):
+        self._call(1, value)
+
+    def appendValue(self, value):
+        self._call(1, [*self.held, value])
+
+    def appendList(self, values):
+        self._call(len(values), [*self.held, *values])
+
+    def put(self, values):
+        self._call(len(values), list(values))
+
+    def clear(self):
+        self._call(0, self.empty)
+
+
+def test_rows_reach_the_state_together():
+    """However many rows of a job come at once, its state takes them in a few round trips and rows."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import TimerValues
+
+    state, n = CountedState(), 60
+    job = stateful._Debounce(["job"], "seq", "bigint", 20, 100)
+    job.init(state)
+    rows = pd.DataFrame({"job": 7, "seq": range(n), "note": [f"w-{i}" for i in range(n)], "tick": False,
+                         "at": [i * 1_000_000 for i in range(n)], "at_sec": range(n)})
+    assert not list(job.handleInputRows((7,), iter([rows]), TimerValues(0, 0)))
+    (some,) = job.handleExpiredTimer((7,), TimerValues(0, 30_000), None)
+    (rest,) = job.handleExpiredTimer((7,), TimerValues(0, 10**9), None)
+    assert [tuple(r) for r in some.itertuples(index=False)] == [(7, s, s * 1_000_000, str(s), "shown") for s in (0, 20)]
+    told = [(s, "shown") for s in (40,)] + [(n - 1, "flushed")]
+    assert [tuple(r) for r in rest.itertuples(index=False)] == [(7, s, s * 1_000_000, str(s), d) for s, d in told]
+    assert state.calls <= 15
+    assert state.rows <= 8
