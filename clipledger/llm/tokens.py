@@ -23,9 +23,11 @@ MARKS = ".,;:!?"
 OLD_LETTERS = "\u0250"
 #: Words in each of two generations: when the younger is full, the older is forgotten.
 CACHED_WORDS = 300_000
-#: Bytes of text encoded at once.
-ENCODED_BYTES = 1 << 18
+#: Bytes of text encoded at once: looking a word up costs about as much as encoding it, so each is met few times.
+ENCODED_BYTES = 1 << 22
 SLAB = 2_000
+#: Words whose ids are put in place at once.
+GATHERED_WORDS = 1 << 13
 
 
 def vocabulary_path() -> str:
@@ -125,15 +127,54 @@ class Encoder:
             for word, a, b in zip(slab, starts.tolist(), ends, strict=True):
                 self.words[word] = raw[a * size : b * size]
 
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, all of them looked up or learnt."""
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        found = list(map(known.get, words))
+        missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
+        if missing:
+            if older:
+                again = [w for w in missing if w in older]
+                known.update((w, older[w]) for w in again)
+                self._learn(missing.difference(again))
+            else:
+                self._learn(missing)
+            found = [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return found
+
+    def _joined(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that are words between spaces. Words are told apart and put together by Arrow and numpy, many at
+        once; only different words are looked up."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends, words = split.offsets.to_numpy(), split.values.dictionary_encode()
+        place, different = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self._ids_of(different)
+        ids = np.frombuffer(b"".join(found), self.width)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width.itemsize
+        opens = np.cumsum(sizes) - sizes
+        before = np.zeros(len(place) + 1, np.int64)  # ids before each word
+        np.cumsum(sizes[place], out=before[1:])
+        out = np.empty(int(before[-1]), self.width)
+        for k in range(0, len(place), GATHERED_WORDS):
+            part, at = place[k : k + GATHERED_WORDS], before[k : k + GATHERED_WORDS + 1]
+            out[at[0] : at[-1]] = ids[np.repeat(opens[part] - at[:-1], np.diff(at)) + np.arange(at[0], at[-1])]
+        bounds = before[ends].tolist()
+        return [out[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
-        out: list[bytes | None] = []
-        cut: list[tuple[int, list[str]]] = []
-        opened: list[int] = []  # of these, the first word has a line end that is not in the text
+        out: list[np.ndarray] = []
+        cut: list[tuple[int, str]] = []
+        opened: set[int] = set()  # of these, the first word has a line end that is not in the text
         whole: list[tuple[int, str]] = []
-        words: set[str] = set()
+        none = np.zeros(0, self.width)
         for i, text in enumerate(texts):
-            out.append(b"")
+            out.append(none)
             if not text:
                 continue
             if SPACED.search(text) or any(s in text for s in self.specials):
@@ -141,33 +182,24 @@ class Encoder:
                 continue
             if self.lines and "\n" in text:
                 text = NEW_LINE.sub(" \n", text)
-            head, *pieces = text.split(" ")
-            if self.lines and NEW_LINE.match("\n" + head):
-                pieces.insert(0, "\n" + head)
-                opened.append(i)
-            elif head:
+            if self.lines and NEW_LINE.match("\n" + text[:1]):
+                opened.add(i)
+                cut.append((i, "\n" + text))
+                continue
+            head, space, rest = text.partition(" ")
+            if head:
                 whole.append((i, head))
-            cut.append((i, pieces))
-            words.update(pieces)
-        if len(self.words) > CACHED_WORDS:
-            self.words, self.older = {}, self.words
-        known, older = self.words, self.older
-        found = dict(zip(words, map(known.get, words), strict=True))  # small: most words are met many times
-        missing = {w for w, ids in found.items() if ids is None}
-        if older:
-            again = [w for w in missing if w in older]
-            known.update((w, older[w]) for w in again)
-            self._learn(missing.difference(again))
-        else:
-            self._learn(missing)
-        found.update((w, known[w]) for w in missing)
+            if space:
+                cut.append((i, rest))
         for (i, _), ids in zip(whole, self._whole([t for _, t in whole]), strict=True):
-            out[i] = ids
-        for i, pieces in cut:
-            out[i] += b"".join(map(found.__getitem__, pieces))
-        for i in opened:
-            out[i] = out[i][len(self.line_end) :]
-        return [np.frombuffer(x, self.width) for x in out]
+            out[i] = np.frombuffer(ids, self.width)
+        if cut:
+            for (i, _), ids in zip(cut, self._joined([t for _, t in cut]), strict=True):
+                if i in opened:
+                    out[i] = ids[1:]  # the line end is one id
+                else:
+                    out[i] = np.concatenate([out[i], ids]) if len(out[i]) else ids
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

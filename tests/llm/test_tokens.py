@@ -151,3 +151,37 @@ def test_readers_hold_no_words(spark, small, monkeypatch):
     path = shards.first()["path"]
     batch = pa.RecordBatch.from_pydict({"path": [path], "base": [0]})
     assert sum(b.num_rows for b in ran[0](iter([batch]))) > 0 and not tokens._ENCODERS
+
+
+def test_many_texts_are_encoded_at_once(small, monkeypatch, spark):
+    """A batch of 3 MB is one call of the encoder, so a word met in all its texts is looked up once; here the writing function runs in this process."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from clipledger.llm import tokens as T
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    ran, asked, plain, encode = [], [], type(docs).mapInArrow, T.Encoder.encode
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, *rest: ran.append(f) or plain(df, f, *rest))
+    token_store.write_shards(docs, vocabulary_path())
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    monkeypatch.setattr(T.Encoder, "encode", lambda self, texts: asked.append(len(texts)) or encode(self, texts))
+    texts = [f"of the{k % 7} wörd, and\nLine x{k} " * 30 for k in range(3_000)] + [None, ""]
+    (told,) = ran[0](iter([pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})]))
+    whole = T.encoder(vocabulary_path()).tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert told.column(3).to_pylist() == [sum(len(x.ids) + 1 for x in whole)]
+    assert asked == [len(texts)]
+
+
+def test_ids_are_put_in_place_piece_by_piece(monkeypatch):
+    """Texts of one slab, cut into words and put together again a few words at a time, keep the ids of the whole text."""
+    import random
+
+    from clipledger.llm import tokens as T
+
+    monkeypatch.setattr(T, "GATHERED_WORDS", 7)
+    rnd, parts = random.Random(3), ["a", "The", " ", " ", "\n", "\nOf", " of", ".", "é", "日本", "\t", "x1"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(30))) for _ in range(4_000)] + [None, "", " ", "\n", "a ", "\n\nA", "a\nB"]
+    enc = T.Encoder(T.vocabulary_path())
+    whole = enc.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert [x.tolist() for x in enc.encode(texts)] == [x.ids for x in whole]
